@@ -1,17 +1,62 @@
-"""The corpus pipeline: stages over the documents table, each one operator's decision carried out."""
+"""The corpus pipeline: stages over the documents table, each one operator's decision carried out.
+
+Language identification rejects texts without a letter or with hardly any likeness to
+a language; of each group of near copies (five-word shingles, Jaccard 0.8) the document
+of the smallest id stays; passages of 50 words or more that an earlier document has are
+cut; personal data gives way to its kind; what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from zenithal.llm import langid, ngram_join, packing, pii, suffix_dedup
+from zenithal.llm.common import Kept
+from zenithal.llm.queries import BPE, tokenizer_path
+
+#: Cosine with the nearest language below which a text counts as no language.
+LEAST_LIKENESS = 0.03
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in some language; lang stays as it is."""
+    model = langid.fit(docs)
+    found = langid.predict(docs, model, names=("_lang_", "_likeness_"))
+    return found.where((F.col("_lang_") != langid.UNDETERMINED) & (F.col("_likeness_") >= LEAST_LIKENESS)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each component of near copies."""
+    found = ngram_join.components(docs, n=5, num=80, den=100)
+    later = found.where("component_id <> doc_id").select("doc_id")
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a document of a smaller id has; without those of which nothing is left."""
+    return suffix_dedup.without_repeats(docs, suffix_dedup.repeats(docs, length=50))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return pii.redacted(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 tokens."""
+    return packing.digest(packing.pack(docs, tokenizer_path(BPE), end_id=0, length=1024))
+
 
-STAGES: list = []
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("personal_data", personal_data), ("packing", packed)]
 
+#: Language profiles, tokenizers and transducers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over the documents."""
+    """All stages, one after the other, over the documents; each but the last is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = Kept(stage(spark, docs, sf_dir), name).df
+    return STAGES[-1][1](spark, docs, sf_dir)

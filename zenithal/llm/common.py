@@ -184,6 +184,56 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[n:] - sums[:-n]) * back[: len(words) - n + 1])
 
 
+# ---------------------------------------------------------------- groups by key
+
+
+def shared_keys(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows (key, doc_id, ...) whose key different documents have, with the leader: the key's smallest doc_id.
+
+    One shuffle by key and a sort; the sorted runs stream through, so that no group is
+    held in memory but for the rows of one document.
+    """
+    sorted_rows = rows.repartition(parts, "key").sortWithinPartitions("key", "doc_id")
+
+    def run(batches):
+        last = leader = None  # key of the open run and its first document
+        pending: list[pa.RecordBatch] | None = []  # its rows while they are of one document; None once there are others
+
+        def led(batch, by):
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(by, pa.int64())], [*batch.schema.names, "leader"])
+
+        for batch in batches:
+            if not (n := len(batch)):
+                continue
+            key, doc = (batch.column(k).to_numpy() for k in (0, 1))
+            begins = np.ones(n, bool)
+            begins[1:] = key[1:] != key[:-1]
+            begins[0] = key[0] != last
+            start = np.flatnonzero(begins)
+            at = int(start[0]) if len(start) else n
+            if at:  # rows that continue the open run
+                if pending is not None and doc[at - 1] != leader:
+                    yield from (led(p, np.full(len(p), leader)) for p in pending)
+                    pending = None
+                if pending is None:
+                    yield led(batch.slice(0, at), np.full(at, leader))
+                else:
+                    pending.append(batch.slice(0, at))
+            if len(start):
+                stop = np.append(start[1:], n)
+                size = stop - start
+                several = doc[start] != doc[stop - 1]
+                lead = np.repeat(doc[start], size)
+                keep = np.repeat(several, size)
+                mask = pa.array(keep)
+                yield led(batch.slice(at).filter(mask), lead[keep])
+                last, leader = key[-1], int(doc[start[-1]])
+                pending = None if several[-1] else [batch.slice(int(start[-1]))]
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return sorted_rows.mapInArrow(run, kinds + ", leader long")
+
+
 # ---------------------------------------------------------------- components
 
 

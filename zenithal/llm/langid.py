@@ -174,8 +174,8 @@ def fit(examples: DataFrame, lang_col: str = "lang", text_col: str = "text", per
     return LanguageModel(languages, unit(np.array([total[x] for x in languages])).astype(np.float32), size, n)
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of the documents with lang_pred and score."""
+def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The kept columns of the documents with the language and its cosine, under these names."""
     small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text_"))
@@ -184,6 +184,6 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
     def run(batches):
         for batch in batches:
             lang, score = model.predict(batch.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
-    return picked.mapInArrow(run, (schema + ", " if schema else "") + "lang_pred string, score double")
+    return picked.mapInArrow(run, (schema + ", " if schema else "") + f"`{names[0]}` string, `{names[1]}` double")

@@ -225,7 +225,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with the personal data in their texts replaced."""
+    """The documents with the personal data in their texts replaced; n_chars, if there, is made anew."""
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
@@ -234,4 +234,5 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             new = pa.array([redact(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
