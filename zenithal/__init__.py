@@ -1,0 +1 @@
+"""Spherical catalog analytics on Spark."""
