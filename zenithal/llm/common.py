@@ -61,7 +61,14 @@ class Kept:
     def __init__(self, df: DataFrame, what: str):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        # shuffle files go when the table stands: nothing reads them again
+        clean, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", self.spark.conf
+        before = conf.get(clean, "false")
+        conf.set(clean, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path)
+        finally:
+            conf.set(clean, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         atexit.register(self.drop)
 

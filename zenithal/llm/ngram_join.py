@@ -52,8 +52,12 @@ def sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):  # the whole sequence as one
         whole = np.array([mix(shingle_hashes(words[first[i] : first[i + 1]], int(count[i])) + np.uint64(count[i]))[0] for i in short], np.uint64)
         h, doc = np.concatenate([h, whole]), np.concatenate([doc, short])
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+    if len(short):
+        order = np.argsort(doc, kind="stable")
+        h, doc = h[order], doc[order]
+    cuts = np.searchsorted(doc, np.arange(len(count) + 1))
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        h[x:y].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[new], doc[new]
@@ -71,7 +75,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _survey(texts: DataFrame, n: int) -> Kept:
-    """Size and digest of each document's set, and, as rows without size, shingles that are frequent within a task."""
+    """Size, digest and bitmap of each document's set, and, as rows without size, shingles that are frequent within a task."""
 
     def run(batches):
         held, docs = [], 0
@@ -81,12 +85,12 @@ def _survey(texts: DataFrame, n: int) -> Kept:
             some = c >= max(4, docs // 500)
             h, c = h[some].view(np.int64), c[some].astype(np.int64)
             none = pa.nulls(len(h), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(h), pa.array(c)], ["doc_id", "n", "a", "b"])
+            return pa.RecordBatch.from_arrays([none, none, pa.array(h), pa.array(c), pa.nulls(len(h), pa.binary())], ["doc_id", "n", "a", "b", "bits"])
 
         size = 0
         for batch in batches:
             h, offsets = sets(batch.column(1), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(_sums(mix(h), offsets)), pa.array(_sums(mix(h ^ np.uint64(0x5851F42D4C957F2D)), offsets))], ["doc_id", "n", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(_sums(mix(h), offsets)), pa.array(_sums(mix(h ^ np.uint64(0x5851F42D4C957F2D)), offsets)), pa.array([bitmap(h[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "n", "a", "b", "bits"])
             held.append(h)
             size, docs = size + len(h), docs + len(batch)
             if size >= _CHUNK * 2:
@@ -94,7 +98,7 @@ def _survey(texts: DataFrame, n: int) -> Kept:
                 held, size, docs = [], 0, 0
         yield frequent()
 
-    return Kept(texts.mapInArrow(run, "doc_id long, n long, a long, b long"), "sets")
+    return Kept(texts.mapInArrow(run, "doc_id long, n long, a long, b long, bits binary"), "sets")
 
 
 def _prefixes(texts: DataFrame, n: int, num: int, den: int, heavy: np.ndarray) -> DataFrame:
@@ -105,13 +109,16 @@ def _prefixes(texts: DataFrame, n: int, num: int, den: int, heavy: np.ndarray) -
         for batch in batches:
             h, offsets = sets(batch.column(1), n)
             size = np.diff(offsets)
-            doc = np.repeat(np.arange(len(size)), size)
             at = np.minimum(np.searchsorted(shared.value, h), max(len(shared.value) - 1, 0))
             late = shared.value[at] == h if len(shared.value) else np.zeros(len(h), bool)
-            order = np.lexsort((h, late, doc))
             length = np.where(size > 0, size - -(-size * num // den) + 1, 0)
-            first = np.arange(len(h)) - np.repeat(offsets[:-1], size) < np.repeat(length, size)
-            keys = h[order][first].view(np.int64)
+            # place in the common order: frequent shingles after the others of their set
+            early = np.cumsum(~late)
+            base = np.concatenate([[0], early])[offsets]
+            place = np.arange(len(h)) - np.repeat(offsets[:-1], size)
+            rank = early - np.repeat(base[:-1], size) - 1
+            rank = np.where(late, np.repeat(np.diff(base), size) + place - rank - 1, rank)
+            keys = h[rank < np.repeat(length, size)].view(np.int64)
             cuts = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys))], ["doc_id", "n", "keys"])
 
@@ -127,16 +134,15 @@ def bitmap(h: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _signed(texts: DataFrame, n: int) -> DataFrame:
-    """(id, arr, bits): sorted set and bitmap of each document."""
+def _arrays(texts: DataFrame, n: int) -> DataFrame:
+    """(id, arr): the sorted set of each document."""
 
     def run(batches):
         for batch in batches:
             h, offsets = sets(batch.column(1), n)
-            own = [h[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([bitmap(x) for x in own], pa.binary())], ["id", "arr", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[x:y].tobytes() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], ["id", "arr"])
 
-    return texts.mapInArrow(run, "id long, arr binary, bits binary")
+    return texts.mapInArrow(run, "id long, arr binary")
 
 
 def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -148,8 +154,10 @@ def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both) > 0
 
 
-def _verified(pairs: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Kept:
+    """The pairs (a, b) whose sets are similar; only the texts of their documents are read for that."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    arrays = Kept(_arrays(texts.join(ids, "doc_id", "left_semi"), n), "arrays")
 
     def run(batches):
         for batch in batches:
@@ -157,8 +165,34 @@ def _verified(pairs: DataFrame, signed: DataFrame, num: int, den: int) -> DataFr
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (0, 1)], ["a", "b"])
 
-    left = pairs.join(signed.select(F.col("id").alias("a"), F.col("arr").alias("x")), "a")
-    return left.join(signed.select(F.col("id").alias("b"), F.col("arr").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left = pairs.join(arrays.df.select(F.col("id").alias("a"), F.col("arr").alias("x")), "a")
+    both = left.join(arrays.df.select(F.col("id").alias("b"), F.col("arr").alias("y")), "b").select("a", "b", "x", "y")
+    out = Kept(both.mapInArrow(run, "a long, b long"), "links")
+    arrays.drop()
+    return out
+
+
+def admissible(x: bytes, y: bytes, n: int, m: int, num: int, den: int) -> bool:
+    """Whether sizes and bitmaps let two sets of n and m members be similar."""
+    if min(n, m) * den < max(n, m) * num:
+        return False
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    apart = int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+    return apart <= n + m - 2 * -(-num * (n + m) // (num + den))
+
+
+def _admitted(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps admit."""
+
+    def run(batches):
+        for batch in batches:
+            ok = [admissible(*r, num, den) for r in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            mask = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (0, 1)], ["a", "b"])
+
+    left = pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("x"), F.col("n").alias("nx")), "a")
+    both = left.join(bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("y"), F.col("n").alias("ny")), "b")
+    return both.select("a", "b", "x", "y", "nx", "ny").mapInArrow(run, "a long, b long")
 
 
 def tile_pairs(doc: np.ndarray, side: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,14 +226,14 @@ def tile_pairs(doc: np.ndarray, side: np.ndarray, n: np.ndarray, comp: np.ndarra
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _tiles(groups: DataFrame, comps: DataFrame, signed: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+def _tiles(groups: DataFrame, comps: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that groups of several components still hold."""
     # documents without a proven link are components of their own
     own = groups.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
     stats = own.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members"), F.min("doc_id").alias("d0"))
     # keys with the same members are one group
     open_keys = stats.where("c0 <> c1").groupBy("size", "members", "d0").agg(F.min("key").alias("key")).select("key", "size")
-    rows = own.join(open_keys, "key").join(signed.select(F.col("id").alias("doc_id"), "bits"), "doc_id")
+    rows = own.join(open_keys, "key").join(bits.select("doc_id", "bits"), "doc_id")
     blocks = F.ceil(F.col("size") / TILE).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.col("block").alias("side"), "doc_id", "n", "comp", "bits")
@@ -226,17 +260,19 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
 
     keyed = _prefixes(texts.where("doc_id is not null"), n, num, den, heavy).where("n > 0").join(reps, "doc_id", "left_semi")
     groups = Kept(shared_keys(keyed.select(F.explode("keys").alias("key"), "doc_id", "n"), parts), "groups")
-    wanted = groups.df.select("doc_id").distinct()
-    signed = Kept(_signed(texts.join(wanted, "doc_id", "left_semi"), n).dropDuplicates(["id"]), "signed")
+    bits = measured.where("n > 0 and doc_id is not null").select("doc_id", "n", "bits")
+    texts = texts.where("doc_id is not null")
 
     # one edge for each document, to the leader of most of its groups
     leaders = groups.df.where("doc_id <> leader").groupBy("doc_id", "leader").count()
     stars = leaders.groupBy("doc_id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-    proven = Kept(_verified(stars.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), signed.df, num, den), "links")
+    likely = Kept(_admitted(stars.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), bits, num, den), "pairs")
+    proven = _verified(likely.df, texts, n, num, den)
     first = connected_components(proven.df)
-    rest = Kept(_verified(_tiles(groups.df, first.df, signed.df, num, den, parts), signed.df, num, den), "links")
+    left = Kept(_tiles(groups.df, first.df, bits, num, den), "pairs")
+    rest = _verified(left.df, texts, n, num, den)
     final = connected_components(proven.df.union(rest.df))
-    for x in (groups, signed, proven, first, rest):
+    for x in (groups, likely, proven, first, left, rest):
         x.drop()
-    of_set = measured.join(classes, ["n", "a", "b"], "left")
+    of_set = measured.select("doc_id", "n", "a", "b").join(classes, ["n", "a", "b"], "left")
     return of_set.join(final.df.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
