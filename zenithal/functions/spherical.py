@@ -21,7 +21,7 @@ def reduce_lon(lon: Column) -> Column:
 
 def clamp_lat(lat: Column) -> Column:
     """Latitude in [-90, 90]."""
-    return F.greatest(F.lit(-90.0), F.least(F.lit(90.0), lat))
+    return F.when(lat > 90, 90.0).when(lat < -90, -90.0).otherwise(lat)
 
 
 def unit_vector(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
@@ -43,7 +43,7 @@ def ang_sep(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     s1 = F.sin(F.radians(lat2 - lat1) / 2)
     s2 = F.sin(F.radians(lon2 - lon1) / 2)
     h = s1 * s1 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * s2 * s2
-    return F.degrees(2 * F.asin(F.sqrt(F.least(F.lit(1.0), h))))
+    return F.degrees(2 * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h))))  # least() would pass over a null
 
 
 def _flag(test: Column) -> Column:

@@ -64,11 +64,13 @@ class QueryManager:
         return job
 
     def _run(self, job: Job, build) -> None:
-        self.spark.addTag(job.tag)
+        self.spark.sparkContext.addJobTag(job.tag)
         try:
             df, job.chunks = build()
             path = f"{self.folder}/result-{job.id}-{uuid.uuid4().hex[:8]}"
             names = df.columns
+            if job.state != EXECUTING:
+                return
             df.toDF(*[f"c{k}" for k in range(len(names))]).write.parquet(path)
             size = self._size(path)
             if self.limit_bytes is not None and size > self.limit_bytes:
@@ -82,7 +84,7 @@ class QueryManager:
         except Exception as e:  # noqa: BLE001  the job keeps what went wrong
             self._end(job, FAILED, str(e).split("\n")[0])
         finally:
-            self.spark.removeTag(job.tag)
+            self.spark.sparkContext.removeJobTag(job.tag)
 
     def _end(self, job: Job, state: str, message: str = "") -> None:
         with self._lock:
@@ -129,13 +131,19 @@ class QueryManager:
         job = self.job(job_id)
         self._end(job, ABORTED, "cancelled")
         if job.state == ABORTED:
-            self.spark.interruptTag(job.tag)
+            threading.Thread(target=self._interrupt, args=(job,), daemon=True).start()
+
+    def _interrupt(self, job: Job) -> None:
+        """Interrupt what runs under the tag until the query's thread has ended: its next Spark job may not have begun yet."""
+        while not job.future.done():
+            self.spark.sparkContext.cancelJobsWithTag(job.tag)
+            time.sleep(0.5)
 
     def progress(self, job: Job) -> str:
         """Tasks done and in all of the stages that now run under the query's tag."""
         tracker = self.spark.sparkContext.statusTracker()
         done = total = 0
-        for j in tracker.getActiveJobsIds():
+        for j in tracker.getJobIdsForTag(job.tag) if hasattr(tracker, "getJobIdsForTag") else tracker.getActiveJobsIds():
             info = tracker.getJobInfo(j)
             for s in info.stageIds if info else []:
                 if stage := tracker.getStageInfo(s):
