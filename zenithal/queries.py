@@ -9,6 +9,7 @@ degree. Every query has its DuckDB counterpart, which derives the same catalog.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ from .operators import duplication as D
 from .operators import partitioning as P
 from .operators.chunker import Chunker
 from .operators.near_neighbour import near_join
+from .sources import readers
+from .streaming.ingest import stream_into
 
 STRIPING = Striping(18, 3, 2.0, 1)
 _MATCH_RADIUS = 1.999
@@ -280,7 +283,64 @@ def show_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).sql("SHOW COLUMNS FROM Field WHERE Field NOT IN ('zone')").select("Field", "Type")
 
 
-OPERATORS = {f.__name__: f for f in (chunk_locate, overlap_explode, partition_matches, chunk_stats, partition_by_index, htm_id, htm_index, layout, duplicate, duplicate_shift, duplicate_estimate, async_result, processlist, query_history, show_columns)}
+def stored(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine with the director and its child stored by chunk, in a folder of its own."""
+    base = spark.conf.get("spark.sql.warehouse.dir", tempfile.gettempdir()).rstrip("/")
+    engine = Engine(spark, f"{base}/stored-{uuid.uuid4().hex}", "sky")
+    engine.catalog.create_database("sky", STRIPING)
+    for spec in _SPECS[:2]:
+        engine.ingest.load("sky", spec, derived(spark, sf_dir, spec.name))
+    return engine
+
+
+def ingest_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region of a table stored by chunk: the chunk list is a partition filter."""
+    return stored(spark, sf_dir).sql("SELECT objectId, chunkId FROM Object WHERE areaspec_circle(30, 10, 40.0051)")
+
+
+def director_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children of some keys: the index names their chunks."""
+    engine = stored(spark, sf_dir)
+    engine.ingest.build_director_index("sky", "Object")
+    return engine.sql("SELECT objectId, sourceId, price FROM Source WHERE objectId IN (1, 17, 42, 100)")
+
+
+def row_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = stored(spark, sf_dir)
+    engine.ingest.collect_row_counters("sky", "Source")
+    return engine.sql("SELECT COUNT(*) AS n FROM Source")
+
+
+def transaction_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an aborted transaction are gone, those of a committed one stay."""
+    engine = stored(spark, sf_dir)
+    for end, offset in ((engine.ingest.abort, 10_000_000), (engine.ingest.commit, 20_000_000)):
+        t = engine.ingest.begin("sky")
+        engine.ingest.append("sky", "Object", derived(spark, sf_dir, "Object").where("objectId < 10").withColumn("objectId", F.col("objectId") + offset), t)
+        end(t)
+    return engine.sql("SELECT objectId FROM Object WHERE objectId >= 10000000")
+
+
+def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by way of tab-separated files."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir', tempfile.gettempdir()).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    readers.write_csv(derived(spark, sf_dir, "Field"), path, readers.CsvDialect())
+    schema = readers.schema([{"name": "fieldId", "type": "int(11)"}, {"name": "fieldName", "type": "varchar(25)"}, {"name": "zone", "type": "int"}])
+    return readers.read_csv(spark, path, schema)
+
+
+def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of rows, appended batch by batch."""
+    base = spark.conf.get("spark.sql.warehouse.dir", tempfile.gettempdir()).rstrip("/")
+    engine = Engine(spark, f"{base}/stream-{uuid.uuid4().hex}", "sky")
+    engine.catalog.create_database("sky", STRIPING)
+    engine.ingest.create("sky", _SPECS[0])
+    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/customer.parquet").schema).option("pathGlobFilter", "customer.parquet").parquet(sf_dir)
+    stream_into(source.selectExpr(*_split(TABLES["Object"][1])), engine.ingest, "sky", "Object", f"{engine.ingest.warehouse}/_checkpoint").awaitTermination()
+    return engine.sql("SELECT segment, COUNT(*) AS n FROM Object GROUP BY segment")
+
+
+OPERATORS = {f.__name__: f for f in (ingest_chunked, director_index_lookup, row_counters, transaction_abort, csv_source, streaming_ingest, chunk_locate, overlap_explode, partition_matches, chunk_stats, partition_by_index, htm_id, htm_index, layout, duplicate, duplicate_shift, duplicate_estimate, async_result, processlist, query_history, show_columns)}
 
 _LOC = _located("Object", "ra", "decl")
 
@@ -319,6 +379,12 @@ ORACLE |= {
     "layout": "SELECT * FROM (VALUES " + ", ".join(f"({c}, {', '.join(f'{x!r}::DOUBLE' for x in _CHUNKER.chunk_bounds(c))})" for c in _CHUNKER.all_chunks) + ") AS t(chunkId, lon_min, lat_min, lon_max, lat_max)",
     "duplicate_shift": duck("SELECT objectId + 1000000 AS objectId, ROUND(CASE WHEN ra + 30.25 >= 360 THEN ra + 30.25 - 360 ELSE ra + 30.25 END, 6) AS ra, decl FROM Object"),
     "async_result": duck("SELECT segment, COUNT(*) AS n FROM Object GROUP BY segment"),
+    "ingest_chunked": duck(f"SELECT objectId, chunkId FROM {_LOC} WHERE {sep('ra', 'decl', '30', '10')} <= 40.0051", _strips()),
+    "director_index_lookup": duck("SELECT objectId, sourceId, price FROM Source WHERE objectId IN (1, 17, 42, 100)"),
+    "row_counters": duck("SELECT COUNT(*) AS n FROM Source"),
+    "transaction_abort": duck("SELECT objectId + 20000000 AS objectId FROM Object WHERE objectId < 10"),
+    "csv_source": duck("SELECT * FROM Field"),
+    "streaming_ingest": duck("SELECT segment, COUNT(*) AS n FROM Object GROUP BY segment"),
     "processlist": "SELECT 0::BIGINT AS n",
     "query_history": "SELECT 1::BIGINT AS ID, 'COMPLETED' AS STATE, 1::BIGINT AS ROWS",
     "show_columns": "SELECT * FROM (VALUES ('fieldId', 'int'), ('fieldName', 'string')) AS t(Field, Type)",
