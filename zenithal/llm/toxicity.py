@@ -1,12 +1,13 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 The fit takes about `per_class` labelled rows of each class, chosen by a hash of the
-id (a documented bound), and their different texts. Its terms are the `n_terms` words that part
-the classes best in the sample by the G statistic; their document frequencies are
-counted over all documents. Postings lie by term, examples in blocks of similar
-ones, with the largest weight of every term in every block. A text is held against
-blocks in the order of their upper bounds until no further block can reach its
-k-th score, so the neighbours are the exact ones. They vote with weights that fall
+id (a documented bound), and their different texts. Its terms are words and beginnings of words that a share of
+`support` of the examples of class 1 has, and that are `lift` times as frequent there as
+in class 0: at most `n_terms`, those that part the classes best by the G statistic. Their
+document frequencies are counted over all documents. Postings lie by term, examples in
+blocks of similar ones, with the largest weight of every term in every block. A text is
+held against blocks in the order of their upper bounds until no further block can reach its k-th
+score, so the neighbours are the exact ones. They vote with weights that fall
 with the distance, and a monotone map from leave-one-out votes of the examples
 themselves makes votes into probabilities. The neighbours are the evidence.
 
@@ -30,10 +31,16 @@ from .common import Kept, small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+#: Letters by which longer words count a second time.
+STEM = 5
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Words in lower case, and the first letters of longer words, marked by a star."""
+    if not text:
+        return []
+    found = _WORD.findall(text.lower())
+    return found + [w[:STEM] + "*" for w in found if len(w) > STEM]
 
 
 class Voter:
@@ -120,7 +127,7 @@ class Voter:
         return float(np.clip(np.interp(vote, self.x, self.y), 0, 1)), self.ids[places].tolist(), scores.tolist()
 
 
-def fit(labels: DataFrame, docs: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", per_class: int = 3000, n_terms: int = 512, k: int = 11) -> Voter | None:
+def fit(labels: DataFrame, docs: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", per_class: int = 3000, n_terms: int = 512, k: int = 11, lift: float = 5.0, support: float = 0.025) -> Voter | None:
     """A voter from labels (id, 0 or 1) and the documents they are of, with document frequencies of all documents.
 
     The sample of labels is bounded, so it is broadcast to the documents; they are not
@@ -150,7 +157,8 @@ def fit(labels: DataFrame, docs: DataFrame, text_col: str = "text", label_col: s
     df = terms.select("label", F.explode("words").alias("w")).groupBy("w").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("n")).where("n >= 3")
     b, part = F.col("n") - F.col("a"), lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     g = part(F.col("a"), F.col("n") * (p / (p + m))) + part(b, F.col("n") * (m / (p + m))) if p and m else F.lit(0.0)
-    chosen = sorted(r.w for r in df.select("w", g.alias("g")).orderBy(F.desc("g"), "w").limit(n_terms).collect())
+    lifted = (F.col("a") * m >= lift * b * p) & (F.col("a") >= support * p) if p and m else F.lit(False)
+    chosen = sorted(r.w for r in df.where(lifted).select("w", g.alias("g")).orderBy(F.desc("g"), "w").limit(n_terms).collect())
     known = {t: i for i, t in enumerate(chosen)}
 
     def frequencies(batches):
