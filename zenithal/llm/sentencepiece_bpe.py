@@ -2,7 +2,8 @@
 
 A text is cut before every run of spaces: no piece of the vocabulary has a space
 mark after another character (checked when the model is read; otherwise the whole
-text is one word), so merges never cross these cuts. Words not met before are
+text is one word), so merges never cross these cuts; and before line ends, where no
+longer piece holds one. Words not met before are
 encoded together: their characters are one flat array of symbols; each round finds
 the best-scored pair of every word (a segmented minimum), merges its leftmost
 occurrences at once, compacts the arrays, and drops the words that have no pair
@@ -31,7 +32,7 @@ from .common import small_batches
 
 MARK = "▁"
 #: Words whose ids a worker remembers; the table starts anew when it is full.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: Characters of words that merge together.
 FLAT_CHARS = 1 << 20
 _NONE = np.int64(1 << 40)
@@ -68,6 +69,7 @@ class MergeModel:
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
         self.chars = {p: i for p, i in pieces.items() if len(p) == 1}
         self.cut = all(MARK not in p.lstrip(MARK) for p in pieces)
+        self.lines = not any("\n" in p for p in pieces if len(p) > 1)
         # ranks: equal scores have equal ranks, better scores lower ones
         ranks = {s: k for k, s in enumerate(sorted(set(score.values()), reverse=True))}
         # symbols: a piece's id, or n + code point for a character without a piece; such
@@ -142,7 +144,9 @@ class MergeModel:
             place = np.cumsum(keep) - 1
             sym, word, first, rank, into = (x[keep] for x in (sym, word, first, rank, into))
             at = place[at]
-            touched = np.unique(np.concatenate([at, at[at > 0] - 1]))
+            changed = np.zeros(len(sym) + 1, bool)  # pairs with a merged symbol on either side
+            changed[at] = changed[at - 1] = True
+            touched = np.flatnonzero(changed[:-1])
             right = np.minimum(touched + 1, len(sym) - 1)
             r, m = self.pairs(sym[touched], sym[right])
             rank[touched] = np.where((right > touched) & (word[touched] == word[right]), r, _NONE)
@@ -199,7 +203,7 @@ class MergeModel:
             known.clear()
             fresh = {w for ws in split for w in ws}
         group, chars = [], 0
-        for w in sorted(fresh):
+        for w in fresh:
             group.append(w)
             chars += len(w)
             if chars >= FLAT_CHARS:
@@ -209,29 +213,39 @@ class MergeModel:
         head, tail = np.uint32(self.bos).astype("<u4").tobytes(), np.uint32(self.eos).astype("<u4").tobytes()
         return [head + b"".join(map(known.__getitem__, ws)) + tail for ws in split]
 
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """Words without the one space before each; further spaces of a run stay in front of the word."""
+    def words(self, text: str) -> list[str]:
+        """Words without the one space before each; further spaces of a run stay in front of the word.
+
+        Where line ends merge with nothing, a line's first word has its line end in front, and no space.
+        """
         if not text:
             return []
         if MARK in text:
             text = text.replace(MARK, " ")
+        if self.lines and "\n" in text:
+            text = text.replace("\n", " \n")
         parts = text.split(" ")
         if "" not in parts:
             return parts
         out, spaces = [], 0
         for p in parts:
-            if p:
-                out.append(" " * spaces + p)
+            if not p:
+                spaces += 1
+            elif self.lines and p[0] == "\n":
+                if spaces:
+                    out.append(" " * (spaces - 1))
+                out.append(p)
                 spaces = 0
             else:
-                spaces += 1
+                out.append(" " * spaces + p)
+                spaces = 0
         if spaces:
             out.append(" " * (spaces - 1))
         return out
 
-    @staticmethod
-    def spell(word: str) -> str:
+    def spell(self, word: str) -> str:
+        if self.lines and word[:1] == "\n":
+            return word
         return MARK + word.replace(" ", MARK)
 
     def decode(self, ids: bytes) -> bytes:
