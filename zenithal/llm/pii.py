@@ -87,22 +87,29 @@ _LOOKS = {
     "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-", " ": " ", " ": " ", " ": " ", "　": " ", "﹫": "@", "․": ".", "。": ".", "·": ".", "﹒": ".",
     "​": "", "‌": "", "‍": "", "⁠": "", "﻿": "", "­": "",
 }
-_TABLE = {ord(k): v for k, v in _LOOKS.items()}
-_TABLE |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}  # full-width forms
+_TABLE = {c: n for c in (*range(0x2000, 0x3100), *range(0xFE00, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n.isascii()}  # full-width, circled, mathematical forms
+_TABLE |= {ord(k): v for k, v in _LOOKS.items()}
 _TABLE |= {c: str(d) for c in range(0x80, 0x20000) if (d := unicodedata.digit(chr(c), None)) is not None}
+_ODD_CHARS = frozenset(map(chr, _TABLE))
 _ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_TABLE)) + "]")
 
 _NUMBER = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _N = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:(plus)[ -])?({_N}(?:[ ,-]{{1,2}}{_N})*+)(?![A-Za-z])", re.I)
-_TWO_SPELLED = re.compile(rf"\b{_N}[ ,-]{{1,2}}{_N}\b", re.I)
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:(plus)[ -])?({_N}(?:[ ,-]{{1,3}}{_N})*+)(?![A-Za-z])", re.I)
+_PAIR = re.compile(rf"{_N}[ ,-]{{1,3}}{_N}\b")
 _BRACKET = re.compile(r"[ ]?[\[({<][ ]?(?:(at|@)|(dot|\.|punkt|point))[ ]?[\])}>][ ]?", re.I)
 _WORDY = re.compile(r"(?<=[A-Za-z0-9])(?:[ ]at[ ]|[ ]?@[ ]?)(?=[A-Za-z0-9-]++(?:(?:[ ]dot[ ]|[ ]?\.[ ]?|\.)[A-Za-z0-9-]++)++)", re.I)
 _DOT = re.compile(r"(?<=[A-Za-z0-9])[ ]+dot[ ]+(?=[A-Za-z0-9])", re.I)
+_UNDERLINED = re.compile(r"(?<=[A-Za-z0-9])[_-](?:(at)|dot)[_-](?=[A-Za-z0-9])", re.I)
 _HAS_DOT = re.compile(r"[ ]dot[ ]", re.I)
 _SPACED_OCTETS = re.compile(r"(?<=[0-9])[ ]dot[ ](?=[0-9])", re.I)
 
 
+#: Letters that stand for digits, in a token that has digits.
+_MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[0-9]*[OoIl])(?=[OoIl]*[0-9])[0-9OoIl]{2,}(?![A-Za-z0-9])")
+_AS_DIGITS = str.maketrans("OoIl", "0011")
+
+
 class Tape:
     """A text with the source span of each of its characters, and whether it was rewritten."""
 
@@ -141,7 +148,12 @@ def _digits(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
+def _letters(tape: Tape) -> None:
+    tape.rewrite([(m.start() + k, m.start() + k + 1, c.translate(_AS_DIGITS)) for m in _MIXED.finditer(tape.text) for k, c in enumerate(m[0]) if not c.isdigit()])
+
+
 def _signs(tape: Tape) -> None:
+    tape.rewrite([(*m.span(), "@" if m[1] else ".") for m in _UNDERLINED.finditer(tape.text)])
     tape.rewrite([(*m.span(), "@" if m[1] else ".") for m in _BRACKET.finditer(tape.text)])
     tape.rewrite([(*m.span(), ".") for m in _SPACED_OCTETS.finditer(tape.text)])
     found = [m for m in _WORDY.finditer(tape.text) if m[0] != "@"]
@@ -160,11 +172,27 @@ def _signs(tape: Tape) -> None:
     tape.rewrite([(*m.span(), ".") for m in _DOT.finditer(tape.text) if re.search(r"@[A-Za-z0-9.-]+\Z", tape.text[max(0, m.start() - 80) : m.start()])])
 
 
+def _two_spelled(text: str) -> bool:
+    """Whether two number words follow each other; by plain searches, which are far faster than the pattern alone."""
+    low = text.lower()
+    for word in _NUMBER:
+        at = low.find(word)
+        while at >= 0:
+            if (not at or not low[at - 1].isalnum()) and _PAIR.match(low, at):
+                return True
+            at = low.find(word, at + 1)
+    return False
+
+
 def disguised(text: str) -> bool:
     """Whether anything in the text calls for the transducers."""
-    if not text.isascii() and _ODD.search(text):
+    if not text.isascii() and not _ODD_CHARS.isdisjoint(set(text)):
+        return True
+    if any(c in text for c in "[({<") and _BRACKET.search(text):
+        return True
+    if any(w in text for w in ("dot", "Dot", "DOT")) and (_HAS_DOT.search(text) or _UNDERLINED.search(text)):
         return True
-    return bool(_BRACKET.search(text)) if any(c in text for c in "[({<") and _BRACKET.search(text) else bool(("dot" in text or "DOT" in text or "Dot" in text) and _HAS_DOT.search(text)) or bool(_TWO_SPELLED.search(text))
+    return bool(_DIGIT.search(text) and _MIXED.search(text)) or _two_spelled(text)
 
 
 def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
@@ -175,6 +203,7 @@ def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
     if disguised(text):
         tape = Tape(text)
         tape.rewrite([(*m.span(), _TABLE[ord(m[0])]) for m in _ODD.finditer(text)])
+        _letters(tape)
         _digits(tape)
         _signs(tape)
         for kind, spans in plain_spans(tape.text).items():
