@@ -17,7 +17,8 @@ only the best few of each task are shuffled.
 Nulls and edges: vectors that are null or hold null or non-finite components take no
 part; a zero vector does; equal scores go to the smaller id; a query meets every row
 but those with its own id; vectors of another length are no candidates; sums beyond
-the exact range of doubles are made with integers.
+the exact range of doubles are made with integers, and scores beyond 64 bits are held at
+the nearest long.
 """
 
 from __future__ import annotations
@@ -30,10 +31,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors as V
+from .common import Kept
 
 ROWS = 8192
 
 
+_END = (1 << 63) - 1
+
+
+def _long(v) -> int:
+    """An integer as a long; beyond 64 bits, the nearest long."""
+    return max(-_END - 1, min(_END, int(v)))
+
+
 def integers(x: np.ndarray) -> np.ndarray:
     return np.floor(256 * x)
 
@@ -97,22 +107,26 @@ def _cutoffs(data: DataFrame, block, n: int, k: int, fragments: int) -> list[tup
             for i, at in enumerate(own):
                 for j in order[i]:
                     if not mine[i, j]:
-                        for c, v in zip(rows, (at, f, vec_ids[j], zlib.crc32(x[j].tobytes()), int(local[f, i, j]), int(low[i])), strict=True):
-                            rows[c].append(int(v))
+                        for c, v in zip(rows, (at, f, vec_ids[j], zlib.crc32(x[j].tobytes()), local[f, i, j], low[i]), strict=True):
+                            rows[c].append(_long(v))
         return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if c in ("query_at", "fragment") else pa.int64()) for c, v in rows.items()], list(rows))
 
-    lists = data.mapInArrow(lambda b: _blocks(b, *block.value, gather), "query_at int, fragment int, vec_id long, row long, score long, least long")
+    kept = Kept(data.mapInArrow(lambda b: _blocks(b, *block.value, gather), "query_at int, fragment int, vec_id long, row long, score long, least long"), "lists")
+    lists = kept.df
     # the k best of each list over all tasks; bounded by queries x fragments x k
     w = Window.partitionBy("query_at", "fragment").orderBy(F.desc("score"), "vec_id", "row")
     lows = {(r.query_at, r.fragment): r.low for r in lists.groupBy("query_at", "fragment").agg(F.min("least").alias("low")).toLocalIterator()}
     seen: dict[int, dict[tuple[int, int], dict[int, int]]] = {}
     for r in lists.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).toLocalIterator():
         seen.setdefault(r.query_at, {}).setdefault((r.vec_id, r.row), {})[r.fragment] = r.score  # rows that are equal count once
+    kept.drop()
     out: list = [None] * n
     for at, rows in seen.items():
         low = [lows.get((at, f), 0) for f in range(fragments)]
         sums = sorted((sum(have.get(f, low[f]) for f in range(fragments)) for have in rows.values()), reverse=True)
-        tau = sums[k - 1] if len(sums) >= k else sum(low)
+        # scores beyond 64 bits bound nothing
+        wild = any(abs(v) >= _END for v in (*low, *(s for have in rows.values() for s in have.values())))
+        tau = sums[k - 1] if len(sums) >= k and not wild else sum(low)
         out[at] = (tau, sum(low), low)
     return out
 
@@ -135,5 +149,5 @@ def _resolve(ids, own, q, vec_ids, x, cutoffs, k, fragments):
         order = np.array(sorted(range(len(left)), key=lambda j: (-exact[j], j))[:k], int) if local.dtype == object else np.lexsort((left, -exact))[:k]
         for j in order:
             for c, v in zip(rows, (ids[at], at, vec_ids[left[j]], exact[j]), strict=True):
-                rows[c].append(int(v))
+                rows[c].append(_long(v))
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if c == "query_at" else pa.int64()) for c, v in rows.items()], list(rows))
