@@ -34,7 +34,7 @@ class Engine:
         self.catalog, self.functions = Catalog(spark), FunctionRegistry()
         self.ingest = Ingest(spark, self.catalog, warehouse)
         self.manager = QueryManager(spark, f"{warehouse.rstrip('/')}/_results", limit_bytes=limit_bytes)
-        self.options: dict[str, object] = {"ROW_COUNTER_OPTIMIZATION": 1, "DEBUG_CZAR_NO_MERGE": 0}
+        self.options: dict[str, object] = {"ROW_COUNTER_OPTIMIZATION": 1, "NO_MERGE": 0}
 
     def use(self, db: str) -> None:
         self.catalog.database(db)
