@@ -10,7 +10,7 @@ the best `rerank` candidates of each batch of rows, and ranks these by the exact
 cosine of the original vectors in double precision.
 
 Queries go to the executors in blocks of bounded size; each block takes one pass over
-the vectors, without a shuffle but for the best few of each task.
+the vectors, without a shuffle but for the best few of each task and query.
 
 Nulls and edges: vectors that are null, zero, or hold null or non-finite components
 take no part, as queries or as candidates; equal scores go to the smaller id; a query
@@ -146,16 +146,18 @@ def _scan(batches, quantisers, ids, rows, k, rerank):
         q = np.stack([rows[i] for i in at])
         scaled = q / np.abs(q).max(1, keepdims=True)
         held[int(d)] = (at, q, scaled / np.linalg.norm(scaled, axis=1, keepdims=True))
+    best = V.Best(len(ids), k, float)
     for batch in V.rebatch(batches, ROWS):
         vec_ids = batch.column(0).to_numpy()
         for places, x in V.matrix(batch.column(1)):
             if (d := x.shape[1]) not in held:
                 continue
             for start in range(0, len(x), ROWS):
-                yield from _scan_block(vec_ids[places[start : start + ROWS]], x[start : start + ROWS], quantisers.get(d), ids, *held[d], k, rerank)
+                _scan_block(best, vec_ids[places[start : start + ROWS]], x[start : start + ROWS], quantisers.get(d), ids, *held[d], rerank)
+    yield best.rows(ids)
 
 
-def _scan_block(vec_ids, x, quantiser, ids, at, q, unit_q, k, rerank):
+def _scan_block(best, vec_ids, x, quantiser, ids, at, q, unit_q, rerank):
     order = np.argsort(vec_ids, kind="stable")
     vec_ids, x = vec_ids[order], x[order]
     scaled = x / np.abs(x).max(1, keepdims=True)
@@ -172,9 +174,5 @@ def _scan_block(vec_ids, x, quantiser, ids, at, q, unit_q, k, rerank):
             cand = V.top(scores, vec_ids, rerank)
         n = cand.shape[1]
         exact = cosines(np.repeat(q[part], n, axis=0), x[cand.ravel()]).reshape(cand.shape)
-        exact[vec_ids[cand] == ids[own][:, None]] = -np.inf
-        order = np.lexsort((vec_ids[cand], -exact), axis=1)[:, :k]
-        score, vec = np.take_along_axis(exact, order, 1), vec_ids[np.take_along_axis(cand, order, 1)]
-        ok = np.isfinite(score).ravel()
-        m = order.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[own], m)[ok]), pa.array(np.repeat(own, m)[ok].astype(np.int32)), pa.array(vec.ravel()[ok]), pa.array(score.ravel()[ok])], ["query_id", "query_at", "vec_id", "score"])
+        found = vec_ids[cand]
+        best.add(own, exact, np.where((found == ids[own][:, None]) | ~np.isfinite(exact), V.NO_ID, found))

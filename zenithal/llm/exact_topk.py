@@ -65,7 +65,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, fragments: int =
     for ids, rows in V.passes(asked):
         block = spark.sparkContext.broadcast((ids, [integers(r) for r in rows]))
         cutoffs = spark.sparkContext.broadcast(_cutoffs(data, block, len(ids), k, fragments))
-        found = data.mapInArrow(lambda b, block=block, cut=cutoffs: _blocks(b, *block.value, lambda *a, cut=cut: _resolve(*a, cut.value, k, fragments)), "query_id long, query_at int, vec_id long, score long")
+        found = data.mapInArrow(lambda b, block=block, cut=cutoffs: _resolved(b, *block.value, cut.value, k, fragments), "query_id long, query_at int, vec_id long, score long")
         out = found if out is None else out.union(found)
     if out is None:
         out = spark.createDataFrame([], "query_id long, query_at int, vec_id long, score long")
@@ -92,26 +92,28 @@ def _blocks(batches, ids, rows, work):
 def _cutoffs(data: DataFrame, block, n: int, k: int, fragments: int) -> list[tuple[int, int, list[int]] | None]:
     """Phase 1: for each query of the block tau, and the least local score of each fragment."""
 
-    def gather(ids, own, q, vec_ids, x):
-        local = _local(q, x, fragments)
-        mine = vec_ids[None, :] == ids[own][:, None]
-        rows = {c: [] for c in ("query_at", "fragment", "vec_id", "row", "score", "least")}
-        for f in range(fragments):
-            s = np.where(mine, -np.inf, local[f].astype(float)) if local.dtype != object else np.where(mine, None, local[f])
-            if local.dtype == object:
-                order = np.array([sorted(range(len(vec_ids)), key=lambda j, r=r: (r[j] is None, -(r[j] or 0), j))[:k] for r in s])
-            else:
-                order = V.top(s, vec_ids, min(k, s.shape[1]))
-                order = order[:, :k]
-            low = local[f].min(1)
-            for i, at in enumerate(own):
-                for j in order[i]:
-                    if not mine[i, j]:
-                        for c, v in zip(rows, (at, f, vec_ids[j], zlib.crc32(x[j].tobytes()), local[f, i, j], low[i]), strict=True):
-                            rows[c].append(_long(v))
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if c in ("query_at", "fragment") else pa.int64()) for c, v in rows.items()], list(rows))
-
-    kept = Kept(data.mapInArrow(lambda b: _blocks(b, *block.value, gather), "query_at int, fragment int, vec_id long, row long, score long, least long"), "lists")
+    def gather(batches):
+        ids, rows = block.value
+        best, least = V.Best(n * fragments, k, np.int64), np.full(n * fragments, _END, np.int64)
+
+        def work(ids, own, q, vec_ids, x):
+            local, wide = _local(q, x, fragments), np.frompyfunc(_long, 1, 1)
+            crc = np.array([zlib.crc32(r.tobytes()) for r in x], np.int64)
+            mine = vec_ids[None, :] == ids[own][:, None]
+            for f in range(fragments):
+                s = (wide(local[f]) if local.dtype == object else local[f]).astype(np.int64)
+                order = V.top(np.where(mine, -np.inf, s.astype(float)), vec_ids, min(k, s.shape[1]))[:, :k] if local.dtype != object else np.argsort(~s, axis=1, kind="stable")
+                at, vec = own * fragments + f, np.where(np.take_along_axis(mine, order, 1), V.NO_ID, vec_ids[order])
+                best.add(at, np.take_along_axis(s, order, 1), vec, crc[order])
+                least[at] = np.minimum(least[at], s.min(1))
+
+        for _ in _blocks(batches, ids, rows, work):
+            pass
+        q, j = np.nonzero(best.vec != V.NO_ID)
+        arrays = [(q // fragments).astype(np.int32), (q % fragments).astype(np.int32), best.vec[q, j], best.row[q, j], best.score[q, j], least[q]]
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["query_at", "fragment", "vec_id", "row", "score", "least"])
+
+    kept = Kept(data.mapInArrow(gather, "query_at int, fragment int, vec_id long, row long, score long, least long"), "lists")
     lists = kept.df
     # the k best of each list over all tasks; bounded by queries x fragments x k
     w = Window.partitionBy("query_at", "fragment").orderBy(F.desc("score"), "vec_id", "row")
@@ -131,10 +133,16 @@ def _cutoffs(data: DataFrame, block, n: int, k: int, fragments: int) -> list[tup
     return out
 
 
-def _resolve(ids, own, q, vec_ids, x, cutoffs, k, fragments):
+def _resolved(batches, ids, rows, cutoffs, k, fragments):
+    best = V.Best(len(ids), k, np.int64)
+    for _ in _blocks(batches, ids, rows, lambda *block: _resolve(best, *block, cutoffs, k, fragments)):
+        pass
+    yield best.rows(ids)
+
+
+def _resolve(best, ids, own, q, vec_ids, x, cutoffs, k, fragments):
     """Phases 2 and 3 over one block of rows."""
     local = _local(q, x, fragments)
-    rows = {c: [] for c in ("query_id", "query_at", "vec_id", "score")}
     for i, at in enumerate(own):
         if cutoffs[at] is None:
             continue
@@ -146,8 +154,6 @@ def _resolve(ids, own, q, vec_ids, x, cutoffs, k, fragments):
         # without an entry no row reaches tau, unless tau is the least sum there can be
         left = np.flatnonzero(((enough.any(0)) | (tau <= base)) & (bound >= tau - base) & (vec_ids != ids[at]))
         exact = local[:, i, :][:, left].sum(0)
-        order = np.array(sorted(range(len(left)), key=lambda j: (-exact[j], j))[:k], int) if local.dtype == object else np.lexsort((left, -exact))[:k]
-        for j in order:
-            for c, v in zip(rows, (ids[at], at, vec_ids[left[j]], exact[j]), strict=True):
-                rows[c].append(_long(v))
-    return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if c == "query_at" else pa.int64()) for c, v in rows.items()], list(rows))
+        order = np.array(sorted(range(len(left)), key=lambda j, e=exact: (-e[j], j))[:k], int) if local.dtype == object else np.lexsort((left, -exact))[:k]
+        if len(order):
+            best.add(np.array([at]), np.array([[_long(exact[j]) for j in order]], np.int64), vec_ids[left[order]][None, :])

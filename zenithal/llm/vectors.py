@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import ship
 
 #: Queries that one pass over the vectors answers; bounds what is broadcast.
-QUERIES_A_PASS = 4096
+QUERIES_A_PASS = 16384
 
 
 def clean(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", nonzero: bool = False) -> DataFrame:
@@ -64,6 +64,30 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+class Best:
+    """The k best rows so far of each query of a block, within one task: what is shuffled grows with the tasks, not the rows."""
+
+    def __init__(self, queries: int, k: int, kind: type):
+        self.k, self.kind = k, kind
+        self.score = np.full((queries, k), -np.inf if kind is float else np.iinfo(np.int64).min, kind)
+        self.vec, self.row = np.full((queries, k), _NO_ID, np.int64), np.zeros((queries, k), np.int64)
+
+    def add(self, at: np.ndarray, score: np.ndarray, vec: np.ndarray, row: np.ndarray | None = None) -> None:
+        """Candidates (queries at x any number); those with NO_ID count as none; row tells rows of one id apart."""
+        row = np.zeros_like(vec) if row is None else row
+        score, vec, row = (np.concatenate([a[at], b], axis=1) for a, b in ((self.score, score), (self.vec, vec), (self.row, row)))
+        order = np.lexsort((row, vec, -score if self.kind is float else ~score, vec == _NO_ID), axis=1)[:, : self.k]
+        self.score[at], self.vec[at], self.row[at] = (np.take_along_axis(a, order, 1) for a in (score, vec, row))
+
+    def rows(self, ids: np.ndarray) -> pa.RecordBatch:
+        q, j = np.nonzero(self.vec != _NO_ID)
+        return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(q.astype(np.int32)), pa.array(self.vec[q, j]), pa.array(self.score[q, j])], ["query_id", "query_at", "vec_id", "score"])
+
+
+#: Stands for no row among candidates.
+_NO_ID = NO_ID = np.iinfo(np.int64).max
+
+
 def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k best of each row (fewer columns: all), ties to the smaller id; ids ascend."""
     if scores.shape[1] <= k:
