@@ -81,6 +81,20 @@ def test_transactions(spark, engine):
         engine.ingest.commit(t)
 
 
+def test_contributions(spark, engine, tmp_path):
+    t, path = engine.ingest.begin("d"), str(tmp_path / "late")
+    c = engine.ingest.contribute("d", "Obj", lambda: spark.read.parquet(path), t)
+    assert c.state == "FAILED" and "PATH_NOT_FOUND" in c.error
+    spark.createDataFrame([(2000, 5.0, 5.0, 1.0, "z")], "id long, ra double, decl double, f float, s string").write.parquet(path)
+    assert engine.ingest.retry(c.id).state == "FINISHED" and engine.ingest.status().first().state == "FINISHED"
+    engine.ingest.commit(t)
+    assert engine.sql("SELECT s FROM Obj WHERE id = 2000").first().s == "z"
+
+
+def test_pools(engine):
+    assert engine.pool("SELECT id FROM Obj WHERE areaspec_circle(10, 10, 0.1)") == "interactive" and engine.pool("SELECT id FROM Obj") == "scan"
+
+
 def test_row_counters(engine):
     engine.ingest.collect_row_counters("d", "Src")
     df = engine.sql("SELECT count(*) FROM Src")

@@ -12,15 +12,12 @@ from pyspark.sql import types as T
 from .catalog import Catalog
 from .errors import AnalysisError, EngineError, UnsupportedQueryError
 from .functions.registry import FunctionRegistry
-from .manager import QueryManager
+from .manager import INTERACTIVE_CHUNKS, QueryManager
 from .plans import ast as A
 from .plans.builder import Builder
 from .plans.parser import parse
 from .sources.ingest import Ingest
 
-#: Queries that touch no more chunks than this run in the interactive scheduler pool.
-INTERACTIVE_CHUNKS = 10
-
 
 class Engine:
     """A session over a catalog.

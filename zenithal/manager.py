@@ -21,6 +21,9 @@ EXECUTING, COMPLETED, FAILED, FAILED_LR, ABORTED = "EXECUTING", "COMPLETED", "FA
 #: Characters of a query that the short process list shows.
 SHORT = 32
 
+#: Queries that touch no more chunks than this run in the interactive scheduler pool.
+INTERACTIVE_CHUNKS = 10
+
 _PROCESSES = "Id long, User string, Host string, db string, Command string, Time double, State string, Info string, Progress string"
 _QUERIES = "ID long, TYPE string, STATE string, SUBMITTED double, COMPLETED double, ROWS long, BYTES long, CHUNKS int, MESSAGE string, QUERY string"
 
@@ -71,6 +74,9 @@ class QueryManager:
             names = df.columns
             if job.state != EXECUTING:
                 return
+            # under fair scheduling, queries of few chunks need not wait for scans
+            pool = "interactive" if job.chunks is not None and job.chunks <= INTERACTIVE_CHUNKS else "scan"
+            self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
             df.toDF(*[f"c{k}" for k in range(len(names))]).write.parquet(path)
             size = self._size(path)
             if self.limit_bytes is not None and size > self.limit_bytes:
@@ -84,6 +90,7 @@ class QueryManager:
         except Exception as e:  # noqa: BLE001  the job keeps what went wrong
             self._end(job, FAILED, str(e).split("\n")[0])
         finally:
+            self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
             self.spark.sparkContext.removeJobTag(job.tag)
 
     def _end(self, job: Job, state: str, message: str = "") -> None:

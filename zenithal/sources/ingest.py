@@ -32,10 +32,25 @@ class Transaction:
     state: str = STARTED
 
 
+@dataclass
+class Contribution:
+    """Rows that were, are being, or failed to be added to a table in a transaction."""
+
+    id: int
+    trans_id: int
+    db: str
+    table: str
+    state: str = "IN_PROGRESS"
+    error: str = ""
+    again: object = None  # what a retry runs
+
+
 class Ingest:
     def __init__(self, spark: SparkSession, catalog: Catalog, warehouse: str, salt: int = 4):
         self.spark, self.catalog, self.warehouse, self.salt = spark, catalog, warehouse.rstrip("/"), salt
         self.transactions: dict[int, Transaction] = {}
+        self.contributions: dict[int, Contribution] = {}
+        self._numbers = itertools.count(1)
         self._ids, self._lock = itertools.count(1), threading.Lock()
 
     def path(self, db: str, table: str) -> str:
@@ -60,6 +75,7 @@ class Ingest:
         t.state = ABORTED
         for table in self.catalog.database(t.db).tables.values():
             if table.path is not None:
+                self._forget(table)
                 self._delete(f"{table.path}/{TRANS}={t.id}")
 
     @staticmethod
@@ -99,12 +115,59 @@ class Ingest:
             rows = P.matches_by_index(rows, spec.key, self._index(db, spec.director), spec.key2, self._index(db, spec.director2))
         self._write(rows, entry, t)
 
+    def contribute(self, db: str, table: str, source, t: Transaction, generated: dict[str, str] | None = None, wait: bool = True) -> Contribution:
+        """Add the rows of a source, a function that reads them; errors are kept with the contribution, for `retry`."""
+        c = Contribution(next(self._numbers), t.id, db, table)
+        c.again = lambda: self.append(db, table, source(), t, generated)
+        self.contributions[c.id] = c
+        thread = threading.Thread(target=self._contribute, args=(c,), daemon=True)
+        thread.start()
+        if wait:
+            thread.join()
+        return c
+
+    def _contribute(self, c: Contribution) -> None:
+        c.state, c.error, tag = "IN_PROGRESS", "", f"contribution-{id(self)}-{c.id}"
+        sc = self.spark.sparkContext
+        sc.addJobTag(tag)
+        try:
+            c.again()
+            c.state = "FINISHED"
+        except Exception as e:  # noqa: BLE001  the contribution keeps what went wrong
+            c.state, c.error = ("CANCELLED" if c.state == "CANCELLED" else "FAILED"), str(e).split("\n")[0]
+        finally:
+            sc.removeJobTag(tag)
+
+    def retry(self, contribution: int) -> Contribution:
+        """Run a failed contribution again; what fails writes nothing, so no row comes twice."""
+        c = self.contributions[contribution]
+        if c.state not in ("FAILED", "CANCELLED"):
+            raise AnalysisError(f"contribution {c.id} is {c.state}")
+        self._contribute(c)
+        return c
+
+    def cancel(self, contribution: int) -> None:
+        c = self.contributions[contribution]
+        if c.state == "IN_PROGRESS":
+            c.state = "CANCELLED"
+            self.spark.sparkContext.cancelJobsWithTag(f"contribution-{id(self)}-{c.id}")
+
+    def status(self) -> DataFrame:
+        """All contributions."""
+        return self.spark.createDataFrame([(c.id, c.trans_id, c.db, c.table, c.state, c.error) for c in self.contributions.values()], "id long, trans_id long, db string, table string, state string, error string")
+
+    def _forget(self, entry) -> None:
+        """An index or counters of a table that changes would lose rows: they are built anew when they are asked for."""
+        self.catalog.indexes.pop((entry.db, entry.spec.name), None)
+        self.catalog.counters.pop((entry.db, entry.spec.name), None)
+
     def _index(self, db: str, director: str) -> DataFrame:
         if (db, director) not in self.catalog.indexes:
             self.build_director_index(db, director)
         return self.catalog.indexes[db, director]()
 
     def _write(self, rows: DataFrame, entry, t: Transaction) -> None:
+        self._forget(entry)
         rows = rows.withColumn(TRANS, F.lit(t.id))
         if entry.spec.role == REGULAR:
             rows.write.mode("append").partitionBy(TRANS).parquet(entry.path)
