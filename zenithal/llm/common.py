@@ -244,7 +244,7 @@ def shared_keys(rows: DataFrame, parts: int) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
-def connected_components(edges: DataFrame, what: str = "components", rounds: int = 40) -> Kept:
+def connected_components(edges: DataFrame, what: str = "components") -> Kept:
     """Smallest id that links reach from each id, as (id, component), for ids that have links.
 
     edges: long columns a and b, any order, repeats allowed. Alternates the
@@ -253,7 +253,7 @@ def connected_components(edges: DataFrame, what: str = "components", rounds: int
     """
     now = Kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), what)
     seen = None
-    for _ in range(rounds):
+    while True:  # each round but the last changes the links; their number of rounds is logarithmic
         state = now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen or not state[0]:
             break

@@ -54,7 +54,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), length=50)
+    spans = suffix_dedup.repeats(table(spark, sf_dir, "documents"), length=50)
+    cuts = F.transform(F.arrays_zip("cut_starts", "cut_ends"), lambda c: F.concat_ws(":", c["cut_starts"].cast("string"), c["cut_ends"].cast("string")))
+    return spans.select("doc_id", "start", "end", "first_doc", F.concat_ws(",", cuts).alias("cuts"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +92,24 @@ ORACLE: dict[str, str] = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
         FROM s QUALIFY rank <= 5
     """,
+    "op6_suffix_dedup": """
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents WHERE text IS NOT NULL
+        ), r AS (
+            SELECT doc_id, i - 1 AS a, array_to_string(ws[i : i + 49], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+        ), l AS (SELECT g, min(doc_id) AS leader FROM r GROUP BY g HAVING min(doc_id) <> max(doc_id)),
+        s AS (
+            SELECT doc_id, a, leader, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a) AS span FROM (
+                SELECT doc_id, a, leader, CASE WHEN a <= lag(a) OVER (PARTITION BY doc_id ORDER BY a) + 50 THEN 0 ELSE 1 END AS fresh FROM r JOIN l USING (g))
+        ), c AS (
+            SELECT doc_id, span, min(a) AS a, max(a) + 50 AS b FROM (
+                SELECT doc_id, span, a, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a) AS cut FROM (
+                    SELECT doc_id, span, a, CASE WHEN a <= lag(a) OVER (PARTITION BY doc_id ORDER BY a) + 50 THEN 0 ELSE 1 END AS fresh FROM s WHERE leader <> doc_id))
+            GROUP BY doc_id, span, cut
+        ), k AS (SELECT doc_id, span, string_agg(a || ':' || b, ',' ORDER BY a) AS cuts FROM c GROUP BY doc_id, span)
+        SELECT s.doc_id, min(a) AS start, max(a) + 50 AS "end", min(leader) AS first_doc, coalesce(any_value(cuts), '') AS cuts
+        FROM s LEFT JOIN k ON k.doc_id = s.doc_id AND k.span = s.span GROUP BY s.doc_id, s.span
+    """,
     "op8_ngram_join": """
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
