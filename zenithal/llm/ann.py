@@ -113,7 +113,7 @@ def fit(vectors: DataFrame, sample: int = 8192, **options) -> dict[int, Quantise
         return {}
     some = vectors.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 20)) < (1 << 20) * min(1.0, sample / n)) if n > sample else vectors
     by: dict[int, list[np.ndarray]] = {}
-    for r in some.toLocalIterator():
+    for r in some.collect():  # bounded by the sample
         by.setdefault(len(r.v), []).append(np.array(r.v))
     out = {}
     for d, rows in by.items():

@@ -117,9 +117,9 @@ def _cutoffs(data: DataFrame, block, n: int, k: int, fragments: int) -> list[tup
     lists = kept.df
     # the k best of each list over all tasks; bounded by queries x fragments x k
     w = Window.partitionBy("query_at", "fragment").orderBy(F.desc("score"), "vec_id", "row")
-    lows = {(r.query_at, r.fragment): r.low for r in lists.groupBy("query_at", "fragment").agg(F.min("least").alias("low")).toLocalIterator()}
+    lows = {(r.query_at, r.fragment): r.low for r in lists.groupBy("query_at", "fragment").agg(F.min("least").alias("low")).collect()}
     seen: dict[int, dict[tuple[int, int], dict[int, int]]] = {}
-    for r in lists.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).toLocalIterator():
+    for r in lists.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).collect():
         seen.setdefault(r.query_at, {}).setdefault((r.vec_id, r.row), {})[r.fragment] = r.score  # rows that are equal count once
     kept.drop()
     out: list = [None] * n

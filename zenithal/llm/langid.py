@@ -148,7 +148,7 @@ class LanguageModel:
 def fit(examples: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = 300, size: int = 1024, n: int = 3) -> LanguageModel:
     """Prototypes from about `per_language` different texts of each language, chosen by hash.
 
-    Only sums of profiles reach the driver: size numbers for each language and partition of the sample.
+    Only sums of profiles reach the driver: `size` numbers for each language.
     """
     small_batches(examples.sparkSession)
     labelled = examples.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
@@ -165,11 +165,14 @@ def fit(examples: DataFrame, lang_col: str = "lang", text_col: str = "text", per
             profiles, _ = profiler(size, n).bundles(batch.column(1).to_pylist())
             for lang, p in zip(batch.column(0).to_pylist(), unit(profiles), strict=True):
                 sums[lang] = sums.get(lang, 0) + p.astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))], ["lang", "profile"])
+        langs = np.repeat(list(sums), size) if sums else []
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.tile(np.arange(size), len(sums))), pa.array(np.concatenate(list(sums.values())) if sums else [], pa.float64())], ["lang", "place", "x"])
 
+    # rounded to binary fractions, so that the order of the partitions cannot change a sum
+    exact = F.sum(F.round(F.col("x") * (1 << 40)).cast("decimal(38,0)")).alias("x")
     total: dict[str, np.ndarray] = {}
-    for row in chosen.mapInArrow(run, "lang string, profile array<double>").toLocalIterator():
-        total[row.lang] = total.get(row.lang, 0) + np.array(row.profile)
+    for row in chosen.mapInArrow(run, "lang string, place long, x double").groupBy("lang", "place").agg(exact).collect():
+        total.setdefault(row.lang, np.zeros(size))[row.place] = float(row.x)
     languages = sorted(total)
     return LanguageModel(languages, unit(np.array([total[x] for x in languages])).astype(np.float32), size, n)
 

@@ -131,7 +131,7 @@ def fit(labels: DataFrame, docs: DataFrame, text_col: str = "text", label_col: s
     """A voter from labels (id, 0 or 1) and the documents they are of, with document frequencies of all documents.
 
     The sample of labels is bounded, so it is broadcast to the documents; they are not
-    shuffled. To the driver come n_terms words, their frequencies by partition, and the
+    shuffled. To the driver come n_terms words with their frequencies, and the
     counts of those words in the sample.
     """
     small_batches(docs.sparkSession)
@@ -162,16 +162,18 @@ def fit(labels: DataFrame, docs: DataFrame, text_col: str = "text", label_col: s
     known = {t: i for i, t in enumerate(chosen)}
 
     def frequencies(batches):
-        total, docs = np.zeros(len(known) + 1, np.int64), 0
+        total, docs = np.zeros(len(known) + 1, np.int64), 0  # the last place counts the documents
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 docs += 1
                 for w in known.keys() & set(words(text)):
                     total[known[w]] += 1
         total[-1] = docs
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["term", "n"])
 
-    counts = sum((np.array(r.n) for r in corpus.select(F.col(text_col).cast("string")).mapInArrow(frequencies, "n array<long>").toLocalIterator()), np.zeros(len(known) + 1, np.int64))
+    counts = np.zeros(len(known) + 1, np.int64)
+    for r in corpus.select(F.col(text_col).cast("string")).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        counts[r.term] = r.n
     idf = np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1
 
     def vectors(batches):
@@ -179,7 +181,7 @@ def fit(labels: DataFrame, docs: DataFrame, text_col: str = "text", label_col: s
             c = [Counter(known[w] for w in words(t) if w in known) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(x) for x in c], pa.list_(pa.int32())), pa.array([list(x.values()) for x in c], pa.list_(pa.int32())), batch.column(2)], ["id", "terms", "tf", "label"])
 
-    got = sorted(sample.select("id", "text", "label").mapInArrow(vectors, "id long, terms array<int>, tf array<int>, label int").toLocalIterator(), key=lambda r: (r.id is None, r.id or 0))
+    got = sorted(sample.select("id", "text", "label").mapInArrow(vectors, "id long, terms array<int>, tf array<int>, label int").collect(), key=lambda r: (r.id is None, r.id or 0))
     labels = np.array([r.label for r in got], float)
     weights = np.array([n[r.label] / size[r.label] for r in got], float)
     kept.drop()
