@@ -83,7 +83,7 @@ def test_overlap_cells(spark):
                 gap = 0 if x0 <= r.lon <= x1 or x1 - x0 >= 360 else min((x0 - r.lon) % 360, (r.lon - x1) % 360)
                 if y0 - c.overlap <= r.lat <= y1 + c.overlap and gap <= c.alpha[ss] and (chunk, sub) != c.locate(r.lon, r.lat):
                     want.add((chunk, sub))
-        assert want - got == set() and all(g in want or any(abs(1) for _ in [0]) for g in got) and len(got - want) <= 2
+        assert want <= got and len(got - want) <= 2  # a cell at the very edge may be listed
 
 
 @pytest.mark.parametrize("radius", [0.5, 3.0, 25.0, 70.0])

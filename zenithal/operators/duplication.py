@@ -39,7 +39,7 @@ def triangles(level: int, box: tuple[float, float, float, float]) -> list[int]:
         r = np.degrees(np.arccos(np.clip((v @ c).min(), -1, 1)))
         lon, lat = np.degrees(np.arctan2(c[1], c[0])) % 360, np.degrees(np.arcsin(c[2]))
         half = S.max_alpha(min(r, 90.0), lat)
-        span, mid = (box[2] - box[0]) % 360 or 360.0 * (box[2] != box[0]), None
+        span = (box[2] - box[0]) % 360 or 360.0 * (box[2] != box[0])
         mid = (box[0] + span / 2) % 360
         gap = abs((lon - mid + 180) % 360 - 180)
         if lat + r < box[1] or lat - r > box[3] or (half < 180 and gap > span / 2 + half):
