@@ -216,6 +216,19 @@ def test_toxicity_finds_insults(spark):
     assert toxicity.score(docs, None, keep=["doc_id"]).select("score").distinct().count() == 1
 
 
+def test_toxicity_sees_rare_insults(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    insults = [f"zz{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(100)]  # each in about 2 % of the examples of class 1
+    rows = [(i, " ".join([word() for _ in range(30)] + ([insults[i // 4 % 100], insults[(i // 4 + 7) % 100]] if i % 4 == 0 else []))) for i in range(1200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows if i < 800], "doc_id long, toxic int")
+    voter = toxicity.fit(labels, documents(spark, padded(rows)))
+    assert all(w in voter.terms for _, t in rows[:800] for w in t.split())
+    got = toxicity.score(documents(spark, padded(rows[800:])), voter, keep=["doc_id"]).toPandas()
+    bad = got.doc_id % 4 == 0
+    assert (got.score[bad] >= 0.5).mean() > 0.9 and (got.score[~bad] >= 0.5).mean() < 0.05 and got.evidence.map(len).min() > 0
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     tf = [dict(Counter(rng.integers(0, 40, rng.integers(0, 9)).tolist())) for _ in range(700)]

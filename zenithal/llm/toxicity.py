@@ -1,12 +1,13 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF over a block-max inverted index.
 
 The fit takes about `per_class` labelled rows of each class, chosen by a hash of the
-id (a documented bound), and their different texts. Its terms are words and beginnings of words that a share of
-`support` of the examples of class 1 has, and that are `lift` times as frequent there as
-in class 0: at most `n_terms`, those that part the classes best by the G statistic. Their
-document frequencies are counted over all documents. Postings lie by term, examples in
-blocks of similar ones, with the largest weight of every term in every block. A text is
-held against blocks in the order of their upper bounds until no further block can reach its k-th
+id (a documented bound), and their different texts. Its terms are all words of these, and the
+beginnings of longer ones; none is left out. A term weighs its inverse document frequency, counted
+over all documents, times its G statistic between the classes and a little more, so that words
+that say little of the class hardly count, and rare words of one class do.
+Postings lie by term, examples in
+blocks of similar ones. Rare terms are summed over their postings; frequent ones lie as dense rows with the
+largest weight in every block, and are summed where this bound lets a block reach the k-th
 score, so the neighbours are the exact ones. They vote with weights that fall
 with the distance, and a monotone map from leave-one-out votes of the examples
 themselves makes votes into probabilities. The neighbours are the evidence.
@@ -31,6 +32,8 @@ from .common import Kept, small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+#: Terms of more than one example in so many lie as dense rows.
+DENSE = 32
 #: Letters by which longer words count a second time.
 STEM = 5
 
@@ -43,10 +46,15 @@ def words(text: str | None) -> list[str]:
     return found + [w[:STEM] + "*" for w in found if len(w) > STEM]
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 class Voter:
-    """Examples as a block-max inverted index over a fixed vocabulary."""
+    """Examples as a block-max inverted index over a fixed vocabulary; counts are by term, as a dict or two arrays."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], tf: list[dict[int, int]], labels: np.ndarray, weights: np.ndarray, k: int):
+    def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], tf: list, labels: np.ndarray, weights: np.ndarray, k: int):
         self.terms, self.idf, self.k = {t: i for i, t in enumerate(terms)}, idf, k
         vectors = [self.vector(c) for c in tf]
         none = np.array([not len(t) for t, _ in vectors], bool)
@@ -54,25 +62,45 @@ class Voter:
         self.base = float((weights * labels)[none].sum() / total) if total else float((weights * labels).sum() / max(weights.sum(), 1e-12))
         # examples with the same strongest term lie together
         some = sorted(np.flatnonzero(~none).tolist(), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), ids[i]))
-        n, v = len(some), len(terms)
-        blocks = -(-n // BLOCK)
-        self.ids = np.array([ids[i] for i in some] + [np.iinfo(np.int64).max] * (blocks * BLOCK - n), np.int64)
-        self.label = np.concatenate([labels[some], np.zeros(blocks * BLOCK - n)]) if n else np.zeros(0)
-        self.weight = np.concatenate([weights[some], np.zeros(blocks * BLOCK - n)]) if n else np.zeros(0)
-        self.posting = np.zeros((v, blocks, BLOCK))
-        for at, i in enumerate(some):
-            t, w = vectors[i]
-            self.posting[t, at // BLOCK, at % BLOCK] = w
-        self.block_max = self.posting.max(2) if n else np.zeros((v, 0))
+        n, self.v = len(some), len(terms)
+        self.blocks = -(-n // BLOCK)
+        self.ids = np.array([ids[i] for i in some] + [np.iinfo(np.int64).max] * (self.blocks * BLOCK - n), np.int64)
+        self.label = np.concatenate([labels[some], np.zeros(self.blocks * BLOCK - n)]) if n else np.zeros(0)
+        self.weight = np.concatenate([weights[some], np.zeros(self.blocks * BLOCK - n)]) if n else np.zeros(0)
+        # postings by term, then place; terms of many examples as dense rows, with their largest weights by block
+        term = np.concatenate([vectors[i][0] for i in some]) if n else np.zeros(0, np.int64)
+        order = np.argsort(term, kind="stable")
+        term = term[order]
+        self.place = np.repeat(np.arange(n, dtype=np.int32), [len(vectors[i][0]) for i in some])[order]
+        self.value = (np.concatenate([vectors[i][1] for i in some]) if n else np.zeros(0))[order].astype(np.float32)
+        self.start = np.searchsorted(term, np.arange(self.v + 1))
+        often = np.flatnonzero(np.diff(self.start) > n / DENSE)
+        self.row = np.full(self.v, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
+        mine = self.row[term] >= 0
+        self.dense[self.row[term[mine]], self.place[mine]] = self.value[mine]
+        self.dense = self.dense.reshape(len(often), self.blocks, BLOCK)
+        self.block_max = self.dense.max(2) if n else np.zeros((0, 0))
         self.x, self.y = np.zeros(1), np.full(1, self.base)
         if n:
             votes = np.array([self.vote(*vectors[i], skip=at)[0] for at, i in enumerate(some)])
             self._calibrate(votes, self.label[:n], self.weight[:n])
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    @property
+    def posting(self) -> np.ndarray:
+        """The weights as a dense array of terms, blocks and places (for small vocabularies)."""
+        out = np.zeros((self.v, self.blocks * BLOCK))
+        out[np.repeat(np.arange(self.v), np.diff(self.start)), self.place] = self.value
+        return out.reshape(self.v, self.blocks, BLOCK)
+
+    def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit TF-IDF weights of a text."""
-        t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[i] for i in t])) * self.idf[t] if len(t) else np.zeros(0)
+        t, n = counts if isinstance(counts, tuple) else (np.array(list(counts), np.int64), np.array(list(counts.values())))
+        order = np.argsort(t)
+        t = t[order]
+        w = (1 + np.log(n[order])) * self.idf[t] if len(t) else np.zeros(0)
+        t, w = t[w > 0], w[w > 0]
         return t, w / np.linalg.norm(w) if len(t) else w
 
     def count(self, text: str | None) -> dict[int, int]:
@@ -81,21 +109,28 @@ class Voter:
 
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term, nearest first."""
-        bound = w @ self.block_max[t]
-        order = np.argsort(-bound, kind="stable")
-        places, scores, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while at < len(order):
-            take = order[at : at + step]
-            if bound[take[0]] <= 0 or (len(scores) >= self.k and bound[take[0]] < scores[self.k - 1] - 1e-12):
-                break
-            s = np.einsum("t,tbk->bk", w, self.posting[t[:, None], take]).ravel()
-            p = (take[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            hit = (s > 0) & (p != skip)
-            places, scores = np.concatenate([places, p[hit]]), np.concatenate([scores, s[hit]])
-            top = np.lexsort((self.ids[places], -np.round(scores, 12)))[: self.k]
-            places, scores = places[top], scores[top]
-            at, step = at + step, step * 2
-        return places, scores
+        if not self.blocks:
+            return np.zeros(0, np.int64), np.zeros(0)
+        often = self.row[t] >= 0
+        rare, by, rows, weights = t[~often], w[~often], self.row[t[often]], w[often]
+        sizes = self.start[rare + 1] - self.start[rare]
+        e = _ranges(self.start[rare], sizes)
+        s = np.bincount(self.place[e], self.value[e] * np.repeat(by, sizes), self.blocks * BLOCK).astype(float)
+        if skip >= 0:
+            s[skip] = 0
+        if len(rows):
+            # blocks that can reach the k-th of the scores so far, which only grow
+            least = np.partition(s, -self.k)[-self.k] if len(s) > self.k else 0.0
+            bound, s = weights @ self.block_max[rows], s.reshape(self.blocks, BLOCK)
+            need = np.flatnonzero((bound > 0) & (s.max(1) + bound >= least - 1e-9))
+            s[need] += (weights @ self.dense[rows[:, None], need].reshape(len(rows), -1)).reshape(-1, BLOCK)
+            s = s.ravel()
+        if skip >= 0:
+            s[skip] = 0
+        least = np.partition(s, -self.k)[-self.k] if len(s) > self.k else 0.0
+        places = np.flatnonzero((s > 0) & (s >= least - 1e-11))
+        places = places[np.lexsort((self.ids[places], -np.round(s[places], 12)))[: self.k]]
+        return places, s[places]
 
     def vote(self, t, w, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         places, scores = self.nearest(t, w, skip)
@@ -127,12 +162,25 @@ class Voter:
         return float(np.clip(np.interp(vote, self.x, self.y), 0, 1)), self.ids[places].tolist(), scores.tolist()
 
 
-def fit(labels: DataFrame, docs: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", per_class: int = 3000, n_terms: int = 512, k: int = 11, lift: float = 5.0, support: float = 0.025) -> Voter | None:
+def parting(a: np.ndarray, b: np.ndarray, p: float, m: float) -> np.ndarray:
+    """Weights of words that a of p texts of one class and b of m of the other have: G without one text of the class that has more, and a little for all."""
+
+    def g(a, b):
+        out, n = np.zeros(len(a)), a + b
+        for seen, want in ((a, n * p), (b, n * m), (p - a, (p + m - n) * p), (m - b, (p + m - n) * m)):
+            out += 2 * seen * np.log(np.where(seen > 0, seen * (p + m) / np.maximum(want, 1e-300), 1.0))
+        return np.maximum(out, 0)
+
+    more = a * m > b * p
+    return np.minimum(g(a, b), g(np.maximum(a - more, 0), np.maximum(b - ~more, 0))) + 0.1
+
+
+def fit(labels: DataFrame, docs: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", per_class: int = 3000, k: int = 11) -> Voter | None:
     """A voter from labels (id, 0 or 1) and the documents they are of, with document frequencies of all documents.
 
     The sample of labels is bounded, so it is broadcast to the documents; they are not
-    shuffled. To the driver come n_terms words with their frequencies, and the
-    counts of those words in the sample.
+    shuffled. To the driver come the words of the sample with their frequencies, and their
+    counts in each text of it.
     """
     small_batches(docs.sparkSession)
     rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
@@ -154,38 +202,39 @@ def fit(labels: DataFrame, docs: DataFrame, text_col: str = "text", label_col: s
     terms = sample.select("text", "label").mapInArrow(each_word, "words array<string>, label int")
     size = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     p, m = float(size.get(1, 0)), float(size.get(0, 0))
-    df = terms.select("label", F.explode("words").alias("w")).groupBy("w").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("n")).where("n >= 3")
-    b, part = F.col("n") - F.col("a"), lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    g = part(F.col("a"), F.col("n") * (p / (p + m))) + part(b, F.col("n") * (m / (p + m))) if p and m else F.lit(0.0)
-    lifted = (F.col("a") * m >= lift * b * p) & (F.col("a") >= support * p) if p and m else F.lit(False)
-    chosen = sorted(r.w for r in df.where(lifted).select("w", g.alias("g")).orderBy(F.desc("g"), "w").limit(n_terms).collect())
-    known = {t: i for i, t in enumerate(chosen)}
+    found = terms.select("label", F.explode("words").alias("w")).groupBy("w").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("n")).toArrow().sort_by("w")
+    chosen, a, n_with = found["w"].to_pylist(), found["a"].to_numpy(), found["n"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(chosen)})  # bounded by the sample
 
     def frequencies(batches):
+        known = shared.value
         total, docs = np.zeros(len(known) + 1, np.int64), 0  # the last place counts the documents
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 docs += 1
-                for w in known.keys() & set(words(text)):
-                    total[known[w]] += 1
+                total[[known[w] for w in set(words(text)) if w in known]] += 1
         total[-1] = docs
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["term", "n"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
-    counts = np.zeros(len(known) + 1, np.int64)
-    for r in corpus.select(F.col(text_col).cast("string")).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        counts[r.term] = r.n
+    counts = np.zeros(len(chosen) + 1, np.int64)
+    counted = corpus.select(F.col(text_col).cast("string")).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts[counted["term"].to_numpy()] = counted["n"].to_numpy()
     idf = np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1
+    term_weight = idf * parting(a, n_with - a, p, m) if p and m else idf
 
     def vectors(batches):
+        known = shared.value
         for batch in batches:
             c = [Counter(known[w] for w in words(t) if w in known) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(x) for x in c], pa.list_(pa.int32())), pa.array([list(x.values()) for x in c], pa.list_(pa.int32())), batch.column(2)], ["id", "terms", "tf", "label"])
 
-    got = sorted(sample.select("id", "text", "label").mapInArrow(vectors, "id long, terms array<int>, tf array<int>, label int").collect(), key=lambda r: (r.id is None, r.id or 0))
-    labels = np.array([r.label for r in got], float)
-    weights = np.array([n[r.label] / size[r.label] for r in got], float)
+    got = sample.select("id", "text", "label").mapInArrow(vectors, "id long, terms array<int>, tf array<int>, label int").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
+    ids, labels = got["id"].to_pylist(), got["label"].to_numpy().astype(float)
+    weights = np.array([n[int(y)] / size[int(y)] for y in labels])
+    tf = [(t.values.to_numpy().astype(np.int64), c.values.to_numpy()) for t, c in zip(got["terms"], got["tf"], strict=True)]
     kept.drop()
-    return Voter(chosen, idf, [r.id if r.id is not None else -1 for r in got], [dict(zip(r.terms, r.tf, strict=True)) for r in got], labels, weights, k)
+    return Voter(chosen, term_weight, ids, tf, labels, weights, k)
 
 
 def score(docs: DataFrame, voter: Voter | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
