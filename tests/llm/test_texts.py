@@ -285,6 +285,21 @@ def test_clean_texts_gain_nothing(text):
     assert not any(pii.find(text)[1].values())
 
 
+@pytest.mark.parametrize("text", ["write john @ example.com now", "write john_at_example.com now", "write john-at-example.com now", "call +1 five 5 five 0 one 9 nine 4 seven"])
+def test_disguises_without_other_signs(text):
+    assert sum(map(len, pii.find(text)[1].values())) == 1
+
+
+def test_the_gate_is_no_narrower_than_the_transducers(monkeypatch):
+    rng = random.Random(9)
+    parts = ["john", "example.com", "com", "@", " @ ", " at ", "_at_", "-AT-", " dot ", "_dot_", " Dot  ", ".", " ", " ", "-", "_", ", ", "+", "1", "5", "930", "five", "Nine", "oh", "plus ", "O1", "(at)", "[dot]", "a", "é"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(2, 24))) for _ in range(30000)]
+    gated = [pii.find(t) for t in texts]
+    monkeypatch.setattr(pii, "disguised", lambda t: True)
+    for t, got in zip(texts, gated, strict=True):
+        assert got == pii.find(t), t
+
+
 def test_pii_over_rows(spark):
     df = documents(spark, padded([(1, "a@b.co and +1 (930) 555-2361"), (2, None), (3, ""), (4, "9" * 50000), (5, "a@" * 20000)]))
     got = {r.doc_id: r for r in pii.spans(df).collect()}

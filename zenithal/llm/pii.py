@@ -172,27 +172,36 @@ def _signs(tape: Tape) -> None:
     tape.rewrite([(*m.span(), ".") for m in _DOT.finditer(tape.text) if re.search(r"@[A-Za-z0-9.-]+\Z", tape.text[max(0, m.start() - 80) : m.start()])])
 
 
-def _two_spelled(text: str) -> bool:
-    """Whether two number words follow each other; by plain searches, which are far faster than the pattern alone."""
+#: A number word with a digit or a spelled dot beside it, as `_digits` takes single ones.
+_BESIDE = re.compile(rf"(?:[0-9][ -]?|dot )(?:plus[ -])?{_N}|{_N}(?:[ -]?[0-9]| dot )", re.I)
+#: An @ with a space beside it, as `_WORDY` takes it.
+_AT_SIGN = re.compile(r"[A-Za-z0-9](?:[ ]@|@[ ])")
+
+
+def _spelled(text: str) -> bool:
+    """Whether number words follow each other or stand by a digit or dot; by plain searches, which are far faster than the pattern alone."""
     low = text.lower()
     for word in _NUMBER:
         at = low.find(word)
         while at >= 0:
-            if (not at or not low[at - 1].isalnum()) and _PAIR.match(low, at):
+            if (not at or not (low[at - 1].isascii() and low[at - 1].isalpha())) and (_PAIR.match(low, at) or _BESIDE.search(low, max(0, at - 9), at + 10)):
                 return True
             at = low.find(word, at + 1)
     return False
 
 
 def disguised(text: str) -> bool:
-    """Whether anything in the text calls for the transducers."""
+    """Whether anything in the text calls for the transducers: never narrower than they are."""
     if not text.isascii() and not _ODD_CHARS.isdisjoint(set(text)):
         return True
     if any(c in text for c in "[({<") and _BRACKET.search(text):
         return True
-    if any(w in text for w in ("dot", "Dot", "DOT")) and (_HAS_DOT.search(text) or _UNDERLINED.search(text)):
+    if "@" in text and _AT_SIGN.search(text):
+        return True
+    low = text.lower()
+    if ("dot" in low or "_at" in low or "-at" in low) and (_HAS_DOT.search(text) or _UNDERLINED.search(text)):
         return True
-    return bool(_DIGIT.search(text) and _MIXED.search(text)) or _two_spelled(text)
+    return bool(_DIGIT.search(text) and _MIXED.search(text)) or _spelled(text)
 
 
 def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
