@@ -36,6 +36,21 @@ def test_ann_recall_and_exact_scores(spark, data):
     assert set(got.query_id) <= set(range(1500))
 
 
+@pytest.mark.parametrize("noise", [0.02, 0.3])
+def test_ann_among_near_copies(noise):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(8192, 64))
+    x[:2730] = x[0] + noise * rng.normal(size=(2730, 64))
+    ids, unit = np.arange(8192), x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.array([5, 900, 2000, 4000, 8000])
+    best = ann.V.Best(5, 5, float)
+    ann._scan_block(best, ids, x, ann.Quantiser(64).fit(unit[::8], rounds=4), asked, np.arange(5), x[asked], unit[asked], 64)
+    for i, q in enumerate(asked):
+        s = unit @ unit[q]
+        s[q] = -9
+        assert set(best.vec[i]) == set(np.argsort(-s)[:5])
+
+
 def test_exact_topk_is_brute_force(spark, data):
     df, x = data
     got = exact_topk.search(df, df.where("vec_id % 50 = 0"), k=5).toPandas()

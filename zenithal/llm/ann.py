@@ -7,7 +7,8 @@ which moves its score, costs `eta` times as much as the part across it. Centres
 fitted on a sample of about `sample` rows chosen by hash (a documented bound); every
 row is encoded. A search adds table entries for the codes, two codes to a byte, keeps
 the best `rerank` candidates of each batch of rows, and ranks these by the exact
-cosine of the original vectors in double precision.
+cosine of the original vectors in double precision; so it does all further rows whose
+table score plus the length of their residual reaches the k-th exact cosine.
 
 Queries go to the executors in blocks of bounded size; each block takes one pass over
 the vectors, without a shuffle but for the best few of each task and query.
@@ -29,6 +30,8 @@ from . import vectors as V
 
 #: Rows of vectors that are scanned together.
 ROWS = 8192
+#: More than the rounding of sums of table entries in single precision.
+SLACK = 1e-3
 
 
 class Quantiser:
@@ -90,10 +93,12 @@ class Quantiser:
                 total = rest + along[p][rows, codes[:, p]]
         return codes
 
-    def packed(self, x: np.ndarray) -> np.ndarray:
-        """(parts / 2, rows) bytes, two codes in each."""
-        codes = self.encode(x).astype(np.uint8)
-        return np.ascontiguousarray((codes[:, 0::2] << 4 | codes[:, 1::2]).T)
+    def packed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(parts / 2, rows) bytes, two codes in each; lengths of the residuals."""
+        codes = self.encode(x)
+        residual = np.sqrt(((self.split(x) - self.decode(codes)) ** 2).sum((1, 2)))
+        codes = codes.astype(np.uint8)
+        return np.ascontiguousarray((codes[:, 0::2] << 4 | codes[:, 1::2]).T), residual
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, parts / 2, 256) scores of each byte of two codes."""
@@ -161,10 +166,12 @@ def _scan_block(best, vec_ids, x, quantiser, ids, at, q, unit_q, rerank):
     order = np.argsort(vec_ids, kind="stable")
     vec_ids, x = vec_ids[order], x[order]
     scaled = x / np.abs(x).max(1, keepdims=True)
-    codes = quantiser.packed(scaled / np.linalg.norm(scaled, axis=1, keepdims=True)) if quantiser else None
+    if quantiser:
+        unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+        codes, residual = quantiser.packed(unit)
     for start in range(0, len(at), 64):
         own, part = at[start : start + 64], slice(start, start + 64)
-        if codes is None:  # no row of this length was in the sample: all are candidates
+        if not quantiser:  # no row of this length was in the sample: all are candidates
             cand = np.tile(np.arange(len(x)), (len(own), 1))
         else:
             tables = quantiser.tables(unit_q[part])
@@ -176,3 +183,17 @@ def _scan_block(best, vec_ids, x, quantiser, ids, at, q, unit_q, rerank):
         exact = cosines(np.repeat(q[part], n, axis=0), x[cand.ravel()]).reshape(cand.shape)
         found = vec_ids[cand]
         best.add(own, exact, np.where((found == ids[own][:, None]) | ~np.isfinite(exact), V.NO_ID, found))
+        if not quantiser or n == len(x):
+            continue
+        # all others that may reach the k-th: a score is off by the length of the residual at most
+        reach = scores + residual >= best.score[own, -1:] - SLACK
+        np.put_along_axis(reach, cand, False, 1)
+        more, ids_of = np.full((len(own), best.k), -np.inf), np.full((len(own), best.k), V.NO_ID, np.int64)
+        for i in np.flatnonzero(reach.any(1)):
+            rows = np.flatnonzero(reach[i])
+            exact = cosines(q[start + i][None, :], x[rows])
+            ok = (vec_ids[rows] != ids[own[i]]) & np.isfinite(exact)
+            rows, exact = rows[ok], exact[ok]
+            first = np.lexsort((vec_ids[rows], -exact))[: best.k]
+            more[i, : len(first)], ids_of[i, : len(first)] = exact[first], vec_ids[rows[first]]
+        best.add(own, more, ids_of)
