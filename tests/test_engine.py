@@ -7,7 +7,7 @@ import pytest
 from zenithal import queries as Q
 from zenithal.catalog import CHILD, DIRECTOR, Striping, TableSpec
 from zenithal.engine import Engine
-from zenithal.errors import AnalysisError, EngineError, UnsupportedQueryError
+from zenithal.errors import AnalysisError, EngineError, ResultTooLargeError, UnsupportedQueryError
 from zenithal.functions.registry import BUILT, RENAMED, SAME, date_pattern
 from zenithal.sources import readers
 from zenithal.streaming.ingest import stream_into
@@ -37,7 +37,7 @@ def test_against_duckdb(spark, duck, name):
 @pytest.fixture
 def engine(spark, tmp_path):
     e = Engine(spark, str(tmp_path), "d")
-    e.catalog.create_database("d", Striping(18, 3, 2.0))
+    e.catalog.create_database("d", Striping(6, 9, 2.0))
     rows = [[i, (i * 37.5) % 360, (i * 11.3) % 170 - 85, 10.0 + i, "abc"[i % 3]] for i in range(200)]
     schema = readers.schema([{"name": "id", "type": "bigint(20) not null"}, {"name": "ra", "type": "double"}, {"name": "decl", "type": "double"}, {"name": "f", "type": "float"}, {"name": "s", "type": "char(3)"}])
     e.ingest.load("d", TableSpec("Obj", DIRECTOR, "id", "ra", "decl"), readers.from_rows(spark, rows, schema))
@@ -70,17 +70,99 @@ def test_children_lie_with_their_directors(engine):
     assert n == 600
 
 
-def test_transactions(spark, engine):
-    rows = spark.createDataFrame([(1000, 5.0, 5.0, 1.0, "z")], "id long, ra double, decl double, f float, s string")
+def new_object(spark, key):
+    return spark.createDataFrame([(key, 5.0, 5.0, 1.0, "z")], "id long, ra double, decl double, f float, s string")
+
+
+def count(engine, table="Obj"):
+    return engine.sql(f"SELECT COUNT(*) AS n FROM {table}").first().n
+
+
+def reopened(spark, engine, tmp_path):
+    """A second session over the same warehouse."""
+    engine.catalog.save(str(tmp_path / "meta"))
+    other = Engine(spark, str(tmp_path), "d")
+    other.catalog.open(str(tmp_path / "meta"))
+    return other
+
+
+def test_open_transactions_are_invisible(spark, engine):
     t = engine.ingest.begin("d")
-    engine.ingest.append("d", "Obj", rows, t)
-    assert engine.sql("SELECT COUNT(*) AS n FROM Obj").first().n == 201
+    engine.ingest.append("d", "Obj", new_object(spark, 1000), t)
+    assert count(engine) == 200
+    engine.ingest.commit(t)
+    assert count(engine) == 201
+    t = engine.ingest.begin("d")
+    engine.ingest.append("d", "Obj", new_object(spark, 1001), t)
     engine.ingest.abort(t)
-    assert engine.sql("SELECT COUNT(*) AS n FROM Obj").first().n == 200
+    assert count(engine) == 201
     with pytest.raises(AnalysisError):
         engine.ingest.commit(t)
 
 
+def test_transactions_survive_sessions(spark, engine, tmp_path):
+    other = reopened(spark, engine, tmp_path)
+    mine, theirs = engine.ingest.begin("d"), other.ingest.begin("d")
+    assert mine.id != theirs.id
+    other.ingest.append("d", "Obj", new_object(spark, 1000), theirs)
+    other.ingest.abort(theirs)
+    assert count(other) == count(engine) == 200
+    engine.ingest.append("d", "Obj", new_object(spark, 1001), mine)
+    other.ingest.commit(other.ingest.transaction("d", mine.id))  # a session ends what another began
+    assert count(other) == count(engine) == 201
+    with pytest.raises(AnalysisError):
+        engine.ingest.abort(mine)
+    assert {r.state for r in other.ingest.transactions("d").collect()} == {"FINISHED", "ABORTED"}
+
+
+def test_children_away_from_their_directors(spark, engine, tmp_path):
+    spec = TableSpec("Far", CHILD, "id", "lon", "lat", director="Obj")
+    rows = [(i, i % 200, (i * 37.5 + 40) % 360, (i * 11.3) % 170 - 85) for i in range(400)]
+    engine.ingest.load("d", spec, spark.createDataFrame(rows, "fid long, id long, lon double, lat double"))
+    for e in (engine, reopened(spark, engine, tmp_path)):
+        df = e.sql("SELECT fid FROM Far WHERE id = 17")
+        assert "chunkId" in plan(df).split("PartitionFilters")[1].split("]")[0] and {r.fid for r in df.collect()} == {17, 217}
+        n = e.sql("SELECT COUNT(*) AS n FROM Obj o, Far f WHERE o.id = f.id AND o.chunkId = f.chunkId").first().n
+        assert n == 400
+        got = {r.fid for r in e.sql("SELECT fid FROM Far WHERE areaspec_box(40, -30, 80, 30)").collect()}
+        assert got == {i for i, _, x, y in rows if 40 <= x <= 80 and -30 <= y <= 30} and got
+
+
+def test_children_without_a_director(spark, engine):
+    lone = spark.createDataFrame([(1, 17, 10.0, 10.0), (2, 999, 20.0, 20.0), (3, None, 30.0, 30.0)], "fid long, id long, lon double, lat double")
+    engine.ingest.load("d", TableSpec("Lone", CHILD, "id", "lon", "lat", director="Obj"), lone)
+    assert count(engine, "Lone") == 3
+    assert [r.fid for r in engine.sql("SELECT fid FROM Lone WHERE id = 999").collect()] == [2]
+    with pytest.raises(Exception, match="no director and no position"):
+        engine.ingest.load("d", TableSpec("Bad", CHILD, "id", director="Obj"), lone.select("fid", "id"))
+    with pytest.raises(AnalysisError):
+        engine.sql("SELECT fid FROM Bad")
+
+
+def test_directors_and_children_of_one_transaction(spark, engine):
+    t = engine.ingest.begin("d")
+    engine.ingest.append("d", "Obj", new_object(spark, 3000), t)
+    engine.ingest.append("d", "Src", spark.createDataFrame([(9000, 3000, 1.0)], "sid long, id long, v double"), t)
+    assert count(engine, "Src") == 600
+    engine.ingest.commit(t)
+    assert engine.sql("SELECT sid FROM Src WHERE id = 3000").first().sid == 9000
+
+
+def test_columns_of_contributions(spark, engine):
+    t = engine.ingest.begin("d")
+    with pytest.raises(AnalysisError, match="columns"):
+        engine.ingest.append("d", "Obj", new_object(spark, 1).drop("s"), t)
+
+
+def test_retry_after_a_lost_commit(spark, engine):
+    t = engine.ingest.begin("d")
+    c = engine.ingest.contribute("d", "Obj", lambda: new_object(spark, 4000), t)
+    c.state = "FAILED"  # the rows lie there, but the session did not learn of it
+    engine.ingest.retry(c.id)
+    engine.ingest.commit(t)
+    assert count(engine) == 201
+
+
 def test_contributions(spark, engine, tmp_path):
     t, path = engine.ingest.begin("d"), str(tmp_path / "late")
     c = engine.ingest.contribute("d", "Obj", lambda: spark.read.parquet(path), t)
@@ -99,6 +181,13 @@ def test_row_counters(engine):
     engine.ingest.collect_row_counters("d", "Src")
     df = engine.sql("SELECT count(*) FROM Src")
     assert df.columns == ["count(*)"] and df.first()[0] == 600 and "num_rows" in plan(df)
+    engine.ingest.load("d", TableSpec("More"), engine.spark.range(3))
+    t = engine.ingest.begin("d")
+    engine.ingest.append("d", "Src", engine.spark.createDataFrame([(9000, 3, 1.0)], "sid long, id long, v double"), t)
+    engine.ingest.commit(t)
+    assert "num_rows" not in plan(engine.sql("SELECT count(*) FROM Src")) and count(engine, "Src") == 601
+    engine.ingest.collect_row_counters("d", "Src")
+    assert "num_rows" in plan(engine.sql("SELECT count(*) FROM Src")) and count(engine, "Src") == 601
     engine.sql("SET GLOBAL ROW_COUNTER_OPTIMIZATION = 0")
     assert "num_rows" not in plan(engine.sql("SELECT count(*) FROM Src"))
 
@@ -116,6 +205,18 @@ def test_manager(engine):
         engine.sql("SUBMIT SELECT * FROM information_schema.queries")
 
 
+def test_queries_at_once_are_registered(spark, engine, tmp_path):
+    assert engine.execute("SELECT COUNT(*) AS n FROM Obj").first().n == 200
+    with pytest.raises(AnalysisError):
+        engine.execute("SELECT nope FROM Obj")
+    for e in (engine, reopened(spark, engine, tmp_path)):
+        found = e.sql("SELECT TYPE, STATE, ROWS FROM information_schema.queries ORDER BY STATE").collect()
+        assert [tuple(r) for r in found] == [("SYNC", "COMPLETED", 1), ("SYNC", "FAILED", None)]
+    engine.manager.limit_bytes = 10
+    with pytest.raises(ResultTooLargeError):
+        engine.execute("SELECT id FROM Obj")
+
+
 def test_cancel_and_limits(spark, engine):
     engine.manager.limit_bytes = 10
     job = engine.submit("SELECT id FROM Obj")
@@ -177,6 +278,13 @@ def test_mixed_aggregates(engine):
 def test_json(engine):
     out = engine.to_json(engine.sql("SELECT id, s FROM Obj WHERE id < 2 ORDER BY id"))
     assert out["rows"] == [["0", "a"], ["1", "b"]] and out["schema"][0]["column"] == "id"
+    raw = engine.spark.sql("SELECT CAST('ab' AS BINARY) AS b, true AS t, CAST(NULL AS INT) AS n")
+    assert [engine.to_json(raw, k)["rows"] for k in ("hex", "b64", "array")] == [[["6162", "1", None]], [["YWI=", "1", None]], [[[97, 98], "1", None]]]
+    engine.manager.limit_bytes = 100
+    with pytest.raises(ResultTooLargeError):
+        engine.to_json(engine.sql("SELECT id, s FROM Obj"))
+    assert engine.write_json(raw, f"{engine.ingest.warehouse}/json")[2]["type"] == "int"
+    assert engine.spark.read.text(f"{engine.ingest.warehouse}/json").first().value == '["6162","1",null]'
 
 
 def test_ignore_case(engine):

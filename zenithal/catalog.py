@@ -62,6 +62,14 @@ class TableSpec:
             raise AnalysisError(f"table {self.name}: a {self.role} table needs {', '.join(need) or 'a known role'}")
 
 
+@dataclass(frozen=True)
+class Placement:
+    """How rows of a child table lie: without a director, and at most so far (degrees) from it."""
+
+    orphans: int = 0
+    reach: float = 0.0
+
+
 @dataclass
 class Table:
     """A registered table: its spec and where its rows come from."""
@@ -99,6 +107,10 @@ class Catalog:
         self.databases: dict[str, Database] = {}
         self.indexes: dict[tuple[str, str], Callable[[], DataFrame]] = {}
         self.counters: dict[tuple[str, str], Callable[[], DataFrame]] = {}
+        #: How the table at a path is read, and how its rows lie.
+        self.loader: Callable[[str], DataFrame] = spark.read.parquet
+        self.placed: Callable[[str | None], Placement] = lambda path: Placement()
+        self.beside: Callable[[Table, str], DataFrame | None] = lambda table, what: None
 
     def create_database(self, name: str, striping: Striping | None = None, published: bool = True) -> Database:
         if name in self.databases:
@@ -132,7 +144,7 @@ class Catalog:
             if self.table(director, db).spec.role != DIRECTOR:
                 raise AnalysisError(f"{director} is no director")
         path = source if isinstance(source, str) else None
-        load = (lambda: self.spark.read.parquet(path)) if path else source if callable(source) else (lambda: source)
+        load = (lambda: self.loader(path)) if path else source if callable(source) else (lambda: source)
         d.tables[spec.name] = Table(db, spec, load, path)
         return d.tables[spec.name]
 
@@ -153,6 +165,16 @@ class Catalog:
             raise AnalysisError(f"Unknown table '{db}.{name}'")
         return found[0]
 
+    def index(self, db: str, name: str) -> DataFrame | None:
+        """(key, chunkId, subChunkId) of a director, if it is indexed."""
+        own = self.indexes.get((db, name))
+        return own() if own else self.beside(self.table(name, db), "_index")
+
+    def counter(self, db: str, name: str) -> DataFrame | None:
+        """(chunkId, num_rows) of a table, if its rows are counted."""
+        own = self.counters.get((db, name))
+        return own() if own else self.beside(self.table(name, db), "_rows")
+
     def save(self, path: str) -> None:
         """Write the metadata of tables that lie at a path as JSON."""
         dbs = [{"name": d.name, "striping": asdict(d.striping), "published": d.published, "tables": [{"spec": asdict(t.spec), "path": t.path} for t in d.tables.values() if t.path]} for d in self.databases.values()]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .catalog import Catalog
-from .errors import AnalysisError, EngineError, UnsupportedQueryError
+from .errors import AnalysisError, EngineError, ResultTooLargeError, UnsupportedQueryError
 from .functions.registry import FunctionRegistry
 from .manager import INTERACTIVE_CHUNKS, QueryManager
 from .plans import ast as A
@@ -69,6 +68,13 @@ class Engine:
             return self._set(*st.arg)
         return self._said("ignored")
 
+    def execute(self, text: str) -> DataFrame:
+        """Run a statement now. A SELECT is registered like a submitted one, and its written result returned; `sql` leaves it to Spark when to run."""
+        st = parse(text)
+        if st.kind != "select" or self._system(st.select):
+            return self.sql(text)
+        return self.manager.result(self.manager.run(text, self.db, lambda: self._plan(st.select, text)).id)
+
     def _said(self, message: str) -> DataFrame:
         return self.spark.createDataFrame([(message,)], "message string")
 
@@ -117,10 +123,10 @@ class Engine:
         if not (isinstance(e, A.Call) and e.name.lower() == "count" and isinstance(e.args[0], A.Star)):
             return None
         table = self.catalog.table(s.first.name, s.first.db or self.db)
-        counters = self.catalog.counters.get((table.db, table.spec.name))
+        counters = self.catalog.counter(table.db, table.spec.name)
         if counters is None:
             return None
-        df = counters().agg(F.coalesce(F.sum("num_rows"), F.lit(0)).alias(s.items[0].alias or s.items[0].text))
+        df = counters.agg(F.coalesce(F.sum("num_rows"), F.lit(0)).alias(s.items[0].alias or s.items[0].text))
         return df.limit(s.limit) if s.limit is not None else df
 
     def _columns(self, ref: A.TableRef, where) -> DataFrame:
@@ -146,20 +152,38 @@ class Engine:
 
     # ---- results
 
-    def to_json(self, df: DataFrame, binary: str = "hex") -> dict:
-        """The result as {schema, rows} with values as strings; binary: hex, b64 or array."""
-        encode = {"hex": lambda v: bytes(v).hex().upper(), "b64": lambda v: base64.b64encode(bytes(v)).decode(), "array": lambda v: list(bytes(v))}[binary]
+    @staticmethod
+    def _as_text(df: DataFrame, binary: str) -> tuple[list[dict], DataFrame]:
+        """Schema of a result, and its values as strings, which Spark makes."""
+        encode = {"hex": F.hex, "b64": F.base64, "array": F.hex}[binary]
         fields = df.schema.fields
         schema = [{"table": "", "column": f.name, "type": f.dataType.simpleString(), "is_binary": int(isinstance(f.dataType, T.BinaryType))} for f in fields]
+        flat = df.toDF(*[f"c{k}" for k in range(len(fields))])
 
-        def text(v, f):
-            if v is None:
-                return None
+        def text(k: int, f: T.StructField) -> Column:
+            c = F.col(f"c{k}")
             if isinstance(f.dataType, T.BinaryType):
-                return encode(v)
-            return str(int(v)) if isinstance(v, bool) else str(v)
+                return encode(c).alias(f"c{k}")
+            return (c.cast("int") if isinstance(f.dataType, T.BooleanType) else c).cast("string").alias(f"c{k}")
+
+        return schema, flat.select(*[text(k, f) for k, f in enumerate(fields)])
 
-        return {"schema": schema, "rows": [[text(v, f) for v, f in zip(r, fields, strict=True)] for r in df.toLocalIterator()]}
+    def to_json(self, df: DataFrame, binary: str = "hex") -> dict:
+        """The result as {schema, rows} with values as strings; binary: hex, b64 or array. More than the engine's limit of bytes is refused on the way."""
+        schema, texts = self._as_text(df, binary)
+        rows, size = [], 0
+        for r in texts.toLocalIterator():
+            rows.append([list(bytes.fromhex(v)) if v is not None and f["is_binary"] and binary == "array" else v for v, f in zip(r, schema, strict=True)])
+            size += sum(len(v) for v in r if v is not None)
+            if self.manager.limit_bytes is not None and size > self.manager.limit_bytes:
+                raise ResultTooLargeError(f"the result has more than the {self.manager.limit_bytes} bytes that are the limit; `write_json` has none")
+        return {"schema": schema, "rows": rows}
+
+    def write_json(self, df: DataFrame, path: str, binary: str = "hex") -> list[dict]:
+        """Write a result of any size as files of one JSON array of strings a row (binary: hex or b64); returns its schema."""
+        schema, texts = self._as_text(df, binary)
+        texts.select(F.to_json(F.array(*texts.columns)).alias("value")).write.text(path)
+        return schema
 
     # ---- the verbs of the asynchronous interface
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import CHUNK, MATCH, SUB_CHUNK, Catalog, Table
+from ..catalog import CHILD, CHUNK, MATCH, SUB_CHUNK, Catalog, Table
 from ..errors import AnalysisError, UnsupportedQueryError
 from ..functions.registry import FunctionRegistry, domain_name
 from ..operators.near_neighbour import near_join
@@ -187,12 +187,12 @@ class Builder:
                 spec = ref.table.spec
                 if spec.lon and spec.lat:
                     ref.df = ref.df.where(regions.test(r.kind, r.args, ref.col(spec.lon), ref.col(spec.lat)))
-                self._prune(ref, regions.chunks(r.kind, r.args, self.catalog.database(ref.table.db).chunker))
+                self._prune(ref, self._chunks(ref, r.kind, r.args))
         if not s.restrictors:
             lone = [x for x in map(self._region_test, where) if x]
             if len(lone) == 1:
                 ref, kind, args = lone[0]
-                self._prune(ref, regions.chunks(kind, args, self.catalog.database(ref.table.db).chunker))
+                self._prune(ref, self._chunks(ref, kind, args))
         for c in where:
             self._by_index(c)
         if len(self.refs) == 1 and (spec := self.refs[0].table.spec).role == MATCH:
@@ -234,6 +234,11 @@ class Builder:
             return a
         return None
 
+    def _chunks(self, ref: Ref, kind: str, args: tuple) -> list[int]:
+        """Chunks with rows of a region; children lie in their directors' chunks, so the region grows by how far they are from these."""
+        far = self.catalog.placed(ref.table.path).reach if ref.table.spec.role == CHILD else 0.0
+        return regions.chunks(kind, args, self.catalog.database(ref.table.db).chunker, far)
+
     def _prune(self, ref: Ref, chunks: list[int]) -> None:
         """Keep the chunks of a list: a partition filter where the table is stored by chunk."""
         now = self.pruned.get(ref.index)
@@ -256,9 +261,11 @@ class Builder:
         spec = ref.table.spec
         if not spec.partitioned or spec.key is None or spec.key.lower() != c.name.lower() or spec.role == MATCH:
             return
-        index = self.catalog.indexes.get((ref.table.db, spec.director or spec.name))
-        if index is not None and ref.table.path is not None and CHUNK.lower() in ref.columns:
-            rows = index().where(F.col("key").isin([v.value for v in values])).select(CHUNK).distinct().collect()
+        if ref.table.path is None or CHUNK.lower() not in ref.columns or (spec.role == CHILD and self.catalog.placed(ref.table.path).orphans):
+            return  # nothing to prune, or children without a director, which no index has
+        index = self.catalog.index(ref.table.db, spec.director or spec.name)
+        if index is not None:
+            rows = index.where(F.col("key").isin([v.value for v in values])).select(CHUNK).distinct().collect()
             self._prune(ref, [r[0] for r in rows])
 
     # ---- joins

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
 from ..functions import spherical as S
+from ..functions.box import SphericalBox
 from ..operators.chunker import Chunker
 
 _COUNTS = {"box": 4, "circle": 3, "ellipse": 5}
@@ -49,12 +50,10 @@ def bounds(kind: str, args: tuple) -> tuple[float, float, float, float]:
 
 
 def _around(lon: float, lat: float, radius: float) -> tuple[float, float, float, float]:
-    half = S.max_alpha(min(radius, 90.0), lat)
-    if half >= 180 or radius >= 90:
-        return 0.0, max(-90.0, lat - radius), 360.0, min(90.0, lat + radius)
-    return lon - half, max(-90.0, lat - radius), lon + half, min(90.0, lat + radius)
+    return SphericalBox(lon, lat, lon, lat).expand(radius).bounds
 
 
-def chunks(kind: str, args: tuple, chunker: Chunker) -> list[int]:
-    """Chunks that the region can touch (a few more than it does, never fewer)."""
-    return chunker.chunks_in_box(*bounds(kind, args))
+def chunks(kind: str, args: tuple, chunker: Chunker, margin: float = 0.0) -> list[int]:
+    """Chunks that the region, or places within a margin of it, can touch (a few more than they do, never fewer)."""
+    box = bounds(kind, args)
+    return chunker.chunks_in_box(*(SphericalBox(*box).expand(margin).bounds if margin else box))
