@@ -229,6 +229,49 @@ def test_toxicity_sees_rare_insults(spark):
     assert (got.score[bad] >= 0.5).mean() > 0.9 and (got.score[~bad] >= 0.5).mean() < 0.05 and got.evidence.map(len).min() > 0
 
 
+def terms_of(text):
+    found = re.findall(r"[^\W\d_]+", (text or "").lower())
+    return Counter(found + [w[:5] + "*" for w in found if len(w) > 5])
+
+
+def test_toxicity_is_brute_force(spark):
+    """The registered query's neighbours over whole texts, against cosines of all words in plain Python."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    held = queries._fold("doc_id", 5) == 0
+    voter = toxicity.fit(labels.where(~held), docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    counts = {i: terms_of(t) for i, t in texts.items()}
+    known = {w for i in voter.ids[: voter.n].tolist() for w in counts[i]}
+    number = {w: int(voter.terms.find(np.array([toxicity.word_hash(w)]))[1][0]) for w in known}
+    assert len(set(number.values())) == len(number) == voter.v
+
+    def unit(c):
+        w = {t: (1 + np.log(n)) * voter.idf[number[t]] for t, n in c.items() if t in number}
+        size = sum(x * x for x in w.values()) ** 0.5
+        return {t: x / size for t, x in w.items()}
+
+    examples = {i: unit(counts[i]) for i in voter.ids[: voter.n].tolist()}
+    with_term = Counter(w for c in counts.values() for w in c)
+    assert max(with_term.values()) > min(with_term.values())
+    got = {r.doc_id: r for r in queries.op5_toxicity(spark, SF).collect()}
+    assert set(got) == set(texts)
+    for i, c in counts.items():
+        mine = unit(c)
+        cosines = sorted(((-round(sum(x * e.get(t, 0) for t, x in mine.items()), 9), j) for j, e in examples.items() if mine.keys() & e.keys()))[: voter.k]
+        assert list(got[i].similarity) == pytest.approx([-s for s, _ in cosines], abs=1e-8)
+        assert len(got[i].evidence) == len(cosines)
+
+
+def test_tokens_of_long_texts(monkeypatch):
+    text = "Äpfel und Birnen, straße_2 x9 " * 50 + "langeswort" * 30
+    whole = toxicity.Terms(np.unique(toxicity.tokens([(0, text.lower())])[1])).counts([text, None, text])
+    monkeypatch.setattr(toxicity, "CHARS", 64)
+    parts = toxicity.Terms(np.unique(toxicity.tokens([(0, text.lower())])[1])).counts([text, None, text])
+    assert all((a == b).all() for a, b in zip(whole, parts)) and set(whole[0]) == {0, 2}
+    want = terms_of(text)
+    assert sorted(whole[2][whole[0] == 0].tolist()) == sorted(want.values())
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     tf = [dict(Counter(rng.integers(0, 40, rng.integers(0, 9)).tolist())) for _ in range(700)]

@@ -5,12 +5,13 @@ id (a documented bound), and their different texts. Its terms are all words of t
 beginnings of longer ones; none is left out. A term weighs its inverse document frequency, counted
 over all documents, times its G statistic between the classes and a little more, so that words
 that say little of the class hardly count, and rare words of one class do.
-Postings lie by term, examples in
-blocks of similar ones. Rare terms are summed over their postings; frequent ones lie as dense rows with the
-largest weight in every block, and are summed where this bound lets a block reach the k-th
-score, so the neighbours are the exact ones. They vote with weights that fall
-with the distance, and a monotone map from leave-one-out votes of the examples
-themselves makes votes into probabilities. The neighbours are the evidence.
+A term is known by a 64-bit hash of its letters, so that a batch of texts is cut into terms in
+one go. Postings lie by term, examples in blocks of similar ones. Rare terms are summed over their
+postings; frequent ones lie as dense rows with the largest weight in every block, and a block is
+summed for the texts that this bound lets reach the k-th score there, so the neighbours are
+the exact ones, by sums in double precision. They vote with weights that fall with the distance, and a monotone map from
+leave-one-out votes of the examples themselves makes votes into probabilities. The
+neighbours are the evidence.
 
 Nulls and edges: a null or empty text, or one without a term, has no neighbours and
 gets the rate of such texts among the examples; rows without text or label teach
@@ -21,29 +22,136 @@ is 0; labels of a document that is listed twice count once for each row.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, small_batches
+from .common import Kept, mix, small_batches
 
-_WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 64
+BLOCK, FEW = 64, 16
 #: Terms of more than one example in so many lie as dense rows.
-DENSE = 32
+DENSE = 16
 #: Letters by which longer words count a second time.
 STEM = 5
-
-
-def words(text: str | None) -> list[str]:
-    """Words in lower case, and the first letters of longer words, marked by a star."""
-    if not text:
-        return []
-    found = _WORD.findall(text.lower())
-    return found + [w[:STEM] + "*" for w in found if len(w) > STEM]
+#: Characters of texts that are cut into terms together, and texts that are searched together.
+CHARS, TEXTS = 1 << 19, 128
+#: More than the rounding of sums of unit vectors' products; scores within it are ties.
+SLACK = 1e-11
+
+_BREAK = re.compile(r"[\W\d_]")
+_LETTER: np.ndarray | None = None
+_POINT: np.ndarray | None = None
+_POWERS: tuple[np.ndarray, np.ndarray] | None = None
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd number, and of its inverse, modulo 2 ** 64."""
+    global _POWERS
+    if _POWERS is None or len(_POWERS[0]) < n:
+        size = max(n, 2 * CHARS)
+        _POWERS = tuple(np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(size, x, np.uint64))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return _POWERS
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points are letters, and a random odd number for each."""
+    global _LETTER, _POINT
+    if _LETTER is None:
+        _LETTER = np.array([(ch := chr(c)).isalnum() and not ch.isdecimal() for c in range(0x110000)])
+        _POINT = mix(np.arange(1, 0x110001, dtype=np.uint64)) | np.uint64(1)
+    return _LETTER, _POINT
+
+
+def _groups(texts: list[str | None]):
+    """Pieces of the texts in groups of bounded size, as (text number, piece); longer texts are cut between words."""
+    group, size = [], 0
+    for i, text in enumerate(texts):
+        low, at = (text or "").lower(), 0
+        while at < len(low):
+            cut = _BREAK.search(low, at + CHARS) if len(low) - at > CHARS else None
+            to = cut.end() if cut else len(low)
+            group.append((i, low[at:to]))
+            size, at = size + to - at, to
+            if size >= CHARS:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def tokens(group: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of each word of some pieces in lower case, and of the beginnings of longer words."""
+    letter, point = _tables()
+    points = np.frombuffer(" ".join(t for _, t in group).encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = np.zeros(len(points) + 2, bool)
+    inside[1:-1] = letter[points]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    # a word's hash: its part of one running sum, brought back to the exponent 0
+    powers, back = _powers(len(points))
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(point[points] * powers[: len(points)], out=sums[1:])
+    at, lens = sums[starts], ends - starts
+    whole = mix((sums[ends] - at) * back[starts] ^ (lens.astype(np.uint64) << np.uint64(48)))
+    long = np.flatnonzero(lens > STEM)
+    begun = mix((sums[starts[long] + STEM] - at[long]) * back[starts[long]] ^ np.uint64(1 << 47))
+    begins = np.cumsum([0, *(len(t) + 1 for _, t in group)])[:-1]
+    doc = np.repeat(np.array([i for i, _ in group]), np.diff(np.append(np.searchsorted(starts, begins), len(starts))))
+    return np.concatenate([doc, doc[long]]), np.concatenate([whole, begun])
+
+
+def word_hash(word: str) -> np.uint64:
+    """Hash of one word, or, with a star behind it, of the beginning of longer ones."""
+    if word.endswith("*"):
+        return tokens([(0, word[:-1] + "x" * STEM)])[1][1]
+    return tokens([(0, word.lower())])[1][0]
+
+
+class Terms:
+    """Hashes of terms, each with its number."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.order = np.argsort(hashes)
+        self.sorted = np.append(hashes[self.order], np.uint64(0xFFFFFFFFFFFFFFFF))
+        # where the hashes of each beginning lie
+        bits = max(1, int(len(hashes)).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.sorted[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.most = int(np.diff(self.first, append=len(hashes)).max())
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __contains__(self, word: str) -> bool:
+        return bool(len(self.find(np.array([word_hash(word)]))[0]))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes that are terms, and the terms' numbers."""
+        at = self.first[(hashes >> self.shift).astype(np.int64)]
+        left = np.flatnonzero(self.sorted[at] < hashes)
+        for _ in range(self.most):
+            at[left] += 1
+            left = left[self.sorted[at[left]] < hashes[left]]
+        hit = np.flatnonzero((self.sorted[at] == hashes) & (at < len(self)))
+        return hit, self.order[at[hit]]
+
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, term, times) of the terms in each text, in that order."""
+        seen, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for group in _groups(texts):
+            doc, h = tokens(group)
+            hit, term = self.find(h)
+            u, n = np.unique(doc[hit] * len(self) + term, return_counts=True)
+            seen.append(u)
+            times.append(n)
+        seen, times = np.concatenate(seen), np.concatenate(times)
+        if len(seen) and not (np.diff(seen) > 0).all():  # a text in several groups
+            seen, place = np.unique(seen, return_inverse=True)
+            times = np.bincount(place, times).astype(np.int64)
+        return seen // max(len(self), 1), seen % max(len(self), 1), times
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -52,46 +160,56 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Voter:
-    """Examples as a block-max inverted index over a fixed vocabulary; counts are by term, as a dict or two arrays."""
+    """Examples as a block-max inverted index over a fixed vocabulary, given as words or hashes; counts are by term, as a dict or two arrays."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], tf: list, labels: np.ndarray, weights: np.ndarray, k: int):
-        self.terms, self.idf, self.k = {t: i for i, t in enumerate(terms)}, idf, k
+    def __init__(self, terms: list[str] | np.ndarray, idf: np.ndarray, ids: list[int], tf: list, labels: np.ndarray, weights: np.ndarray, k: int):
+        self.terms = Terms(terms if isinstance(terms, np.ndarray) else np.array([word_hash(t) for t in terms], np.uint64))
+        self.idf, self.k, self.v = idf, k, len(self.terms)
         vectors = [self.vector(c) for c in tf]
         none = np.array([not len(t) for t, _ in vectors], bool)
         total = weights[none].sum()
         self.base = float((weights * labels)[none].sum() / total) if total else float((weights * labels).sum() / max(weights.sum(), 1e-12))
         # examples with the same strongest term lie together
         some = sorted(np.flatnonzero(~none).tolist(), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), ids[i]))
-        n, self.v = len(some), len(terms)
+        n = len(some)
         self.blocks = -(-n // BLOCK)
-        self.ids = np.array([ids[i] for i in some] + [np.iinfo(np.int64).max] * (self.blocks * BLOCK - n), np.int64)
-        self.label = np.concatenate([labels[some], np.zeros(self.blocks * BLOCK - n)]) if n else np.zeros(0)
-        self.weight = np.concatenate([weights[some], np.zeros(self.blocks * BLOCK - n)]) if n else np.zeros(0)
-        # postings by term, then place; terms of many examples as dense rows, with their largest weights by block
-        term = np.concatenate([vectors[i][0] for i in some]) if n else np.zeros(0, np.int64)
-        order = np.argsort(term, kind="stable")
-        term = term[order]
-        self.place = np.repeat(np.arange(n, dtype=np.int32), [len(vectors[i][0]) for i in some])[order]
-        self.value = (np.concatenate([vectors[i][1] for i in some]) if n else np.zeros(0))[order].astype(np.float32)
+        self.n, self.places = n, self.blocks * BLOCK
+        self.ids = np.array([ids[i] for i in some] + [np.iinfo(np.int64).max] * (self.places - n), np.int64)
+        self.label = np.concatenate([labels[some], np.zeros(self.places - n)]) if n else np.zeros(0)
+        self.weight = np.concatenate([weights[some], np.zeros(self.places - n)]) if n else np.zeros(0)
+        # the examples by place, and their postings by term, then place
+        sizes = np.array([len(vectors[i][0]) for i in some], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.term = np.concatenate([vectors[i][0] for i in some]) if n else np.zeros(0, np.int64)
+        self.value = np.concatenate([vectors[i][1] for i in some]) if n else np.zeros(0)
+        order = np.argsort(self.term, kind="stable")
+        term = self.term[order]
+        self.place = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+        self.by_term = self.value[order]
         self.start = np.searchsorted(term, np.arange(self.v + 1))
+        # terms of many examples as dense rows of each block, with their largest weights by block
         often = np.flatnonzero(np.diff(self.start) > n / DENSE)
         self.row = np.full(self.v, -1, np.int32)
         self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
+        dense = np.zeros((len(often), self.places))
         mine = self.row[term] >= 0
-        self.dense[self.row[term[mine]], self.place[mine]] = self.value[mine]
-        self.dense = self.dense.reshape(len(often), self.blocks, BLOCK)
-        self.block_max = self.dense.max(2) if n else np.zeros((0, 0))
+        dense[self.row[term[mine]], self.place[mine]] = self.by_term[mine]
+        self.dense = np.ascontiguousarray(dense.reshape(len(often), self.blocks, BLOCK).transpose(1, 0, 2))
+        self.block_max = self.dense.max(2).T if n else np.zeros((len(often), 0))
         self.x, self.y = np.zeros(1), np.full(1, self.base)
         if n:
-            votes = np.array([self.vote(*vectors[i], skip=at)[0] for at, i in enumerate(some)])
+            votes = np.zeros(n)
+            for a in range(0, n, TEXTS):
+                own = np.arange(a, min(a + TEXTS, n))
+                e = np.arange(self.begin[a], self.begin[own[-1] + 1])
+                votes[own] = self.votes(len(own), *self.search(np.repeat(own - a, sizes[own]), self.term[e], self.value[e], len(own), own))
             self._calibrate(votes, self.label[:n], self.weight[:n])
 
     @property
     def posting(self) -> np.ndarray:
         """The weights as a dense array of terms, blocks and places (for small vocabularies)."""
-        out = np.zeros((self.v, self.blocks * BLOCK))
-        out[np.repeat(np.arange(self.v), np.diff(self.start)), self.place] = self.value
+        out = np.zeros((self.v, self.places))
+        out[self.term, np.repeat(np.arange(self.n), np.diff(self.begin))] = self.value
         return out.reshape(self.v, self.blocks, BLOCK)
 
     def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
@@ -99,45 +217,61 @@ class Voter:
         t, n = counts if isinstance(counts, tuple) else (np.array(list(counts), np.int64), np.array(list(counts.values())))
         order = np.argsort(t)
         t = t[order]
-        w = (1 + np.log(n[order])) * self.idf[t] if len(t) else np.zeros(0)
-        t, w = t[w > 0], w[w > 0]
-        return t, w / np.linalg.norm(w) if len(t) else w
+        return t, self._unit(np.zeros(len(t), np.int64), t, n[order], 1)
 
-    def count(self, text: str | None) -> dict[int, int]:
-        terms = self.terms
-        return dict(Counter(terms[w] for w in words(text) if w in terms))
+    def _unit(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, texts: int) -> np.ndarray:
+        """Weights of the terms of some texts, of length 1 for each text."""
+        w = (1 + np.log(times)) * self.idf[term]
+        size = np.sqrt(np.bincount(doc, w * w, texts))
+        return w / np.maximum(size, 1e-300)[doc]
 
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term, nearest first."""
-        if not self.blocks:
-            return np.zeros(0, np.int64), np.zeros(0)
-        often = self.row[t] >= 0
-        rare, by, rows, weights = t[~often], w[~often], self.row[t[often]], w[often]
+        _, places, scores = self.search(np.zeros(len(t), np.int64), t, w, 1, np.array([skip]))
+        return places, scores
+
+    def search(self, doc: np.ndarray, term: np.ndarray, w: np.ndarray, texts: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place, cosine) of the k nearest examples of each text, nearest first; skip: a place for each text that does not count."""
+        none = np.zeros(0, np.int64)
+        if not self.n or not len(term):
+            return none, none, np.zeros(0)
+        frequent = self.row[term] >= 0
+        rare, of, by = term[~frequent], doc[~frequent], w[~frequent]
         sizes = self.start[rare + 1] - self.start[rare]
         e = _ranges(self.start[rare], sizes)
-        s = np.bincount(self.place[e], self.value[e] * np.repeat(by, sizes), self.blocks * BLOCK).astype(float)
-        if skip >= 0:
-            s[skip] = 0
-        if len(rows):
+        s = np.bincount(np.repeat(of, sizes) * self.places + self.place[e], self.by_term[e] * np.repeat(by, sizes), texts * self.places).astype(float, copy=False).reshape(texts, self.places)
+        own = np.flatnonzero(skip >= 0) if skip is not None else none
+        if len(own):
+            s[own, skip[own]] = 0
+        if frequent.any():
+            weights = np.zeros((texts, len(self.block_max)))
+            weights[doc[frequent], self.row[term[frequent]]] = w[frequent]
+            bound = weights @ self.block_max
             # blocks that can reach the k-th of the scores so far, which only grow
-            least = np.partition(s, -self.k)[-self.k] if len(s) > self.k else 0.0
-            bound, s = weights @ self.block_max[rows], s.reshape(self.blocks, BLOCK)
-            need = np.flatnonzero((bound > 0) & (s.max(1) + bound >= least - 1e-9))
-            s[need] += (weights @ self.dense[rows[:, None], need].reshape(len(rows), -1)).reshape(-1, BLOCK)
-            s = s.ravel()
-        if skip >= 0:
-            s[skip] = 0
-        least = np.partition(s, -self.k)[-self.k] if len(s) > self.k else 0.0
-        places = np.flatnonzero((s > 0) & (s >= least - 1e-11))
-        places = places[np.lexsort((self.ids[places], -np.round(s[places], 12)))[: self.k]]
-        return places, s[places]
-
-    def vote(self, t, w, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        places, scores = self.nearest(t, w, skip)
-        if not len(places):
-            return self.base, places, scores
-        by = self.weight[places] / (1.05 - np.minimum(scores, 1))
-        return float(by @ self.label[places] / by.sum()), places, scores
+            most = s.reshape(texts, self.blocks, BLOCK).max(2)
+            need = (bound > 0) & (most + bound >= self._kth(most) - SLACK)
+            for b in range(self.blocks):
+                if len(rows := np.flatnonzero(need[:, b])):
+                    s[rows, b * BLOCK : (b + 1) * BLOCK] += weights[rows] @ self.dense[b]
+            if len(own):
+                s[own, skip[own]] = 0
+        # the k-th of the largest of each few is reached by k examples, so no better one is missed
+        at, place = np.nonzero((s > 0) & (s >= self._kth(s.reshape(texts, -1, FEW).max(2)) - SLACK))
+        score = s[at, place]
+        order = np.lexsort((self.ids[place], -np.round(score, 11), at))
+        at, place, score = at[order], place[order], score[order]
+        best = np.arange(len(at)) - np.searchsorted(at, at) < self.k
+        return at[best], place[best], score[best]
+
+    def _kth(self, s: np.ndarray) -> np.ndarray:
+        """The k-th largest of each row; 0 where there are no more."""
+        return np.partition(s, -self.k, axis=1)[:, -self.k, None] if s.shape[1] > self.k else np.zeros((len(s), 1))
+
+    def votes(self, texts: int, at: np.ndarray, place: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """The vote of the neighbours of each text; the base rate where there are none."""
+        by = self.weight[place] / (1.05 - np.minimum(score, 1))
+        total = np.bincount(at, by, texts)
+        return np.where(total > 0, np.bincount(at, by * self.label[place], texts) / np.maximum(total, 1e-300), self.base)
 
     def _calibrate(self, votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
         """Pool adjacent violators: a rising step function from votes to rates."""
@@ -151,15 +285,19 @@ class Voter:
         self.x = np.array([x for p in pools for x in (p[0], p[1])])
         self.y = np.array([r for p in pools for r in [(p[2] + 0.5 * self.base) / (p[3] + 0.5)] * 2])
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """Probability, ids of the examples behind it, their cosines."""
-        counts = self.count(text)
-        if not counts:
-            return self.base, [], []
-        vote, places, scores = self.vote(*self.vector(counts))
-        if not len(places):
-            return self.base, [], []
-        return float(np.clip(np.interp(vote, self.x, self.y), 0, 1)), self.ids[places].tolist(), scores.tolist()
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Probability of each text; and (text, id, cosine) of the examples behind it, nearest first."""
+        out, parts = np.full(len(texts), self.base), []
+        doc, term, times = self.terms.counts(texts)
+        w = self._unit(doc, term, times, len(texts))
+        for a in range(0, len(texts), TEXTS):
+            n = min(TEXTS, len(texts) - a)
+            e = slice(*np.searchsorted(doc, [a, a + n]))
+            at, place, cosine = self.search(doc[e] - a, term[e], w[e], n)
+            some = np.unique(at)
+            out[a + some] = np.clip(np.interp(self.votes(n, at, place, cosine)[some], self.x, self.y), 0, 1)
+            parts.append((at + a, self.ids[place], cosine))
+        return out, *(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def parting(a: np.ndarray, b: np.ndarray, p: float, m: float) -> np.ndarray:
@@ -179,7 +317,7 @@ def fit(labels: DataFrame, docs: DataFrame, text_col: str = "text", label_col: s
     """A voter from labels (id, 0 or 1) and the documents they are of, with document frequencies of all documents.
 
     The sample of labels is bounded, so it is broadcast to the documents; they are not
-    shuffled. To the driver come the words of the sample with their frequencies, and their
+    shuffled. To the driver come the terms of the sample with their frequencies, and their
     counts in each text of it.
     """
     small_batches(docs.sparkSession)
@@ -192,33 +330,37 @@ def fit(labels: DataFrame, docs: DataFrame, text_col: str = "text", label_col: s
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     found = texts.join(F.broadcast(some), "id").groupBy(F.xxhash64("text").alias("h"), "label").agg(F.min("id").alias("id"), F.min("text").alias("text"))
     kept = Kept(found.select("id", "text", "label"), "examples")
-    sample, corpus = kept.df, docs
+    sample = kept.df
 
-    def each_word(batches):
+    def each_term(batches):
         for batch in batches:
-            seen = [sorted(set(words(t))) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.list_(pa.string())), batch.column(1)], ["words", "label"])
+            every = [tokens(group) for group in _groups(batch.column(0).to_pylist())]
+            if every:
+                doc, h = (np.concatenate(x) for x in zip(*every, strict=True))
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))[: len(h)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column(1).take(pa.array(doc[new]))], ["term", "label"])
 
-    terms = sample.select("text", "label").mapInArrow(each_word, "words array<string>, label int")
     size = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     p, m = float(size.get(1, 0)), float(size.get(0, 0))
-    found = terms.select("label", F.explode("words").alias("w")).groupBy("w").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("n")).toArrow().sort_by("w")
-    chosen, a, n_with = found["w"].to_pylist(), found["a"].to_numpy(), found["n"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(chosen)})  # bounded by the sample
+    terms = sample.select("text", "label").mapInArrow(each_term, "term long, label int").groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("n")).toArrow().sort_by("term")
+    chosen, a, n_with = terms["term"].to_numpy().view(np.uint64), terms["a"].to_numpy(), terms["n"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(Terms(chosen))  # bounded by the sample
 
     def frequencies(batches):
         known = shared.value
-        total, docs = np.zeros(len(known) + 1, np.int64), 0  # the last place counts the documents
+        total, seen = np.zeros(len(known) + 1, np.int64), 0  # the last place counts the documents
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                docs += 1
-                total[[known[w] for w in set(words(text)) if w in known]] += 1
-        total[-1] = docs
+            _, term, _ = known.counts(batch.column(0).to_pylist())
+            total[:-1] += np.bincount(term, minlength=len(known))
+            seen += len(batch)
+        total[-1] = seen
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
     counts = np.zeros(len(chosen) + 1, np.int64)
-    counted = corpus.select(F.col(text_col).cast("string")).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     counts[counted["term"].to_numpy()] = counted["n"].to_numpy()
     idf = np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1
     term_weight = idf * parting(a, n_with - a, p, m) if p and m else idf
@@ -226,8 +368,9 @@ def fit(labels: DataFrame, docs: DataFrame, text_col: str = "text", label_col: s
     def vectors(batches):
         known = shared.value
         for batch in batches:
-            c = [Counter(known[w] for w in words(t) if w in known) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(x) for x in c], pa.list_(pa.int32())), pa.array([list(x.values()) for x in c], pa.list_(pa.int32())), batch.column(2)], ["id", "terms", "tf", "label"])
+            doc, term, times = known.counts(batch.column(1).to_pylist())
+            cuts = pa.array(np.searchsorted(doc, np.arange(len(batch) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (term, times)), batch.column(2)], ["id", "terms", "tf", "label"])
 
     got = sample.select("id", "text", "label").mapInArrow(vectors, "id long, terms array<int>, tf array<int>, label int").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     ids, labels = got["id"].to_pylist(), got["label"].to_numpy().astype(float)
@@ -243,12 +386,14 @@ def score(docs: DataFrame, voter: Voter | None, text_col: str = "text", keep: li
     keep = docs.columns if keep is None else keep
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    shared = docs.sparkSession.sparkContext.broadcast(voter)  # bounded by the sample and the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(voter)  # bounded by the sample and its terms
 
     def run(batches):
         v = shared.value
         for batch in batches:
-            got = [v.score(t) if v else (0.0, [], []) for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.list_(pa.int64())), pa.array([x[2] for x in got], pa.list_(pa.float64()))], [*keep, "score", "evidence", "similarity"])
+            none = np.zeros(0, np.int64)
+            found, at, ids, cosine = v.score(batch.column(len(keep)).to_pylist()) if v and len(batch) else (np.zeros(len(batch)), none, none, np.zeros(0))
+            cuts = pa.array(np.searchsorted(at, np.arange(len(batch) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found), pa.ListArray.from_arrays(cuts, pa.array(ids)), pa.ListArray.from_arrays(cuts, pa.array(cosine))], [*keep, "score", "evidence", "similarity"])
 
     return picked.mapInArrow(run, (schema + ", " if schema else "") + "score double, evidence array<long>, similarity array<double>")
