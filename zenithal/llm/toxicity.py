@@ -163,47 +163,63 @@ class Voter:
     """Examples as a block-max inverted index over a fixed vocabulary, given as words or hashes; counts are by term, as a dict or two arrays."""
 
     def __init__(self, terms: list[str] | np.ndarray, idf: np.ndarray, ids: list[int], tf: list, labels: np.ndarray, weights: np.ndarray, k: int):
-        self.terms = Terms(terms if isinstance(terms, np.ndarray) else np.array([word_hash(t) for t in terms], np.uint64))
-        self.idf, self.k, self.v = idf, k, len(self.terms)
-        vectors = [self.vector(c) for c in tf]
-        none = np.array([not len(t) for t, _ in vectors], bool)
+        hashes = terms if isinstance(terms, np.ndarray) else np.array([word_hash(t) for t in terms], np.uint64)
+        pairs = [c if isinstance(c, tuple) else (np.array(list(c), np.int64), np.array(list(c.values()), np.int64)) for c in tf]
+        none = np.array([not len(t) for t, _ in pairs], bool)
         total = weights[none].sum()
         self.base = float((weights * labels)[none].sum() / total) if total else float((weights * labels).sum() / max(weights.sum(), 1e-12))
+        self.x, self.y, self.k, self.idf = np.zeros(1), np.full(1, self.base), k, idf
         # examples with the same strongest term lie together
-        some = sorted(np.flatnonzero(~none).tolist(), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), ids[i]))
-        n = len(some)
-        self.blocks = -(-n // BLOCK)
-        self.n, self.places = n, self.blocks * BLOCK
-        self.ids = np.array([ids[i] for i in some] + [np.iinfo(np.int64).max] * (self.places - n), np.int64)
-        self.label = np.concatenate([labels[some], np.zeros(self.places - n)]) if n else np.zeros(0)
-        self.weight = np.concatenate([weights[some], np.zeros(self.places - n)]) if n else np.zeros(0)
-        # the examples by place, and their postings by term, then place
-        sizes = np.array([len(vectors[i][0]) for i in some], np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.term = np.concatenate([vectors[i][0] for i in some]) if n else np.zeros(0, np.int64)
-        self.value = np.concatenate([vectors[i][1] for i in some]) if n else np.zeros(0)
+        strongest = [int(t[((1 + np.log(n)) * idf[t]).argmax()]) if len(t) else -1 for t, n in pairs]
+        some = sorted(np.flatnonzero(~none).tolist(), key=lambda i: (strongest[i], ids[i]))
+        cuts = np.concatenate([[0], np.cumsum([len(pairs[i][0]) for i in some])]).astype(np.int64)
+        empty = [np.zeros(0, np.int64)]
+        term, times = (np.concatenate(empty + [pairs[i][j] for i in some]).astype(np.int32) for j in (0, 1))
+        order = np.lexsort((term, np.repeat(np.arange(len(some)), np.diff(cuts))))
+        self._build(hashes, np.array([ids[i] for i in some], np.int64), labels[some], weights[some], cuts, term[order], times[order])
+        if self.n:
+            votes = np.zeros(self.n)
+            for a in range(0, self.n, TEXTS):
+                own = np.arange(a, min(a + TEXTS, self.n))
+                e = slice(cuts[a], cuts[own[-1] + 1])
+                votes[own] = self.votes(len(own), *self.search(np.repeat(own - a, np.diff(cuts)[own]), self.term[e], self.value[e], len(own), own))
+            self._calibrate(votes, self.label[: self.n], self.weight[: self.n])
+
+    def __getstate__(self) -> tuple:
+        """What the index is made from again, so that what is broadcast stays small."""
+        return self._made, self.idf, self.k, self.base, self.x, self.y
+
+    def __setstate__(self, state: tuple) -> None:
+        made, self.idf, self.k, self.base, self.x, self.y = state
+        self._build(*made)
+
+    def _build(self, *made) -> None:
+        """The index: of the examples that have terms, given by place with their ids, labels, weights, terms and how often they have them."""
+        self._made = made
+        hashes, ids, labels, weights, self.begin, self.term, times = made
+        self.terms, self.v, self.n = Terms(hashes), len(hashes), len(ids)
+        self.blocks = -(-self.n // BLOCK)
+        self.places = self.blocks * BLOCK
+        rest = np.zeros(self.places - self.n)
+        self.ids = np.concatenate([ids, np.full(len(rest), np.iinfo(np.int64).max)]).astype(np.int64)
+        self.label, self.weight = np.concatenate([labels, rest]), np.concatenate([weights, rest])
+        sizes = np.diff(self.begin)
+        self.value = self._unit(np.repeat(np.arange(self.n), sizes), self.term, times, self.n)
+        # their postings by term, then place
         order = np.argsort(self.term, kind="stable")
         term = self.term[order]
-        self.place = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+        self.place = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[order]
         self.by_term = self.value[order]
         self.start = np.searchsorted(term, np.arange(self.v + 1))
         # terms of many examples as dense rows of each block, with their largest weights by block
-        often = np.flatnonzero(np.diff(self.start) > n / DENSE)
+        often = np.flatnonzero(np.diff(self.start) > self.n / DENSE)
         self.row = np.full(self.v, -1, np.int32)
         self.row[often] = np.arange(len(often))
         dense = np.zeros((len(often), self.places))
         mine = self.row[term] >= 0
         dense[self.row[term[mine]], self.place[mine]] = self.by_term[mine]
         self.dense = np.ascontiguousarray(dense.reshape(len(often), self.blocks, BLOCK).transpose(1, 0, 2))
-        self.block_max = self.dense.max(2).T if n else np.zeros((len(often), 0))
-        self.x, self.y = np.zeros(1), np.full(1, self.base)
-        if n:
-            votes = np.zeros(n)
-            for a in range(0, n, TEXTS):
-                own = np.arange(a, min(a + TEXTS, n))
-                e = np.arange(self.begin[a], self.begin[own[-1] + 1])
-                votes[own] = self.votes(len(own), *self.search(np.repeat(own - a, sizes[own]), self.term[e], self.value[e], len(own), own))
-            self._calibrate(votes, self.label[:n], self.weight[:n])
+        self.block_max = self.dense.max(2).T if self.n else np.zeros((len(often), 0))
 
     @property
     def posting(self) -> np.ndarray:
