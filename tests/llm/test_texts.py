@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from zenithal.llm import common, langid, ngram_join, pii, queries, suffix_dedup, toxicity
@@ -133,7 +134,8 @@ def brute_repeats(rows, length):
     return rep, cut, words
 
 
-def test_suffix_dedup_is_brute_force(spark):
+@pytest.mark.parametrize("longest", [suffix_dedup.RUN, 5])
+def test_suffix_dedup_is_brute_force(spark, longest):
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(400)]
     passages = [[words[i] for i in rng.integers(0, 400, rng.integers(15, 60))] for _ in range(20)]
@@ -145,8 +147,8 @@ def test_suffix_dedup_is_brute_force(spark):
             w += [words[k] for k in rng.integers(0, 400, rng.integers(0, 30))] + p[a : a + rng.integers(10, 60)]
         rows.append((i, " ".join(w + ["x"] * (int(rng.integers(10, 100)) if i % 40 == 0 else 0))))
     rows += [(250, None), (251, ""), (252, "a b"), (253, rows[3][1])]
-    df = documents(spark, padded(rows))
-    spans = suffix_dedup.repeats(df, 20, 8)
+    df = documents(spark, padded(rows)).select("*", F.lit(1).alias("_from"), F.lit(2).alias("a"), F.lit(3).alias("row"))
+    spans = suffix_dedup.repeats(df, 20, 8, longest=longest)
     rep, cut, words_of = brute_repeats(rows, 20)
     got, got_cut = {}, {}
     for r in spans.collect():
@@ -160,6 +162,27 @@ def test_suffix_dedup_is_brute_force(spark):
         assert left.get(i, []) == stay and (i in left or (w and not stay))
 
 
+def test_suffixes_extend_to_both_sides():
+    """Runs of 6 words around heads of 3: every combination of words left and right, against all runs in plain Python."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{k}" for k in [*rng.integers(0, 2, 3), 7, 8, 9, *rng.integers(0, 2, 3)]) for _ in range(40)]
+    runs = suffix_dedup.Runs(pa.array(texts), 6, 4)
+    doc, head, at, lo, hi = runs.suffixes()
+    after, before = (suffix_dedup._padded(x, 3) for x in runs.sides(at, lo, hi))
+    order = np.lexsort((*after.T[::-1], head))
+    leader, several = suffix_dedup.compare(head[order].view(np.int64), doc[order], lo[order], hi[order], after[order], before[order])
+    place = (at - runs.first[:-1][doc])[order]
+    got = {(int(doc[order][r]), int(place[r]) - o): int(leader[r, o]) for r, o in zip(*np.nonzero(several))}
+    seen = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for a in range(len(w) - 5):
+            seen.setdefault(tuple(w[a : a + 6]), []).append((i, a))
+    assert got == {x: min(found)[0] for found in seen.values() if len({i for i, _ in found}) > 1 for x in found}
+
+
 def test_suffix_dedup_leaves_clean_documents(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(str(rng.randrange(10**6)) for _ in range(200))) for i in range(20)]
@@ -276,7 +299,7 @@ def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     tf = [dict(Counter(rng.integers(0, 40, rng.integers(0, 9)).tolist())) for _ in range(700)]
     labels = rng.integers(0, 2, 700).astype(float)
-    v = toxicity.Voter([f"t{i}" for i in range(40)], rng.random(40) + 0.5, list(range(700)), tf, labels, np.ones(700), 7)
+    v = toxicity.Voter([f"t{i}" for i in range(40)], rng.random(40) + 0.5, np.arange(700), tf, labels, np.ones(700), 7)
     dense = v.posting.reshape(40, -1)
     for _ in range(100):
         t, w = v.vector(dict(Counter(rng.integers(0, 40, 5).tolist())))

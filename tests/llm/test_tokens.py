@@ -44,6 +44,35 @@ def test_sentencepiece_forgets(monkeypatch):
     assert [m.ids(t) for t in texts] == want
 
 
+@pytest.mark.parametrize("limit", [4096, 16])
+def test_long_words_are_those_of_the_library(monkeypatch, limit):
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece_bpe, "LONG", limit)
+    path = queries.tokenizer_path(queries.PIECES)
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_bpe.MergeModel(path)
+    rng = random.Random(3)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ab", "0123456789", "日本語é😀a", "=-"]
+    for alphabet in alphabets:
+        for size in (17, 300, 6000):
+            text = "".join(rng.choice(alphabet) for _ in range(size))
+            assert m.ids(text) == np.array(sp.encode(text, add_bos=True, add_eos=True), "<u4").tobytes(), (alphabet, size)
+
+
+def test_a_megabyte_without_spaces():
+    import time
+
+    import sentencepiece
+
+    path = queries.tokenizer_path(queries.PIECES)
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_bpe.model(path)
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    began = time.time()
+    assert m.ids(text) == np.array(sp.encode(text, add_bos=True, add_eos=True), "<u4").tobytes()
+    assert time.time() - began < 90
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
@@ -86,3 +115,24 @@ def test_token_counts_of_files(spark):
     got = token_counts.count_tokens(spark.createDataFrame(rows, "file long, block long, payload binary"), e, 4).toPandas()
     found = sorted(zip(got.file, got.ordinal, got.n_tokens, got.ended))
     assert found == [(0, 0, 2, True), (0, 1, 0, True), (0, 2, 1, False), (1, 0, 0, True), (2, 0, 7, False), (4, 0, 3, True), (4, 1, 2, True)]
+
+
+@pytest.mark.parametrize("block", [1, 5, 1 << 20])
+def test_token_counts_of_flat_files(spark, tmp_path, block):
+    e = 7
+    files = {"a": [1, 2, e, e, 3, 3], "b": [e] * 12, "c": [], "d": [5] * 40 + [e]}
+    for name, ids in files.items():
+        (tmp_path / f"{name}.bin").write_bytes(np.array(ids, "<u2").tobytes())
+    blocks, named = token_counts.file_blocks(spark, str(tmp_path), 2, block)
+    got = token_counts.count_tokens(blocks, e).join(named, "file").toPandas()
+    found = {n: [(r.n_tokens, r.ended) for r in got[got.path.str.endswith(f"{n}.bin")].sort_values("ordinal").itertuples()] for n in files}
+    assert found == {"a": [(2, True), (0, True), (2, False)], "b": [(0, True)] * 12, "c": [], "d": [(40, True)]}
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="whole number"):
+        token_counts.file_blocks(spark, str(tmp_path / "odd.bin"))[0].count()
+
+
+def test_token_counts_of_nothing(spark, docs):
+    path = queries.tokenizer_path(queries.BPE)
+    files, order = token_counts.write_token_files(docs[1].limit(0), path, queries.EOD)
+    assert order.count() == 0 and token_counts.count_tokens(files.df.where("block is not null"), queries.EOD).count() == 0

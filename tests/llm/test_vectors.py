@@ -36,6 +36,32 @@ def test_ann_recall_and_exact_scores(spark, data):
     assert set(got.query_id) <= set(range(1500))
 
 
+@pytest.mark.parametrize("a_pass", [16384, 12])
+def test_ann_by_cells(spark, monkeypatch, a_pass):
+    """Clustered vectors, one cluster with a third of them: a query looks into few cells, whose folders alone are read."""
+    monkeypatch.setattr(ann.V, "QUERIES_A_PASS", a_pass)
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(30, 16))
+    of = np.where(rng.random(3000) < 1 / 3, 0, rng.integers(0, 30, 3000))
+    x = (middles[of] + 0.15 * rng.normal(size=(3000, 16))).astype(np.float32)
+    df = vectors(spark, [(i, [float(v) for v in r], "", "") for i, r in enumerate(x)])
+    data = ann.V.clean(df, nonzero=True)
+    index = ann.Index(data, k=5, rows_a_cell=100)
+    cells = index.model.value[16][1]
+    assert len(cells.middles) == 30 and cells.look < 15
+    asked = data.where("id % 50 = 0")
+    got = index.search(asked).toPandas()
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 3000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5]) & set(got[got.query_id == q].vec_id))
+    assert len(got) == 300 and hits >= 0.95 * 300
+    one = index.search(data.where("id = 50"))
+    assert "cell" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+
+
 @pytest.mark.parametrize("noise", [0.02, 0.3])
 def test_ann_among_near_copies(noise):
     rng = np.random.default_rng(3)
@@ -44,14 +70,17 @@ def test_ann_among_near_copies(noise):
     ids, unit = np.arange(8192), x / np.linalg.norm(x, axis=1, keepdims=True)
     asked = np.array([5, 900, 2000, 4000, 8000])
     best = ann.V.Best(5, 5, float)
-    ann._scan_block(best, ids, x, ann.Quantiser(64).fit(unit[::8], rounds=4), asked, np.arange(5), x[asked], unit[asked], 64)
+    quantiser = ann.Quantiser(64).fit(unit[::8], rounds=4)
+    ann._scan_block(best, ids, x, *quantiser.packed(unit), quantiser, asked, np.arange(5), x[asked], unit[asked], 64)
     for i, q in enumerate(asked):
         s = unit @ unit[q]
         s[q] = -9
         assert set(best.vec[i]) == set(np.argsort(-s)[:5])
 
 
-def test_exact_topk_is_brute_force(spark, data):
+@pytest.mark.parametrize("a_pass", [16384, 9])
+def test_exact_topk_is_brute_force(spark, data, monkeypatch, a_pass):
+    monkeypatch.setattr(ann.V, "QUERIES_A_PASS", a_pass)
     df, x = data
     got = exact_topk.search(df, df.where("vec_id % 50 = 0"), k=5).toPandas()
     z = np.vstack([np.floor(256 * x.astype(np.float64)), np.zeros((1, 24))]).astype(np.int64)
@@ -83,6 +112,33 @@ def test_few_and_none(spark):
         assert f.search(empty, empty).count() == 0
 
 
+def test_the_largest_id_is_an_id(spark):
+    top = 2**63 - 1
+    df = spark.createDataFrame([(top, [1.0, 0.5]), (50, [1.0, 0.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    for f in (ann, exact_topk):
+        assert {r.vec_id for r in f.search(df, df.where("vec_id = 50")).collect()} == {top, 3}
+
+
+def test_exact_topk_skips_fragments():
+    """A cutoff that few rows reach leaves few pairs of later fragments open, and the result exact."""
+    rng = np.random.default_rng(8)
+    x = np.floor(256 * rng.normal(size=(4000, 32)))
+    x[:20] = x[4] + rng.integers(-9, 9, (20, 32))
+    ids, own, q = np.arange(4000), np.arange(5), x[:5]
+    low, high, scores = [], [], x[:5] @ x.T
+    for i in range(5):
+        local = np.stack([q[i][c] @ x[:, c].T for c in exact_topk._cuts(32, 4)])
+        low.append([int(v) for v in local.min(1)])
+        high.append([int(v) for v in np.delete(local, i, axis=1).max(1)])
+    np.fill_diagonal(scores, -1e18)
+    cutoffs = [(int(np.sort(scores[i])[-5]), low[i], high[i]) for i in range(5)]
+    best = ann.V.Best(5, 5, np.int64)
+    exact_topk._resolve(best, ids, own, q, ids, x, cutoffs, 5, 4)
+    for i in range(5):
+        order = np.lexsort((ids, -scores[i]))[:5]
+        assert list(best.vec[i]) == list(order) and list(best.score[i]) == list(scores[i][order])
+
+
 def test_registered(spark):
     got = queries.op1_ann(spark, "/root/testdata/sf0.001")
     assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.count() == 50

@@ -36,7 +36,7 @@ DENSE = 16
 #: Letters by which longer words count a second time.
 STEM = 5
 #: Characters of texts that are cut into terms together, and texts that are searched together.
-CHARS, TEXTS = 1 << 19, 128
+CHARS, TEXTS = 1 << 19, 32
 #: More than the rounding of sums of unit vectors' products; scores within it are ties.
 SLACK = 1e-11
 
@@ -160,29 +160,33 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Voter:
-    """Examples as a block-max inverted index over a fixed vocabulary, given as words or hashes; counts are by term, as a dict or two arrays."""
+    """Examples as a block-max inverted index over a fixed vocabulary, given as words or hashes; counts are by term, as dicts or (cuts, terms, times) end to end."""
 
-    def __init__(self, terms: list[str] | np.ndarray, idf: np.ndarray, ids: list[int], tf: list, labels: np.ndarray, weights: np.ndarray, k: int):
+    def __init__(self, terms: list[str] | np.ndarray, idf: np.ndarray, ids: np.ndarray, tf: list[dict] | tuple, labels: np.ndarray, weights: np.ndarray, k: int):
         hashes = terms if isinstance(terms, np.ndarray) else np.array([word_hash(t) for t in terms], np.uint64)
-        pairs = [c if isinstance(c, tuple) else (np.array(list(c), np.int64), np.array(list(c.values()), np.int64)) for c in tf]
-        none = np.array([not len(t) for t, _ in pairs], bool)
-        total = weights[none].sum()
-        self.base = float((weights * labels)[none].sum() / total) if total else float((weights * labels).sum() / max(weights.sum(), 1e-12))
+        if not isinstance(tf, tuple):
+            tf = np.cumsum([0, *map(len, tf)]), *(np.array([x for c in tf for x in part(c)], np.int32) for part in (dict.keys, dict.values))
+        cuts, term, times = tf
+        sizes = np.diff(cuts)
+        total = weights[sizes == 0].sum()
+        self.base = float((weights * labels)[sizes == 0].sum() / total) if total else float((weights * labels).sum() / max(weights.sum(), 1e-12))
         self.x, self.y, self.k, self.idf = np.zeros(1), np.full(1, self.base), k, idf
         # examples with the same strongest term lie together
-        strongest = [int(t[((1 + np.log(n)) * idf[t]).argmax()]) if len(t) else -1 for t, n in pairs]
-        some = sorted(np.flatnonzero(~none).tolist(), key=lambda i: (strongest[i], ids[i]))
-        cuts = np.concatenate([[0], np.cumsum([len(pairs[i][0]) for i in some])]).astype(np.int64)
-        empty = [np.zeros(0, np.int64)]
-        term, times = (np.concatenate(empty + [pairs[i][j] for i in some]).astype(np.int32) for j in (0, 1))
-        order = np.lexsort((term, np.repeat(np.arange(len(some)), np.diff(cuts))))
-        self._build(hashes, np.array([ids[i] for i in some], np.int64), labels[some], weights[some], cuts, term[order], times[order])
+        some = np.flatnonzero(sizes)
+        order = np.lexsort((-((1 + np.log(times)) * idf[term]), np.repeat(np.arange(len(sizes)), sizes)))
+        some = some[np.lexsort((ids[some], term[order][cuts[some]]))]
+        sizes = sizes[some]
+        e = _ranges(cuts[some], sizes)
+        e = e[np.lexsort((term[e], np.repeat(np.arange(len(some)), sizes)))]
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        self._build(hashes, ids[some], labels[some], weights[some], cuts, term[e], times[e])
         if self.n:
             votes = np.zeros(self.n)
+            value = self._unit(np.repeat(np.arange(self.n), sizes), self._made[5], self._made[6], self.n)
             for a in range(0, self.n, TEXTS):
                 own = np.arange(a, min(a + TEXTS, self.n))
                 e = slice(cuts[a], cuts[own[-1] + 1])
-                votes[own] = self.votes(len(own), *self.search(np.repeat(own - a, np.diff(cuts)[own]), self.term[e], self.value[e], len(own), own))
+                votes[own] = self.votes(len(own), *self.search(np.repeat(own - a, sizes[own]), self._made[5][e], value[e], len(own), own))
             self._calibrate(votes, self.label[: self.n], self.weight[: self.n])
 
     def __getstate__(self) -> tuple:
@@ -192,24 +196,25 @@ class Voter:
     def __setstate__(self, state: tuple) -> None:
         made, self.idf, self.k, self.base, self.x, self.y = state
         self._build(*made)
+        self._made = None  # who searches ships it no further
 
     def _build(self, *made) -> None:
         """The index: of the examples that have terms, given by place with their ids, labels, weights, terms and how often they have them."""
         self._made = made
-        hashes, ids, labels, weights, self.begin, self.term, times = made
+        hashes, ids, labels, weights, cuts, term, times = made
         self.terms, self.v, self.n = Terms(hashes), len(hashes), len(ids)
         self.blocks = -(-self.n // BLOCK)
         self.places = self.blocks * BLOCK
         rest = np.zeros(self.places - self.n)
         self.ids = np.concatenate([ids, np.full(len(rest), np.iinfo(np.int64).max)]).astype(np.int64)
         self.label, self.weight = np.concatenate([labels, rest]), np.concatenate([weights, rest])
-        sizes = np.diff(self.begin)
-        self.value = self._unit(np.repeat(np.arange(self.n), sizes), self.term, times, self.n)
+        sizes = np.diff(cuts)
+        value = self._unit(np.repeat(np.arange(self.n), sizes), term, times, self.n)
         # their postings by term, then place
-        order = np.argsort(self.term, kind="stable")
-        term = self.term[order]
+        order = np.argsort(term, kind="stable")
+        term = term[order]
         self.place = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[order]
-        self.by_term = self.value[order]
+        self.by_term = value[order]
         self.start = np.searchsorted(term, np.arange(self.v + 1))
         # terms of many examples as dense rows of each block, with their largest weights by block
         often = np.flatnonzero(np.diff(self.start) > self.n / DENSE)
@@ -225,12 +230,12 @@ class Voter:
     def posting(self) -> np.ndarray:
         """The weights as a dense array of terms, blocks and places (for small vocabularies)."""
         out = np.zeros((self.v, self.places))
-        out[self.term, np.repeat(np.arange(self.n), np.diff(self.begin))] = self.value
+        out[np.repeat(np.arange(self.v), np.diff(self.start)), self.place] = self.by_term
         return out.reshape(self.v, self.blocks, BLOCK)
 
     def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit TF-IDF weights of a text."""
-        t, n = counts if isinstance(counts, tuple) else (np.array(list(counts), np.int64), np.array(list(counts.values())))
+        t, n = np.array(list(counts), np.int64), np.array(list(counts.values()))
         order = np.argsort(t)
         t = t[order]
         return t, self._unit(np.zeros(len(t), np.int64), t, n[order], 1)
@@ -389,10 +394,13 @@ def fit(labels: DataFrame, docs: DataFrame, text_col: str = "text", label_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (term, times)), batch.column(2)], ["id", "terms", "tf", "label"])
 
     got = sample.select("id", "text", "label").mapInArrow(vectors, "id long, terms array<int>, tf array<int>, label int").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
-    ids, labels = got["id"].to_pylist(), got["label"].to_numpy().astype(float)
+    shared.destroy()
+    ids, labels = got["id"].to_numpy(), got["label"].to_numpy().astype(float)
     weights = np.array([n[int(y)] / size[int(y)] for y in labels])
-    tf = [(t.values.to_numpy().astype(np.int64), c.values.to_numpy()) for t, c in zip(got["terms"], got["tf"], strict=True)]
+    each = got["terms"].combine_chunks()
+    tf = np.concatenate([[0], np.cumsum(each.value_lengths().to_numpy(zero_copy_only=False))]), each.flatten().to_numpy(), got["tf"].combine_chunks().flatten().to_numpy()
     kept.drop()
+    del got, each, terms, counted
     return Voter(chosen, term_weight, ids, tf, labels, weights, k)
 
 
