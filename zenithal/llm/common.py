@@ -44,12 +44,14 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where none is named."""
+    """The folder that driver and executors share; an own one only where none is named and all runs on this machine."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
         have = sc._jsc.sc().getCheckpointDir()
-        folder = have.get() if have.isDefined() else "/tmp/checkpoints/zenithal"
+        if not have.isDefined() and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        folder = have.get() if have.isDefined() else f"{tempfile.gettempdir()}/checkpoints"
         if not have.isDefined():
             sc.setCheckpointDir(folder)
     return folder
@@ -58,7 +60,7 @@ def shared_folder(spark: SparkSession) -> str:
 class Kept:
     """A table written to the shared folder: cuts lineage and survives lost executors."""
 
-    def __init__(self, df: DataFrame, what: str):
+    def __init__(self, df: DataFrame, what: str, by: list[str] | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
         # shuffle files go when the table stands: nothing reads them again
@@ -66,7 +68,7 @@ class Kept:
         before = conf.get(clean, "false")
         conf.set(clean, "true")
         try:
-            df.write.option("compression", "zstd").parquet(self.path)
+            (df.write.partitionBy(*by) if by else df.write).option("compression", "zstd").parquet(self.path)
         finally:
             conf.set(clean, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -83,6 +85,14 @@ class Kept:
             pass
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A name like this one that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -180,11 +190,22 @@ _ROLL = _U64(0xD1342543DE82EF95)
 _UNROLL = _U64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 
 
+_ROLLS: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def _rolls(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd number, and of its inverse."""
+    global _ROLLS
+    if _ROLLS is None or len(_ROLLS[0]) < n:
+        _ROLLS = tuple(np.multiply.accumulate(np.append(np.ones(1, _U64), np.full(max(n, 1 << 16), x))) for x in (_ROLL, _UNROLL))
+    return _ROLLS
+
+
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of every run of n words by prefix sums; for long windows."""
     if len(words) < n:
         return np.zeros(0, _U64)
-    power, back = (np.multiply.accumulate(np.concatenate([np.ones(1, _U64), np.full(len(words) - 1, x)])) for x in (_ROLL, _UNROLL))
+    power, back = (x[: len(words)] for x in _rolls(len(words)))
     sums = np.zeros(len(words) + 1, _U64)
     np.cumsum(words * power, out=sums[1:])
     # each window's sum, brought back to the exponent 0

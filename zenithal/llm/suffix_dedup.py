@@ -3,26 +3,31 @@
 A suffix begins at a word. Of all suffixes only those are kept that begin at a
 minimiser: the smallest hash of K words among the starts of some window, which the
 content alone selects, so that each passage of `length` words holds one, at the same
-place wherever it stands (K = length - window + 1). The kept suffixes are sorted by
-the hash of their first K words, and neighbours compared: where different documents
-lie next to each other, a match may extend. Around these places alone the match is
-extended left and right: every run of `length` words whose minimiser it is takes part
-in a second sort, whose neighbours are equal runs. A word is repeated when it lies in
-a run of `length` words that another document has too; runs that touch join to spans.
-
-First K words that are frequent within a task are known to be repeated and need no
-sort (their list is bounded and only spares work). No other group is gathered: sorted
-runs stream.
+place wherever it stands (K = length - window + 1). A first sort of the kept suffixes by
+the hash of their first K words tells which stand in different documents. Those are then
+sorted as text, by the words after the first K, and neighbours compared word by word; a
+second sort by the words before them, from the nearest to the farthest, does the same on
+the left. So each match is extended left and right: the runs of `length` words around two
+suffixes are equal where their common words on both sides reach far enough, and the
+document with the smallest id leads such runs. A word is repeated when it lies in a run
+of `length` words that another document has too; runs that touch join to spans.
+
+Suffixes whose first K words are frequent within some task (a bounded list), and sorted
+runs of more than RUN suffixes, are not compared in one place. Their runs of words go by hash
+through a minimum that is taken within each task first, and get their leader by a join
+whose skewed keys Spark splits. So no key is one task's work however many documents share it.
 
 Nulls and edges: null and empty texts, and texts of fewer words than `length`, have no
 repeats; repeats inside one document alone don't count; the first document is the one
-with the smallest id; a null id takes no part; ids are taken as unique.
+with the smallest id; a null id takes no part; rows that share an id count as one
+document, whose spans are those of all its rows; words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +35,10 @@ from .common import Kept, flat, mix, shared_keys, small_batches, window_hashes,
 
 #: First words that are known to be repeated without a sort; a bound on what is broadcast.
 HEAVY = 1 << 16
-
+#: Suffixes that are compared in one place; those of longer runs go by hash.
+RUN = 1 << 15
+#: Suffixes that are compared at once.
+TOGETHER = 1 << 12
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
     """Place of the leftmost smallest value of each window of w values."""
@@ -49,28 +57,47 @@ class Runs:
     def __init__(self, col: pa.Array, length: int, window: int):
         data, offsets = flat(col)
         starts, ends, first = word_bounds(data, offsets)
-        self.words, self.length = word_hashes(data, starts, ends), length
+        self.words, self.length, self.window, self.first = word_hashes(data, starts, ends), length, window, first
         count = np.maximum(np.diff(first) - length + 1, 0)
         self.doc = np.repeat(np.arange(len(count)), count)
         self.start = np.arange(len(self.doc)) - np.repeat(np.cumsum(count) - count, count)  # word of the text
         self.flat_start = self.start + first[:-1][self.doc]
+        self.at = self.head = np.zeros(0, np.int64)
         if len(self.doc):
             heads = window_hashes(self.words, length - window + 1)
-            self.head = heads[_least(mix(heads), window)[self.flat_start]]
-        else:
-            self.head = np.zeros(0, np.uint64)
+            self.at = _least(mix(heads), window)[self.flat_start]
+            self.head = heads[self.at]
+        # windows with one minimiser lie side by side
+        self.new = np.ones(len(self.doc), bool)
+        self.new[1:] = (self.at[1:] != self.at[:-1]) | (self.doc[1:] != self.doc[:-1])
 
     def heads(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, head)."""
-        new = np.ones(len(self.doc), bool)
-        new[1:] = (self.head[1:] != self.head[:-1]) | (self.doc[1:] != self.doc[:-1])
-        doc, head = self.doc[new], self.head[new]
+        doc, head = self.doc[self.new], self.head[self.new]
         order = np.lexsort((head, doc))
         doc, head = doc[order], head[order]
         new = np.ones(len(doc), bool)
         new[1:] = (head[1:] != head[:-1]) | (doc[1:] != doc[:-1])
         return doc[new], head[new]
 
+    def suffixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, head, flat place, lo, hi) of the kept suffixes: runs that begin lo to hi words before one have it as their minimiser."""
+        begin = np.flatnonzero(self.new)
+        last = np.append(begin[1:], len(self.new)) - 1 if len(begin) else begin
+        at = self.at[begin]
+        return self.doc[begin], self.head[begin], at, at - self.flat_start[last], at - self.flat_start[begin]
+
+    def sides(self, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """The words after the first K, and those before the suffix from the nearest on, as far as its runs reach; big-endian, so that bytes sort as words do."""
+        k, most = self.length - self.window + 1, self.window - 1
+        out = []
+        for begin, size, step in ((at + k, most - lo, 1), (at - 1, hi, -1)):
+            cuts = np.concatenate([[0], np.cumsum(size)])
+            inner = np.arange(cuts[-1]) - np.repeat(cuts[:-1], size)
+            words = self.words[np.repeat(begin, size) + step * inner].astype(">u8")
+            out.append(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((8 * cuts).astype(np.int32)), pa.py_buffer(words.tobytes())]))
+        return tuple(out)
+
 
 def _heads(texts: DataFrame, length: int, window: int) -> Kept:
     """(key, doc_id) of the sparse suffixes; and (key, null, docs) of keys frequent within a task."""
@@ -96,24 +123,179 @@ def _heads(texts: DataFrame, length: int, window: int) -> Kept:
     return Kept(texts.mapInArrow(run, "key long, doc_id long, docs long"), "heads")
 
 
-def _windows(texts: DataFrame, length: int, window: int) -> DataFrame:
-    """(key, doc_id, start) of the runs of texts (doc_id, text, keys) whose heads are among the keys."""
+_MATCH = "key long, doc_id long, start int, stop int, after binary, before binary"
+
+
+def _matches(texts: DataFrame, length: int, window: int, known: np.ndarray) -> Kept:
+    """The suffixes of texts (doc_id, text, keys) whose heads are among the keys: (head, doc_id, first and last start of their runs, words on both sides).
+
+    Those with known heads come as runs: (hash of the run, doc_id, start, start, null, null).
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
+        frequent = shared.value
         for batch in batches:
             runs = Runs(batch.column(1), length, window)
+            doc, head, at, lo, hi = runs.suffixes()
+            hot = _among(head, frequent)
             keys = batch.column(2)
             own = np.repeat(np.arange(len(batch)), keys.value_lengths().fill_null(0).to_numpy())
             wanted = keys.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             # pairs (text, key) as one sorted array of hashes
             pairs = np.sort(mix(wanted ^ mix(own.astype(np.uint64))))
-            mine = mix(runs.head ^ mix(runs.doc.astype(np.uint64)))
-            at = np.minimum(np.searchsorted(pairs, mine), max(len(pairs) - 1, 0))
-            hit = np.flatnonzero(pairs[at] == mine) if len(pairs) else np.zeros(0, np.int64)
-            key = window_hashes(runs.words, length)[runs.flat_start[hit]] if len(hit) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(runs.doc[hit])), pa.array(runs.start[hit].astype(np.int32))], ["key", "doc_id", "start"])
+            some = np.flatnonzero(~hot & _among(mix(head ^ mix(doc.astype(np.uint64))), pairs))
+            base = at - runs.first[:-1][doc]  # the suffix's word of its text
+            ids = batch.column(0)
+            after, before = runs.sides(at[some], lo[some], hi[some])
+            yield pa.RecordBatch.from_arrays([pa.array(head[some].view(np.int64)), ids.take(pa.array(doc[some])), *(pa.array((base - x)[some].astype(np.int32)) for x in (hi, lo)), after, before], ["key", "doc_id", "start", "stop", "after", "before"])
+            each = np.flatnonzero(np.repeat(hot, np.diff(np.append(np.flatnonzero(runs.new), len(runs.new)))))
+            if len(each):
+                whole, start = window_hashes(runs.words, length)[runs.flat_start[each]], pa.array(runs.start[each].astype(np.int32))
+                none = pa.nulls(len(each), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), ids.take(pa.array(runs.doc[each])), start, start, none, none], ["key", "doc_id", "start", "stop", "after", "before"])
+
+    return Kept(texts.mapInArrow(run, _MATCH), "matches")
+
+
+def _among(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(of):
+        return np.zeros(len(x), bool)
+    return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
+
+
+def _padded(col: pa.Array, width: int) -> np.ndarray:
+    """Words of a binary column (rows x width), zeros behind the shorter ones."""
+    size = pc.binary_length(col).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+    out = np.zeros((len(col), width), np.uint64)
+    words = np.frombuffer(b"".join(col.to_pylist()), ">u8")
+    place = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(np.arange(len(col)), size), place] = words
+    return out
+
 
-    return texts.mapInArrow(run, "key long, doc_id long, start int")
+def _common(words: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """How many words each row has in common with the one before it; -1 where a new run begins."""
+    out = np.full(len(words), -1)
+    out[1:] = np.cumprod(words[1:] == words[:-1], axis=1).sum(1)
+    out[new] = -1
+    return out
+
+
+def compare(key: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, after: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes x places) the smallest document, and whether there are others, of the run that begins so many words before each suffix.
+
+    The suffixes are whole runs of one key, sorted by it and by the words after.
+    """
+    n, most = after.shape
+    new = np.append(True, key[1:] != key[:-1])
+    run, right = np.cumsum(new), _common(after, new)
+    order = np.lexsort((before.astype(">u8").view(f"S{8 * most}").ravel(), run))
+    left = _common(before[order], new)
+    leader, several = np.zeros((n, most + 1), np.int64), np.zeros((n, most + 1), bool)
+    group = np.empty(n, np.int64)
+    for o in range(most + 1):  # o words in common on the left, and the others on the right
+        rows = np.flatnonzero((lo <= o) & (o <= hi))
+        if not len(rows):
+            continue
+        group[order] = np.cumsum(left < o)
+        both = np.cumsum(right < most - o)[rows] * (n + 1) + group[rows]
+        by = np.lexsort((doc[rows], both))
+        d, first = doc[rows][by], np.flatnonzero(np.append(True, np.diff(both[by]) != 0))
+        size = np.diff(np.append(first, len(d)))
+        leader[rows[by], o] = np.repeat(d[first], size)
+        several[rows[by], o] = np.repeat(d[first] != d[first + size - 1], size)
+    return leader, several
+
+
+_FOUND = "hash long, doc_id long, start int, stop int, leader long"
+
+
+def _found(doc, start, stop, leader, hashes=None) -> pa.RecordBatch:
+    n = len(doc)
+    none = pa.nulls(n, pa.int64())
+    columns = [none if hashes is None else pa.array(hashes.view(np.int64)), pa.array(doc), *(pa.array(x.astype(np.int32)) for x in (start, stop)), none if leader is None else pa.array(leader)]
+    return pa.RecordBatch.from_arrays(columns, ["hash", "doc_id", "start", "stop", "leader"])
+
+
+def _compared(matches: DataFrame, window: int, parts: int, longest: int) -> Kept:
+    """(null, doc_id, start, stop, leader) of the runs that different documents have; of sorted runs that are too long, (hash, doc_id, start, start, null) of each run of words."""
+    most = window - 1
+
+    def resolve(t: pa.Table) -> pa.RecordBatch:
+        key, doc, start, stop = (t.column(k).to_numpy().astype(np.int64) for k in range(4))
+        after, before = (_padded(t.column(k).combine_chunks(), most) for k in (4, 5))
+        suffix = stop + _lo(t)
+        leader, several = compare(key, doc, suffix - stop, suffix - start, after, before)
+        # by rising start: the runs of a suffix that follow each other with one leader are one row
+        leader, several = leader[:, ::-1], several[:, ::-1]
+        row, place = np.nonzero(several)
+        by, at = leader[row, place], suffix[row] - most + place
+        begins = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(at) != 1) | (np.diff(by) != 0))) if len(row) else row
+        ends = np.append(begins[1:], len(row)) - 1 if len(row) else row
+        return _found(doc[row[begins]], at[begins], at[ends], by[begins])
+
+    def by_hash(t: pa.Table) -> pa.RecordBatch:
+        key, doc, start, stop = (t.column(k).to_numpy().astype(np.int64) for k in range(4))
+        suffix = stop + _lo(t)
+        sums = []
+        for k in (4, 5):  # hashes of the first words on each side, by their number
+            words, h = _padded(t.column(k).combine_chunks(), most), np.zeros((len(key), most + 1), np.uint64)
+            for j in range(most):
+                h[:, j + 1] = mix(h[:, j] * np.uint64(3) + words[:, j])
+            sums.append(h)
+        size = stop - start + 1
+        row = np.repeat(np.arange(len(key)), size)
+        at = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        o = suffix[row] - at
+        h = mix(mix(key.view(np.uint64)[row] ^ sums[0][row, most - o]) + sums[1][row, o] * np.uint64(3) + o.astype(np.uint64))
+        return _found(doc[row], at, at, None, h)
+
+    def _lo(t: pa.Table) -> np.ndarray:
+        """Words from the last run's start to the suffix: what the words after it leave of the most."""
+        return most - pc.binary_length(t.column(4).combine_chunks()).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+
+    def run(batches):
+        held, size, long = [], 0, None  # rows of whole runs and of an open one; the key of an open run that is too long
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = batch.column(0).to_numpy()
+            if long is not None:
+                more = int(np.searchsorted(key != long, True))
+                if more:
+                    yield by_hash(pa.Table.from_batches([batch.slice(0, more)]))
+                    batch, key = batch.slice(more), key[more:]
+                if not len(batch):
+                    continue
+                long = None
+            held.append(batch)
+            size += len(batch)
+            if size < min(TOGETHER, longest):
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = t.column(0).to_numpy()
+            open_at = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+            if open_at:
+                yield resolve(t.slice(0, open_at))
+                t = t.slice(open_at)
+            if len(t) > longest:
+                long = key[-1]
+                yield by_hash(t)
+                t = t.slice(len(t))
+            held, size = t.to_batches(), len(t)
+        if size:
+            yield resolve(pa.Table.from_batches(held).combine_chunks())
+
+    rows = matches.where("after is not null").repartition(parts, "key").sortWithinPartitions("key", "after")
+    return Kept(rows.mapInArrow(run, _FOUND), "compared")
+
+
+def _led(runs: DataFrame) -> tuple[DataFrame, Kept]:
+    """(doc_id, start, stop, leader) of runs (hash, doc_id, start) that different documents have; and the table of leaders."""
+    leaders = Kept(runs.groupBy("hash").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("hash", "leader"), "leaders")
+    return runs.join(leaders.df, "hash").select("doc_id", "start", F.col("start").alias("stop"), "leader"), leaders
 
 
 def _join(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,9 +307,14 @@ def _join(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spans(rows: DataFrame, length: int, parts: int) -> DataFrame:
-    """Spans of each document from its repeated runs (doc_id, start, leader)."""
-
-    def of(doc, start, leader):
+    """Spans of each document from its repeated runs, those that begin at start to stop (doc_id, start, stop, leader)."""
+
+    def of(doc, start, stop, leader):
+        size = stop - start + 1
+        start = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        leader = np.repeat(leader, size)
+        order = np.argsort(start, kind="stable")
+        start, leader = start[order], leader[order]
         a, b = _join(start, length)
         later = start[leader != doc]
         ca, cb = _join(later, length) if len(later) else (later, later)
@@ -147,14 +334,14 @@ def _spans(rows: DataFrame, length: int, parts: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            doc, start, leader = (batch.column(k).to_numpy() for k in range(3))
+            doc, start, stop, leader = (batch.column(k).to_numpy().astype(np.int64) for k in range(4))
             cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
             out = []
             for x, y in zip(cuts, np.append(cuts[1:], len(doc)), strict=True):
                 if doc[x] != open_doc:
                     out += close()
                     open_doc, held = int(doc[x]), []
-                held.append((start[x:y].astype(np.int64), leader[x:y]))
+                held.append((start[x:y], stop[x:y], leader[x:y]))
             yield _rows(out)
         yield _rows(list(close()))
 
@@ -163,29 +350,35 @@ def _spans(rows: DataFrame, length: int, parts: int) -> DataFrame:
         ints = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, ints if k > 3 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "start", "end", "first_doc", "cut_starts", "cut_ends"])
 
-    return rows.select("doc_id", "start", "leader").repartition(parts, "doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(run, "doc_id long, start long, end long, first_doc long, cut_starts array<long>, cut_ends array<long>")
+    return rows.select("doc_id", "start", "stop", "leader").repartition(parts, "doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(run, "doc_id long, start long, end long, first_doc long, cut_starts array<long>, cut_ends array<long>")
 
 
-def repeats(docs: DataFrame, length: int = 50, window: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, length: int = 50, window: int = 25, id_col: str = "doc_id", text_col: str = "text", longest: int = RUN) -> DataFrame:
     """Spans of words that repeat across documents: doc_id, start, end (words), first_doc, cut_starts, cut_ends.
 
     first_doc is the smallest id among the documents that share some run of the span;
     the cuts are the parts of the span that a document of a smaller id has too.
+    window: from 2 to length words; longest: suffixes of a sorted run that are compared in one place.
     """
     spark = docs.sparkSession
     small_batches(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     heads = _heads(texts, length, window)
-    known = heads.df.where("doc_id is null").groupBy("key").agg(F.sum("docs").alias("n")).orderBy(F.desc("n"), "key").limit(HEAVY).select("key")
-    known = F.broadcast(spark.createDataFrame(known.collect(), "key long"))
+    frequent = heads.df.where("doc_id is null").groupBy("key").agg(F.sum("docs").alias("n")).orderBy(F.desc("n"), "key").limit(HEAVY).select("key").collect()
+    known = F.broadcast(spark.createDataFrame(frequent, "key long"))
     rows = heads.df.where("doc_id is not null").select("key", "doc_id")
-    some = shared_keys(rows.join(known, "key", "left_anti"), parts).select("doc_id", "key").union(rows.join(known, "key", "left_semi").select("doc_id", "key"))
+    some = shared_keys(rows.join(known, "key", "left_anti"), parts).select("doc_id", "key").union(rows.join(known, "key", "left_semi").select("doc_id", F.lit(None).cast("long")))
     wanted = some.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
     around = texts.join(wanted, "doc_id").select("doc_id", "text", "keys")
-    equal = shared_keys(_windows(around, length, window), parts)
-    out = Kept(_spans(equal, length, parts), "repeats")
+    matches = _matches(around, length, window, np.sort(np.array([r.key for r in frequent], np.int64).view(np.uint64)))
     heads.drop()
+    compared = _compared(matches.df, window, parts, longest)
+    hashed = matches.df.where("after is null").select(F.col("key").alias("hash"), "doc_id", "start").union(compared.df.where("leader is null").select("hash", "doc_id", "start"))
+    led, leaders = _led(hashed)
+    out = Kept(_spans(compared.df.where("leader is not null").select("doc_id", "start", "stop", "leader").union(led), length, parts), "repeats")
+    for x in (matches, compared, leaders):
+        x.drop()
     return out.df
 
 
@@ -194,9 +387,10 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
 
     The columns stay, and n_chars, if there, is made anew.
     """
-    cuts = spans.where("size(cut_starts) > 0").groupBy("doc_id").agg(F.flatten(F.collect_list("cut_starts")).alias("_from"), F.flatten(F.collect_list("cut_ends")).alias("_to")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(cuts, docs[id_col].cast("long") == cuts["_id"], "left").select(*docs.columns, "_from", "_to")
+    cuts = spans.where("size(cut_starts) > 0").groupBy("doc_id").agg(F.flatten(F.collect_list("cut_starts")).alias("a"), F.flatten(F.collect_list("cut_ends")).alias("b"))
     at = docs.columns.index(text_col)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # apart from the names of the documents' columns
+    joined = whole.join(cuts, F.col("row").getField(id_col).cast("long") == F.col("doc_id"), "left").select(*[F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], "a", "b")
 
     def run(batches):
         for batch in batches:
