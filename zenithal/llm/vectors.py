@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import Kept, ship
 
 #: Queries that one pass over the vectors answers; bounds what is broadcast.
 QUERIES_A_PASS = 16384
@@ -48,14 +48,38 @@ def matrix(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def passes(queries: DataFrame) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """The queries in blocks of about QUERIES_A_PASS, dealt by a hash; each comes to the driver by itself."""
-    n = queries.count()
-    k = -(-n // QUERIES_A_PASS)
-    for i in range(k):
-        part = queries.where(F.pmod(F.xxhash64("id", "v"), F.lit(k)) == i) if k > 1 else queries
-        rows = sorted(part.collect(), key=lambda r: r.id)
-        yield np.array([r.id for r in rows], np.int64), [np.array(r.v, np.float64) for r in rows]
+def by_hash(queries: DataFrame) -> tuple[DataFrame, list]:
+    """The queries, and conditions that deal them to blocks."""
+    blocks = -(-queries.count() // QUERIES_A_PASS)
+    return queries, [F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == i for i in range(blocks)]
+
+
+def passes(queries: DataFrame, answer: Callable, k: int, kind: str, deal: Callable = by_hash) -> DataFrame:
+    """The k best rows of each query: answer(ids, rows) gives those of a block of about QUERIES_A_PASS queries, and the broadcasts behind them.
+
+    Only one block at a time is at the driver: where there are several, the answer to each is written before the next one comes.
+    """
+    spark = queries.sparkSession
+
+    def block(part: DataFrame):
+        rows = sorted(part.select("id", "v").collect(), key=lambda r: r.id)
+        if not rows:
+            return None, []
+        found, held = answer(np.array([r.id for r in rows], np.int64), [np.array(r.v, np.float64) for r in rows])
+        return best(found, k), held
+
+    if queries.count() <= QUERIES_A_PASS:
+        found, _ = block(queries)
+        return spark.createDataFrame([], f"query_id long, rank int, vec_id long, score {kind}") if found is None else found
+    queries, conditions = deal(queries)
+    kept = []
+    for condition in conditions:
+        found, held = block(queries.where(condition))
+        if found is not None:
+            kept.append(Kept(found, "nearest"))
+        for b in held:
+            b.destroy()
+    return spark.read.schema(kept[0].df.schema).parquet(*[x.path for x in kept])
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -70,24 +94,21 @@ class Best:
     def __init__(self, queries: int, k: int, kind: type):
         self.k, self.kind = k, kind
         self.score = np.full((queries, k), -np.inf if kind is float else np.iinfo(np.int64).min, kind)
-        self.vec, self.row = np.full((queries, k), _NO_ID, np.int64), np.zeros((queries, k), np.int64)
+        self.vec, self.row, self.ok = np.zeros((queries, k), np.int64), np.zeros((queries, k), np.int64), np.zeros((queries, k), bool)
 
-    def add(self, at: np.ndarray, score: np.ndarray, vec: np.ndarray, row: np.ndarray | None = None) -> None:
-        """Candidates (queries at x any number); those with NO_ID count as none; row tells rows of one id apart."""
+    def add(self, at: np.ndarray, score: np.ndarray, vec: np.ndarray, ok: np.ndarray | None = None, row: np.ndarray | None = None) -> None:
+        """Candidates (queries at x any number), of which those that are ok count; row tells rows of one id apart."""
+        ok = np.ones(vec.shape, bool) if ok is None else ok
         row = np.zeros_like(vec) if row is None else row
-        score, vec, row = (np.concatenate([a[at], b], axis=1) for a, b in ((self.score, score), (self.vec, vec), (self.row, row)))
-        order = np.lexsort((row, vec, -score if self.kind is float else ~score, vec == _NO_ID), axis=1)[:, : self.k]
-        self.score[at], self.vec[at], self.row[at] = (np.take_along_axis(a, order, 1) for a in (score, vec, row))
+        score, vec, row, ok = (np.concatenate([a[at], b], axis=1) for a, b in ((self.score, score), (self.vec, vec), (self.row, row), (self.ok, ok)))
+        order = np.lexsort((row, vec, -score if self.kind is float else ~score, ~ok), axis=1)[:, : self.k]
+        self.score[at], self.vec[at], self.row[at], self.ok[at] = (np.take_along_axis(a, order, 1) for a in (score, vec, row, ok))
 
     def rows(self, ids: np.ndarray) -> pa.RecordBatch:
-        q, j = np.nonzero(self.vec != _NO_ID)
+        q, j = np.nonzero(self.ok)
         return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(q.astype(np.int32)), pa.array(self.vec[q, j]), pa.array(self.score[q, j])], ["query_id", "query_at", "vec_id", "score"])
 
 
-#: Stands for no row among candidates.
-_NO_ID = NO_ID = np.iinfo(np.int64).max
-
-
 def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k best of each row (fewer columns: all), ties to the smaller id; ids ascend."""
     if scores.shape[1] <= k:
