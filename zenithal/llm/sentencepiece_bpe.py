@@ -11,6 +11,10 @@ left. Characters without a piece become their UTF-8 bytes' pieces. Where a merge
 creates a pair that is at least as good, only the occurrences up to it merge in
 that round, so the result is that of merging one pair at a time.
 
+A long word takes many rounds. It is cut wherever two characters stand side by side that do so
+in no piece, as no merge crosses such a place; what is still longer than LONG characters
+merges by a queue of its pairs, one at a time, which takes n log n steps.
+
 Decoding gathers the pieces' bytes: the space mark gives a space, and one space is
 taken from the front, as the model's dummy prefix put one there. Bytes that are no
 valid UTF-8 give U+FFFD each.
@@ -22,6 +26,7 @@ surrogates cannot occur in Spark strings; repeated rows are encoded each.
 from __future__ import annotations
 
 import hashlib
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +40,8 @@ MARK = "▁"
 REMEMBERED = 500_000
 #: Characters of words that merge together.
 FLAT_CHARS = 1 << 20
+#: Characters of a word without a safe cut from which a queue merges it.
+LONG = 4096
 _NONE = np.int64(1 << 40)
 _MODELS: dict[str, MergeModel] = {}
 
@@ -92,6 +99,9 @@ class MergeModel:
         self.keys = np.array(keys, np.int64)[order]
         self.rank = np.array([x[0] for x in out], np.int64)[order]
         self.merged = np.array([x[1] for x in out], np.int64)[order]
+        # characters that stand side by side in some piece
+        self.beside = np.unique(np.array([ord(a) << 21 | ord(b) for p in pieces for a, b in zip(p, p[1:], strict=False)], np.int64))
+        self.table: dict[int, tuple[int, int]] | None = None
         self.known: dict[str, bytes] = {}
         # longest piece, for decoding tables
         lens = np.array([len(b) for b in self.bytes_of])
@@ -108,6 +118,68 @@ class MergeModel:
 
     def merge(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as little-endian unsigned 32-bit integers."""
+        if all(len(w) <= LONG for w in words):
+            return self._rounds(words)
+        parts = [self._parts(w) if len(w) > LONG else [w] for w in words]
+        short = iter(self._rounds([p for ps in parts for p in ps if len(p) <= LONG]))
+        return [b"".join(next(short) if len(p) <= LONG else self._queue(p) for p in ps) for ps in parts]
+
+    def _parts(self, word: str) -> list[str]:
+        """The word cut at some of the places that no piece crosses."""
+        points = np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.int64)
+        key = points[:-1] << 21 | points[1:]
+        at = np.minimum(np.searchsorted(self.beside, key), max(len(self.beside) - 1, 0))
+        cuts = np.flatnonzero(self.beside[at] != key) + 1 if len(self.beside) else np.arange(1, len(word))
+        if len(cuts):  # the last place within each stretch of some characters is enough
+            stretch = cuts // 256
+            cuts = cuts[np.append(stretch[1:] != stretch[:-1], True)]
+        edges = [0, *cuts.tolist(), len(word)]
+        return [word[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def _queue(self, word: str) -> bytes:
+        """The ids of one long word: the best pair first, the leftmost of equals."""
+        points = np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.int64)
+        sym, n = self.symbol_of[points].astype(np.int64).tolist(), len(points)
+        rank, into = self._fresh(np.array(sym, np.int64), np.zeros(n, np.int64))
+        queue = [(int(r) << 40) + i for i, r in enumerate(rank.tolist()) if r < _NONE]
+        best, made = rank.tolist(), into.tolist()
+        heapq.heapify(queue)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        alive = bytearray(b"\1" * n)
+
+        def pair(i: int) -> None:
+            """Look up the pair that begins at a symbol."""
+            j = after[i]
+            best[i] = _NONE
+            if j < n and (found := self._pair_of(sym[i], sym[j])) is not None:
+                best[i], made[i] = found
+                heapq.heappush(queue, (best[i] << 40) + i)
+
+        while queue:
+            r, i = divmod(heapq.heappop(queue), 1 << 40)
+            if not alive[i] or best[i] != r:
+                continue  # what this stood for is gone
+            j = after[i]
+            sym[i], alive[j], after[i] = made[i], 0, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            pair(i)
+            if before[i] >= 0:
+                pair(before[i])
+        out = []
+        for i in range(n):
+            if alive[i]:
+                out += [sym[i]] if sym[i] < self.n else [int(self.byte[b]) for b in chr(points[i]).encode()]
+        return np.array(out, "<u4").tobytes()
+
+    def _pair_of(self, left: int, right: int) -> tuple[int, int] | None:
+        """Rank and merged id of one pair."""
+        if self.table is None:
+            self.table = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.merged.tolist(), strict=True), strict=True))
+        return self.table.get(left * self.width + right)
+
+    def _rounds(self, words: list[str]) -> list[bytes]:
+        """The same by merge rounds over all words together."""
         if not words:
             return []
         points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
