@@ -1,23 +1,27 @@
 """Token counts of documents in flat, unindexed token files, by a separator scan.
 
 A token file is a stream of unsigned 16- or 32-bit ids in which each document ends
-with the end-of-document id. Files are held as rows (file, block, payload) of at
-most `block_tokens` ids; blocks cut documents anywhere. Each block is searched for
+with the end-of-document id. `file_blocks` reads such files from a file system, a range of
+bytes for each block; `write_token_files` makes them as rows (file, block, payload) of at
+most `block_tokens` ids. Blocks cut documents anywhere. Each block is searched for
 the separator with one vectorised comparison, and yields its separators, the run
 before its first and the run after its last one. A prefix scan over the blocks of
 each file (a window over counts, not over tokens) gives ordinals and stitches the
 documents that cross blocks. Hot files are no problem: a block is one short row.
 
-Nulls and edges: a null payload counts as empty; a file without a separator holds
+Nulls and edges: a null or empty text is an empty document, and a null id is carried; rows
+that repeat are counted each; an empty table gives no files and no counts; of the documents' other
+columns none is read, whatever its name; a text of any length is cut into blocks. A null payload counts as empty; a file without a separator holds
 one unended document; two separators in a row hold an empty document of length 0;
-ids after the last separator are an unended document (`ended` false).
+ids after the last separator are an unended document (`ended` false); a file whose bytes are no
+whole number of ids is refused.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Kept, small_batches
@@ -67,6 +71,34 @@ def write_token_files(docs: DataFrame, tokenizer: str, eod: int, block_tokens: i
     return kept, order
 
 
+def file_blocks(spark: SparkSession, path: str, id_bytes: int = 2, block_tokens: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """Flat token files under a path: (file, block, payload), each block a range of its file's bytes; and (file, path).
+
+    Spark lists the files and deals out the ranges; each task reads its ranges with Arrow's
+    file systems (local, HDFS, S3, GCS), so that no file is ever held as a whole.
+    """
+    small_batches(spark)
+    size = block_tokens * id_bytes
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    whole = F.when(F.col("length") % id_bytes == 0, F.col("length")).otherwise(F.raise_error(F.concat(F.col("path"), F.lit(f" is no whole number of {id_bytes}-byte ids"))).cast("long"))
+    named = files.select(F.xxhash64("path").alias("file"), "path", whole.alias("length"))
+    last = F.greatest(F.ceil(F.col("length") / size) - 1, F.lit(0))
+    ranges = named.select("file", "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    dealt = ranges.repartition("file", F.floor(F.col("block") / 16)).select("file", "block", "path", (F.col("block") * size).alias("at"), F.least(F.lit(size), F.col("length") - F.col("block") * size).alias("n"))
+
+    def read(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for file, block, name, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, place = fs.FileSystem.from_uri(name)
+                with system.open_input_file(place) as f:
+                    payload = f.read_at(n, at)
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([payload], pa.binary())], ["file", "block", "payload"])
+
+    return dealt.mapInArrow(read, "file long, block long, payload binary"), named.select("file", "path")
+
+
 def count_tokens(blocks: DataFrame, eod: int, id_bytes: int = 2) -> DataFrame:
     """(file, ordinal, n_tokens, ended) of every document in the token files (file, block, payload)."""
 
