@@ -1,9 +1,15 @@
 """The corpus pipeline: stages over the documents table, each one operator's decision carried out.
 
-Language identification rejects texts without a letter or with hardly any likeness to
-a language; of each group of near copies (five-word shingles, Jaccard 0.8) the document
-of the smallest id stays; passages of 50 words or more that an earlier document has are
-cut; personal data gives way to its kind; what is left is packed into sequences.
+Language identification rejects texts without a letter and those whose likeness to
+every language is no more than chance gives; of each group of near copies (five-word shingles,
+Jaccard 0.8) the document of the smallest id stays; passages of 50 words or more that an
+earlier document has are cut; personal data gives way to its kind; what is left is packed
+into sequences.
+
+Nulls and edges: a null or empty text is in no language and goes in the first stage; of rows
+that have both id and text in common one stays, rows that share an id alone are one document
+whose rows stay or go together, and rows without an id are no copies of others; further columns are
+carried, whatever their names; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -12,25 +18,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zenithal.llm import langid, ngram_join, packing, pii, suffix_dedup
-from zenithal.llm.common import Kept
+from zenithal.llm.common import Kept, fresh
 from zenithal.llm.queries import BPE, tokenizer_path
 
-#: Cosine with the nearest language below which a text counts as no language.
-LEAST_LIKENESS = 0.03
+#: Deviations of the cosine of unrelated profiles, which is 1 / sqrt(size), below which a text's likeness counts as chance.
+CHANCE = 3.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in some language; lang stays as it is."""
     model = langid.fit(docs)
-    found = langid.predict(docs, model, names=("_lang_", "_likeness_"))
-    return found.where((F.col("_lang_") != langid.UNDETERMINED) & (F.col("_likeness_") >= LEAST_LIKENESS)).select(*docs.columns)
+    lang, likeness = (fresh(docs.columns, c) for c in ("lang_pred", "likeness"))
+    found = langid.predict(docs, model, names=(lang, likeness))
+    return found.where((F.col(lang) != langid.UNDETERMINED) & (F.col(likeness) >= CHANCE / model.size**0.5)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each component of near copies."""
     found = ngram_join.components(docs, n=5, num=80, den=100)
     later = found.where("component_id <> doc_id").select("doc_id")
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    key = fresh(docs.columns, "id")
+    twice = Kept(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(key)), "twice").df
+    if twice.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col(key))
+    again = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, same, "left_anti").union(again)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
