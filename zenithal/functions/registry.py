@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import AnalysisError
+from ..errors import AnalysisError, UnsupportedQueryError
 from . import photometry, spherical
 
 # MySQL names whose Spark function differs in name only (or not at all).
@@ -40,14 +40,103 @@ _DATE_LETTERS = {
 
 
 def date_pattern(mysql: str) -> str:
-    """Spark's pattern for a MySQL date format."""
+    """Spark's pattern for a MySQL date format, where there is one."""
     out, at = [], 0
     for m in re.finditer("%(.)", mysql):
+        if m[1] in _DATE_PARTS:
+            raise UnsupportedQueryError(f"Invalid or unsupported query: the format %{m[1]} can not be read")
         out += [_quoted(mysql[at : m.start()]), _DATE_LETTERS.get(m[1]) or _quoted(m[1])]
         at = m.end()
     return "".join([*out, _quoted(mysql[at:])])
 
 
+def _week_start(year: Column, monday: bool, four_days: bool) -> Column:
+    """The first day of week 1: of the week that has four days of the year, or that begins in it."""
+    first = F.make_date(year, F.lit(1), F.lit(1))
+    into = F.weekday(first) if monday else F.dayofweek(first) - 1  # days of its week before the first of January
+    back = F.when(into <= 3, into).otherwise(into - 7) if four_days else F.pmod(into, F.lit(7)) - F.when(into > 0, 7).otherwise(0)
+    return F.date_sub(first, back.cast("int"))
+
+
+def _weeks(d: Column, mode: int, whole: bool) -> tuple[Column, Column]:
+    """(year, week) by a mode from 0 to 7; whole: days before week 1 are of the last week of the year before, and those after the last of the next."""
+    d, monday = F.to_date(d), bool(mode & 1)
+    rule = monday, bool(mode & 4) != monday
+    year = F.year(d)
+    start = _week_start(year, *rule)
+    number = F.floor(F.datediff(d, start) / 7).cast("int") + 1
+    if not whole:
+        return year, F.when(d < start, 0).otherwise(number)
+    before, after = _week_start(year - 1, *rule), _week_start(year + 1, *rule)
+    last = F.floor(F.datediff(d, before) / 7).cast("int") + 1
+    return F.when(d < start, year - 1).when(d >= after, year + 1).otherwise(year), F.when(d < start, last).when(d >= after, 1).otherwise(number)
+
+
+def _mode(args: tuple) -> int:
+    if not args:
+        return 0
+    value = getattr(args[0], "_constant", None)
+    if not isinstance(value, int):
+        raise AnalysisError("WEEK and YEARWEEK take a constant mode")
+    return value & 7
+
+
+def _week(d: Column, *mode: Column) -> Column:
+    m = _mode(mode)
+    return _weeks(d, m, bool(m & 2))[1]
+
+
+def _yearweek(d: Column, *mode: Column) -> Column:
+    year, week = _weeks(d, _mode(mode), True)
+    return year * 100 + week
+
+
+def _day_with_suffix(d: Column) -> Column:
+    n = F.dayofmonth(d)
+    end = F.when(n.between(11, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+    return F.concat(n.cast("string"), end)
+
+
+def _two(c: Column) -> Column:
+    return F.lpad(c.cast("string"), 2, "0")
+
+
+#: Parts of a date that no pattern of Spark gives, by MySQL's letter.
+_DATE_PARTS: dict[str, Callable[[Column], Column]] = {
+    "D": _day_with_suffix,
+    "w": lambda d: (F.dayofweek(d) - 1).cast("string"),
+    "U": lambda d: _two(_weeks(d, 0, False)[1]),
+    "u": lambda d: _two(_weeks(d, 1, False)[1]),
+    "V": lambda d: _two(_weeks(d, 2, True)[1]),
+    "v": lambda d: _two(_weeks(d, 3, True)[1]),
+    "X": lambda d: F.lpad(_weeks(d, 2, True)[0].cast("string"), 4, "0"),
+    "x": lambda d: F.lpad(_weeks(d, 3, True)[0].cast("string"), 4, "0"),
+}
+
+
+def date_text(d: Column, format_: Column, name: str) -> Column:
+    """A date as text in a constant MySQL format."""
+    mysql = getattr(format_, "_constant", None)
+    if not isinstance(mysql, str):
+        raise AnalysisError(f"{name} takes a constant format")
+    d, parts, plain = d.cast("timestamp"), [], ""
+    for piece in re.findall("%.|[^%]+|%$", mysql, re.S):
+        if piece[0] == "%" and piece[1:] in _DATE_PARTS:
+            parts += [F.date_format(d, date_pattern(plain))] if plain else []
+            parts.append(_DATE_PARTS[piece[1:]](d))
+            plain = ""
+        else:
+            plain += piece
+    parts += [F.date_format(d, date_pattern(plain))] if plain or not parts else []
+    return F.concat(*parts)
+
+
+def _export_set(b: Column, on: Column, off: Column, sep: Column | None = None, bits: Column | None = None) -> Column:
+    each = F.array(*[F.when(F.shiftrightunsigned(b.cast("long"), k) % 2 == 1, on).otherwise(off) for k in range(64)])
+    n = F.when(bits.between(0, 64), bits).otherwise(64).cast("int") if bits is not None else F.lit(64)
+    return F.when(b.isNotNull(), F.array_join(F.slice(each, F.lit(1), n), sep if sep is not None else ","))
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'" if re.search("[A-Za-z']", text) else text
 
@@ -95,12 +184,6 @@ def _ipv4(s: Column) -> Column:
     return s.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)(\.(?!$)|$)){4}$")
 
 
-def _week0(d: Column) -> Column:
-    """Week from 0, weeks beginning on Sunday."""
-    first = F.dayofweek(F.trunc(F.to_date(d), "year"))
-    return F.floor((F.dayofyear(F.to_date(d)) + first - 2 + F.when(first == 1, 7).otherwise(0)) / 7).cast("int")
-
-
 def _months(p: Column) -> Column:
     return F.floor(p / 100).cast("long") * 12 + p % 100 - 1
 
@@ -121,12 +204,12 @@ BUILT: dict[str, Callable[..., Column]] = {
     "quote": lambda s: F.when(s.isNull(), F.lit("NULL")).otherwise(F.concat(F.lit("'"), F.regexp_replace(s, r"(['\\])", r"\\$1"), F.lit("'"))),
     "strcmp": lambda a, b: F.when(a < b, -1).when(a > b, 1).when(a == b, 0),
     "make_set": lambda b, *s: F.concat_ws(",", *[F.when(F.shiftright(b.cast("long"), k) % 2 == 1, x) for k, x in enumerate(s)]),
-    "export_set": lambda b, on, off, *r: F.concat_ws(r[0] if r else F.lit(","), *[F.when(F.shiftrightunsigned(b.cast("long"), k) % 2 == 1, on).otherwise(off) for k in range(64)]),
+    "export_set": _export_set,
     "convert_tz": lambda t, a, b: F.convert_timezone(a, b, t.cast("timestamp_ntz")),
-    "date_format": lambda d, f: F.date_format(d, _constant("DATE_FORMAT")(f)),
+    "date_format": lambda d, f: date_text(d, f, "DATE_FORMAT"),
     "time_format": lambda d, f: F.date_format(d, _constant("TIME_FORMAT")(f)),
     "str_to_date": lambda s, f: F.try_to_timestamp(s, F.lit(_constant("STR_TO_DATE")(f))),
-    "from_unixtime": lambda s, *f: F.from_unixtime(s, _constant("FROM_UNIXTIME")(f[0])) if f else F.from_unixtime(s),
+    "from_unixtime": lambda s, *f: date_text(F.timestamp_seconds(s), f[0], "FROM_UNIXTIME") if f else F.from_unixtime(s),
     "unix_timestamp": lambda *t: F.unix_timestamp(*t),
     "makedate": lambda y, n: F.when(n > 0, F.date_add(F.make_date(y.cast("int"), F.lit(1), F.lit(1)), (n - 1).cast("int"))),
     "maketime": lambda h, m, s: F.when((m < 60) & (s < 60), _clock(h * 3600 + m * 60 + s)),
@@ -142,8 +225,8 @@ BUILT: dict[str, Callable[..., Column]] = {
     "to_days": _days,
     "from_days": lambda n: F.date_add(F.lit("1970-01-01").cast("date"), (n - 719528).cast("int")),
     "to_seconds": lambda t: _days(t) * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t),
-    "week": lambda d, *m: _week0(d),
-    "yearweek": lambda d, *m: F.when(_week0(d) == 0, F.year(F.trunc(F.to_date(d), "year")) * 100 - 100 + 52).otherwise(F.year(d) * 100 + _week0(d)),
+    "week": _week,
+    "yearweek": _yearweek,
     "timestampadd": lambda u, n, t: F.call_function("timestampadd", u, n, t),
     "inet_aton": lambda s: F.when(_ipv4(s), sum((F.split(s, r"\.")[k].cast("long") * 256 ** (3 - k) for k in range(1, 4)), F.split(s, r"\.")[0].cast("long") * 256**3)),
     "inet_ntoa": lambda n: F.concat_ws(".", *[(F.shiftright(n.cast("long"), 8 * k) % 256).cast("string") for k in (3, 2, 1, 0)]),
@@ -154,6 +237,7 @@ BUILT: dict[str, Callable[..., Column]] = {
 #: Domain functions by the name after any prefix: (builder, least, most arguments).
 DOMAIN: dict[str, tuple[Callable[..., Column], int, int]] = {
     "angsep": (spherical.ang_sep, 4, 4),
+    "spdist": (lambda a, b, c, d, far: (spherical.ang_sep(a, b, c, d) < far).cast("int"), 5, 5),
     "s2ptinbox": (spherical.in_box, 6, 6),
     "s2ptincircle": (spherical.in_circle, 5, 5),
     "s2ptinellipse": (spherical.in_ellipse, 7, 7),
@@ -164,13 +248,13 @@ DOMAIN: dict[str, tuple[Callable[..., Column], int, int]] = {
     "nanojanskytoabmag": (photometry.nanojansky_to_ab_mag, 1, 1),
     "abmagtonanojansky": (photometry.ab_mag_to_nanojansky, 1, 1),
 }
-POLYGON = "s2ptincpoly"
+POLYGON, TO_BINARY = "s2ptincpoly", "s2cpolytobin"
 
 
 def domain_name(name: str) -> str | None:
     """The domain function that a call names, with or without a prefix; case does not matter."""
     low = name.lower()
-    for known in (*DOMAIN, POLYGON):
+    for known in (*DOMAIN, POLYGON, TO_BINARY):
         if low == known or low.endswith("_" + known):
             return known
     return None
@@ -200,6 +284,12 @@ class FunctionRegistry:
 
     @staticmethod
     def _domain(name: str, known: str, args: list[Column], constants: list) -> Column:
+        if known == TO_BINARY:
+            if len(args) < 6 or len(args) % 2:
+                raise AnalysisError(f"Wrong number of arguments for {name}")
+            return spherical.polygon_to_binary(args)
+        if known == POLYGON and len(args) == 3:
+            return spherical.in_binary_polygon(*args)
         if known == POLYGON:
             if len(args) < 8 or len(args) % 2:
                 raise AnalysisError(f"Wrong number of arguments for {name}")

@@ -13,9 +13,10 @@ document with the smallest id leads such runs. A word is repeated when it lies i
 of `length` words that another document has too; runs that touch join to spans.
 
 Suffixes whose first K words are frequent within some task (a bounded list), and sorted
-runs of more than RUN suffixes, are not compared in one place. Their runs of words go by hash
-through a minimum that is taken within each task first, and get their leader by a join
-whose skewed keys Spark splits. So no key is one task's work however many documents share it.
+runs of more than RUN suffixes, are not compared in one place. Of those with all their words
+in common the first and the last document are taken within each task first; the runs of
+words around what is left meet by hash, and the leaders come back by joins whose skewed keys
+Spark splits. So no key is one task's work however many documents share it.
 
 Nulls and edges: null and empty texts, and texts of fewer words than `length`, have no
 repeats; repeats inside one document alone don't count; the first document is the one
@@ -123,39 +124,30 @@ def _heads(texts: DataFrame, length: int, window: int) -> Kept:
     return Kept(texts.mapInArrow(run, "key long, doc_id long, docs long"), "heads")
 
 
-_MATCH = "key long, doc_id long, start int, stop int, after binary, before binary"
+_SUFFIX = "key long, after binary, before binary, doc_id long, start int, stop int"
 
 
 def _matches(texts: DataFrame, length: int, window: int, known: np.ndarray) -> Kept:
-    """The suffixes of texts (doc_id, text, keys) whose heads are among the keys: (head, doc_id, first and last start of their runs, words on both sides).
-
-    Those with known heads come as runs: (hash of the run, doc_id, start, start, null, null).
-    """
+    """The suffixes of texts (doc_id, text, keys) whose heads are known or among the keys: head, words on both sides, doc_id, first and last start of their runs; and whether the head is known."""
     shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        frequent = shared.value
         for batch in batches:
             runs = Runs(batch.column(1), length, window)
             doc, head, at, lo, hi = runs.suffixes()
-            hot = _among(head, frequent)
+            hot = _among(head, shared.value)
             keys = batch.column(2)
             own = np.repeat(np.arange(len(batch)), keys.value_lengths().fill_null(0).to_numpy())
             wanted = keys.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             # pairs (text, key) as one sorted array of hashes
             pairs = np.sort(mix(wanted ^ mix(own.astype(np.uint64))))
-            some = np.flatnonzero(~hot & _among(mix(head ^ mix(doc.astype(np.uint64))), pairs))
+            some = np.flatnonzero(hot | _among(mix(head ^ mix(doc.astype(np.uint64))), pairs))
+            doc, head, at, lo, hi, hot = (x[some] for x in (doc, head, at, lo, hi, hot))
             base = at - runs.first[:-1][doc]  # the suffix's word of its text
-            ids = batch.column(0)
-            after, before = runs.sides(at[some], lo[some], hi[some])
-            yield pa.RecordBatch.from_arrays([pa.array(head[some].view(np.int64)), ids.take(pa.array(doc[some])), *(pa.array((base - x)[some].astype(np.int32)) for x in (hi, lo)), after, before], ["key", "doc_id", "start", "stop", "after", "before"])
-            each = np.flatnonzero(np.repeat(hot, np.diff(np.append(np.flatnonzero(runs.new), len(runs.new)))))
-            if len(each):
-                whole, start = window_hashes(runs.words, length)[runs.flat_start[each]], pa.array(runs.start[each].astype(np.int32))
-                none = pa.nulls(len(each), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), ids.take(pa.array(runs.doc[each])), start, start, none, none], ["key", "doc_id", "start", "stop", "after", "before"])
+            after, before = runs.sides(at, lo, hi)
+            yield pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), after, before, batch.column(0).take(pa.array(doc)), *(pa.array((base - x).astype(np.int32)) for x in (hi, lo)), pa.array(hot)], ["key", "after", "before", "doc_id", "start", "stop", "hot"])
 
-    return Kept(texts.mapInArrow(run, _MATCH), "matches")
+    return Kept(texts.mapInArrow(run, _SUFFIX + ", hot boolean"), "matches")
 
 
 def _among(x: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -209,64 +201,43 @@ def compare(key: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, af
     return leader, several
 
 
-_FOUND = "hash long, doc_id long, start int, stop int, leader long"
+_RUNS = "doc_id long, start int, stop int, leader long"
 
 
-def _found(doc, start, stop, leader, hashes=None) -> pa.RecordBatch:
-    n = len(doc)
-    none = pa.nulls(n, pa.int64())
-    columns = [none if hashes is None else pa.array(hashes.view(np.int64)), pa.array(doc), *(pa.array(x.astype(np.int32)) for x in (start, stop)), none if leader is None else pa.array(leader)]
-    return pa.RecordBatch.from_arrays(columns, ["hash", "doc_id", "start", "stop", "leader"])
+def _intervals(doc: np.ndarray, row: np.ndarray, at: np.ndarray, leader: np.ndarray) -> list[pa.Array]:
+    """(doc_id, start, stop, leader) of runs at some starts, by row and start: those that follow each other with one leader are one."""
+    begins = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(at) != 1) | (np.diff(leader) != 0))) if len(row) else row
+    ends = np.append(begins[1:], len(row)) - 1 if len(row) else row
+    return [pa.array(doc[row[begins]]), *(pa.array(at[x].astype(np.int32)) for x in (begins, ends)), pa.array(leader[begins])]
 
 
-def _compared(matches: DataFrame, window: int, parts: int, longest: int) -> Kept:
-    """(null, doc_id, start, stop, leader) of the runs that different documents have; of sorted runs that are too long, (hash, doc_id, start, start, null) of each run of words."""
+def _compared(suffixes: DataFrame, window: int, parts: int, longest: int) -> Kept:
+    """(doc_id, start, stop, leader) of the runs that different documents have; and the suffixes of sorted runs that are too long, without a leader."""
     most = window - 1
 
     def resolve(t: pa.Table) -> pa.RecordBatch:
-        key, doc, start, stop = (t.column(k).to_numpy().astype(np.int64) for k in range(4))
-        after, before = (_padded(t.column(k).combine_chunks(), most) for k in (4, 5))
-        suffix = stop + _lo(t)
+        after, before = (_padded(t.column(k).combine_chunks(), most) for k in (1, 2))
+        key, doc, start, stop = (t.column(k).to_numpy().astype(np.int64) for k in (0, 3, 4, 5))
+        suffix = stop + most - pc.binary_length(t.column(1).combine_chunks()).to_numpy(zero_copy_only=False).astype(np.int64) // 8
         leader, several = compare(key, doc, suffix - stop, suffix - start, after, before)
-        # by rising start: the runs of a suffix that follow each other with one leader are one row
-        leader, several = leader[:, ::-1], several[:, ::-1]
+        leader, several = leader[:, ::-1], several[:, ::-1]  # by rising start
         row, place = np.nonzero(several)
-        by, at = leader[row, place], suffix[row] - most + place
-        begins = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(at) != 1) | (np.diff(by) != 0))) if len(row) else row
-        ends = np.append(begins[1:], len(row)) - 1 if len(row) else row
-        return _found(doc[row[begins]], at[begins], at[ends], by[begins])
-
-    def by_hash(t: pa.Table) -> pa.RecordBatch:
-        key, doc, start, stop = (t.column(k).to_numpy().astype(np.int64) for k in range(4))
-        suffix = stop + _lo(t)
-        sums = []
-        for k in (4, 5):  # hashes of the first words on each side, by their number
-            words, h = _padded(t.column(k).combine_chunks(), most), np.zeros((len(key), most + 1), np.uint64)
-            for j in range(most):
-                h[:, j + 1] = mix(h[:, j] * np.uint64(3) + words[:, j])
-            sums.append(h)
-        size = stop - start + 1
-        row = np.repeat(np.arange(len(key)), size)
-        at = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        o = suffix[row] - at
-        h = mix(mix(key.view(np.uint64)[row] ^ sums[0][row, most - o]) + sums[1][row, o] * np.uint64(3) + o.astype(np.uint64))
-        return _found(doc[row], at, at, None, h)
+        found = _intervals(doc, row, suffix[row] - most + place, leader[row, place])
+        none = [pa.nulls(len(found[0]), k) for k in (pa.int64(), pa.binary(), pa.binary())]
+        return pa.RecordBatch.from_arrays([*none, *found], ["key", "after", "before", "doc_id", "start", "stop", "leader"])
 
-    def _lo(t: pa.Table) -> np.ndarray:
-        """Words from the last run's start to the suffix: what the words after it leave of the most."""
-        return most - pc.binary_length(t.column(4).combine_chunks()).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+    def left(t: pa.Table):
+        yield from t.append_column("leader", pa.nulls(len(t), pa.int64())).to_batches()
 
     def run(batches):
         held, size, long = [], 0, None  # rows of whole runs and of an open one; the key of an open run that is too long
         for batch in batches:
             if not len(batch):
                 continue
-            key = batch.column(0).to_numpy()
             if long is not None:
-                more = int(np.searchsorted(key != long, True))
-                if more:
-                    yield by_hash(pa.Table.from_batches([batch.slice(0, more)]))
-                    batch, key = batch.slice(more), key[more:]
+                more = int(np.searchsorted(batch.column(0).to_numpy() != long, True))
+                yield from left(pa.Table.from_batches([batch.slice(0, more)]))
+                batch = batch.slice(more)
                 if not len(batch):
                     continue
                 long = None
@@ -282,20 +253,58 @@ def _compared(matches: DataFrame, window: int, parts: int, longest: int) -> Kept
                 t = t.slice(open_at)
             if len(t) > longest:
                 long = key[-1]
-                yield by_hash(t)
+                yield from left(t)
                 t = t.slice(len(t))
             held, size = t.to_batches(), len(t)
         if size:
             yield resolve(pa.Table.from_batches(held).combine_chunks())
 
-    rows = matches.where("after is not null").repartition(parts, "key").sortWithinPartitions("key", "after")
-    return Kept(rows.mapInArrow(run, _FOUND), "compared")
+    rows = suffixes.repartition(parts, "key").sortWithinPartitions("key", "after")
+    return Kept(rows.mapInArrow(run, _SUFFIX + ", leader long"), "compared")
+
 
+def _hashed(suffixes: DataFrame, window: int) -> tuple[DataFrame, list[Kept]]:
+    """(doc_id, start, stop, leader) of the runs that different documents have, for suffixes of any number with one key; and the tables behind them."""
+    most = window - 1
+    around = ["key", "after", "before"]
+    rows = suffixes.withColumn("around", F.xxhash64(*around))
+    alike = rows.groupBy("around", *around).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+
+    def each_run(batches):
+        for batch in batches:
+            sums = []
+            for k in (2, 3):  # hashes of the first words on each side, by their number
+                words, h = _padded(batch.column(k), most), np.zeros((len(batch), most + 1), np.uint64)
+                for j in range(most):
+                    h[:, j + 1] = mix(h[:, j] * np.uint64(3) + words[:, j])
+                sums.append(h)
+            after, before = (pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False).astype(np.int64) // 8 for k in (2, 3))
+            lo = most - after
+            size = before - lo + 1
+            row = np.repeat(np.arange(len(batch)), size)
+            o = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            key = batch.column(1).to_numpy().view(np.uint64)
+            h = mix(mix(key[row] ^ sums[0][row, most - o]) + sums[1][row, o] * np.uint64(3) + o.astype(np.uint64))
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(taken), pa.array(o.astype(np.int32)), *(batch.column(k).take(taken) for k in (4, 5))], ["hash", "around", "place", "low", "high"])
+
+    runs = Kept(alike.mapInArrow(each_run, "hash long, around long, place int, low long, high long"), "runs")
+    leaders = Kept(runs.df.groupBy("hash").agg(F.min("low").alias("leader"), F.max("high").alias("last")).where("leader < last").select("hash", "leader"), "leaders")
+    led = runs.df.join(leaders.df, "hash").groupBy("around").agg(F.collect_list(F.struct("place", "leader")).alias("found"))  # a window's places at most
+    led = Kept(led, "led")
+
+    def back(batches):
+        for batch in batches:
+            found = batch.column(2)
+            row = np.repeat(np.arange(len(batch)), found.value_lengths().to_numpy())
+            place, leader = (found.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            at = batch.column(1).to_numpy()[row] - place
+            order = np.lexsort((at, row))
+            yield pa.RecordBatch.from_arrays(_intervals(batch.column(0).to_numpy(), row[order], at[order], leader[order]), ["doc_id", "start", "stop", "leader"])
 
-def _led(runs: DataFrame) -> tuple[DataFrame, Kept]:
-    """(doc_id, start, stop, leader) of runs (hash, doc_id, start) that different documents have; and the table of leaders."""
-    leaders = Kept(runs.groupBy("hash").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("hash", "leader"), "leaders")
-    return runs.join(leaders.df, "hash").select("doc_id", "start", F.col("start").alias("stop"), "leader"), leaders
+    suffix = F.col("stop") + most - (F.length("after") / 8).cast("int")
+    joined = rows.select("around", "doc_id", suffix.alias("suffix")).join(led.df, "around").select("doc_id", "suffix", "found")
+    return joined.mapInArrow(back, _RUNS), [runs, leaders, led]
 
 
 def _join(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -373,11 +382,11 @@ def repeats(docs: DataFrame, length: int = 50, window: int = 25, id_col: str = "
     around = texts.join(wanted, "doc_id").select("doc_id", "text", "keys")
     matches = _matches(around, length, window, np.sort(np.array([r.key for r in frequent], np.int64).view(np.uint64)))
     heads.drop()
-    compared = _compared(matches.df, window, parts, longest)
-    hashed = matches.df.where("after is null").select(F.col("key").alias("hash"), "doc_id", "start").union(compared.df.where("leader is null").select("hash", "doc_id", "start"))
-    led, leaders = _led(hashed)
-    out = Kept(_spans(compared.df.where("leader is not null").select("doc_id", "start", "stop", "leader").union(led), length, parts), "repeats")
-    for x in (matches, compared, leaders):
+    columns = [c.split()[0] for c in _SUFFIX.split(", ")]
+    compared = _compared(matches.df.where(~F.col("hot")).select(columns), window, parts, longest)
+    hashed, kept = _hashed(matches.df.where("hot").select(columns).union(compared.df.where("leader is null").select(columns)), window)
+    out = Kept(_spans(compared.df.where("leader is not null").select("doc_id", "start", "stop", "leader").union(hashed), length, parts), "repeats")
+    for x in (matches, compared, *kept):
         x.drop()
     return out.df
 
