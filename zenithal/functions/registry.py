@@ -18,10 +18,10 @@ from . import photometry, spherical
 
 # MySQL names whose Spark function differs in name only (or not at all).
 SAME = """
-abs acos asin atan atan2 ceil ceiling conv cos cot crc32 degrees exp floor greatest least log log10 log2 pow power radians sign sin tan
+abs acos asin atan atan2 ceil ceiling conv cos cot crc32 degrees exp floor log log10 log2 pow power radians sign sin tan
 bit_count bin character_length char_length concat concat_ws bit_length elt find_in_set hex instr lcase left locate lower lpad
-ltrim octet_length position reverse right rpad rtrim soundex substring_index ucase unhex upper isnull nullif datediff day dayname
-dayofmonth dayofweek dayofyear hour minute month monthname quarter second weekday weekofyear year md5 sha sha1 sha2 aes_encrypt aes_decrypt
+ltrim octet_length position reverse right rpad rtrim soundex substring_index ucase unhex upper nullif datediff day dayname
+dayofmonth dayofweek dayofyear hour minute month quarter second weekday weekofyear year md5 sha sha1 sha2
 rand uuid pi
 """.split()
 RENAMED = {"from_base64": "unbase64", "to_base64": "base64", "length": "octet_length", "format": "format_number", "ifnull": "coalesce", "adddate": "date_add", "subdate": "date_sub", "date": "to_date", "timestamp": "to_timestamp", "extractvalue": "xpath_string"}
@@ -134,7 +134,7 @@ def date_text(d: Column, format_: Column, name: str) -> Column:
 def _export_set(b: Column, on: Column, off: Column, sep: Column | None = None, bits: Column | None = None) -> Column:
     each = F.array(*[F.when(F.shiftrightunsigned(b.cast("long"), k) % 2 == 1, on).otherwise(off) for k in range(64)])
     n = F.when(bits.between(0, 64), bits).otherwise(64).cast("int") if bits is not None else F.lit(64)
-    return F.when(b.isNotNull(), F.array_join(F.slice(each, F.lit(1), n), sep if sep is not None else ","))
+    return F.when(b.isNotNull(), F.call_function("concat_ws", sep if sep is not None else F.lit(","), F.slice(each, F.lit(1), n)))
 
 
 def _quoted(text: str) -> str:
@@ -192,7 +192,26 @@ def _period(m: Column) -> Column:
     return F.floor(m / 12).cast("long") * 100 + m % 12 + 1
 
 
+def _unless_null(build: Callable[..., Column]) -> Callable[..., Column]:
+    """A function that is null where any argument is."""
+
+    def of(*args: Column) -> Column:
+        whole = args[0].isNotNull()
+        for a in args[1:]:
+            whole &= a.isNotNull()
+        return F.when(whole, build(*args))
+
+    return of
+
+
 BUILT: dict[str, Callable[..., Column]] = {
+    "greatest": _unless_null(F.greatest),
+    "least": _unless_null(F.least),
+    "isnull": lambda x: x.isNull().cast("int"),
+    "dayname": lambda d: F.date_format(d, "EEEE"),
+    "monthname": lambda d: F.date_format(d, "MMMM"),
+    "aes_encrypt": lambda x, key: F.aes_encrypt(x, key, F.lit("ECB"), F.lit("PKCS")),
+    "aes_decrypt": lambda x, key: F.aes_decrypt(x, key, F.lit("ECB"), F.lit("PKCS")),
     "round": lambda x, *d: F.round(x, *d),
     "ln": lambda x: F.when(x > 0, F.log(x)),
     "sqrt": lambda x: F.when(x >= 0, F.sqrt(x)),
@@ -224,7 +243,7 @@ BUILT: dict[str, Callable[..., Column]] = {
     "time": lambda t: _clock(_seconds(t)),
     "to_days": _days,
     "from_days": lambda n: F.date_add(F.lit("1970-01-01").cast("date"), (n - 719528).cast("int")),
-    "to_seconds": lambda t: _days(t) * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t),
+    "to_seconds": lambda t: _days(t).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t),
     "week": _week,
     "yearweek": _yearweek,
     "timestampadd": lambda u, n, t: F.call_function("timestampadd", u, n, t),

@@ -100,6 +100,36 @@ def in_polygon(lon: Column, lat: Column, vertices: list[tuple[float, float]]) ->
     return _flag(test)
 
 
+def polygon_to_binary(coordinates: list[Column]) -> Column:
+    """Vertices, as longitudes and latitudes in turn, as one binary value; null if one is."""
+    c = [x.cast("double") for x in coordinates]
+    whole = F.lit(True)
+    for x in c:
+        whole &= x.isNotNull()
+    return F.when(whole, F.encode(F.concat_ws(" ", *[x.cast("string") for x in c]), "UTF-8"))
+
+
+def in_binary_polygon(lon: Column, lat: Column, polygon: Column) -> Column:
+    """1 inside a convex polygon that `polygon_to_binary` made, which may differ from row to row, else 0."""
+    v = F.transform(F.split(F.decode(polygon, "UTF-8"), " "), lambda x: x.cast("double"))
+    corner = lambda i: F.array(*unit_vector(F.get(v, 2 * i), F.get(v, 2 * i + 1)))
+    corners = F.transform(F.sequence(F.lit(0), (F.size(v) / 2).cast("int") - 1), corner)
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    point = F.array(*unit_vector(lon, lat))
+
+    def inside(c: Column) -> Column:
+        centre = F.aggregate(c, F.array(*[F.lit(0.0)] * 3), lambda s, u: F.zip_with(s, u, lambda a, b: a + b))
+
+        def edge(i: Column) -> Column:
+            a, b = F.get(c, i), F.get(c, (i + 1) % F.size(c))
+            n = F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+            return dot(n, point) * F.signum(dot(n, centre)) >= -1e-15
+
+        return F.forall(F.sequence(F.lit(0), F.size(c) - 1), edge)
+
+    return _flag(lon.isNotNull() & lat.isNotNull() & polygon.isNotNull() & F.transform(F.array(corners), inside)[0])
+
+
 def _vec(lon: float, lat: float) -> tuple[float, float, float]:
     a, d = math.radians(lon), math.radians(lat)
     return math.cos(d) * math.cos(a), math.cos(d) * math.sin(a), math.sin(d)

@@ -9,13 +9,15 @@ keys follow by the same ranks. The list of triangles is bounded by the level of
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spherical as S
 from .chunker import Chunker
 
 _MIX = 0x9E3779B97F4A7C15
+#: Ranges of keys that are ranked apart.
+RANGES = 64
 
 
 def corners(htm: int) -> np.ndarray:
@@ -59,14 +61,44 @@ def sources(targets: list[int], filled: list[int]) -> dict[int, int]:
 
 def key_ranks(director: DataFrame, key: str, lon: str, lat: str, level: int) -> DataFrame:
     """(key, source, rank): a director's keys with their triangle and their rank in it."""
-    at = director.select(F.col(key).alias("key"), S.htm_id(F.col(lon), F.col(lat), level).alias("source"))
-    return at.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("key")) - 1)
+    return _ranked(director.select(F.col(key).alias("key"), S.htm_id(F.col(lon), F.col(lat), level).alias("source")))
 
 
-def duplicate(df: DataFrame, key: str, lon: str, lat: str, ranks: DataFrame, level: int, box: tuple[float, float, float, float]) -> DataFrame:
-    """Rows of a director (or of a child, by its foreign key) copied over a region; key and position are made anew.
+def child_ranks(child: DataFrame, own: str, key: str, ranks: DataFrame) -> DataFrame:
+    """(key, source, rank): a child's own keys with the triangle of their director (by its key) and their rank in it."""
+    of = ranks.select(F.col("key").alias("_key"), "source")
+    return _ranked(child.select(F.col(own).alias("key"), F.col(key).alias("_key")).join(of, "_key").select("key", "source"))
 
-    ranks: `key_ranks` of the director.
+
+def _ranked(at: DataFrame) -> DataFrame:
+    """(key, source) with the key's rank in its source.
+
+    Keys are cut into RANGES ranges of about as many rows; the rank counts the rows of lower
+    ranges, and within a range a window does, so that a dense triangle is the work of many tasks.
+    """
+    cuts = at.where("source IS NOT NULL").agg(F.percentile_approx(F.col("key").cast("double"), [k / RANGES for k in range(1, RANGES)], 10000)).first()[0] or []
+    at = at.where("source IS NOT NULL").withColumn("range", F.size(F.filter(F.lit(np.array(sorted(set(cuts)), float)), lambda c: c < F.col("key"))) if cuts else F.lit(0))
+    counts = at.groupBy("source", "range").agg(F.count("*").alias("n"))
+    lower = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("source", "range", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("source", "range").orderBy("key")) - 1
+    return at.withColumn("rank", within).join(before, ["source", "range"]).select("key", "source", (F.col("before") + F.col("rank")).alias("rank"))
+
+
+def sampled(fraction: float, seed: int, *by: Column) -> Column:
+    """Whether a row belongs to a sample, by a hash of the seed and some columns: the same rows each time."""
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in by])), 1, 8), 16, 10).cast("long")
+    return hashed < int(fraction * (1 << 32))
+
+
+def duplicate(
+    df: DataFrame, key: str, lon: str, lat: str, ranks: DataFrame, level: int, box: tuple[float, float, float, float], own: str | None = None, own_ranks: DataFrame | None = None, fraction: float = 1.0, seed: int = 0
+) -> DataFrame:
+    """Rows of a director (or of a child, by its foreign key) copied over a region; keys and position are made anew.
+
+    ranks: `key_ranks` of the director; own, own_ranks: a child's own key and its `child_ranks`.
+    fraction, seed: keep a sample of the copies, chosen by the director's new key, so that children
+    stay with their directors.
     """
     spark = df.sparkSession
     filled = [r.source for r in ranks.select("source").distinct().collect()]  # at most 8 * 4 ** level
@@ -75,11 +107,16 @@ def duplicate(df: DataFrame, key: str, lon: str, lat: str, ranks: DataFrame, lev
         m = corners(t).T @ np.linalg.inv(corners(s).T)
         rows.append((s, t, [float(x) for x in m.ravel()]))
     moves = spark.createDataFrame(rows, "source long, target long, m array<double>")
-    own = ranks.withColumnRenamed("key", "_key")
-    joined = df.join(own, F.col(key) == F.col("_key")).join(moves, "source")
+    at = ranks.select(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("rank").alias("_rank"))
+    joined = df.join(at, F.col(key) == F.col("_key")).join(moves.select(F.col("source").alias("_source"), F.col("target").alias("_target"), F.col("m").alias("_m")), "_source")
     x, y, z = S.unit_vector(F.col(lon), F.col(lat))
-    p, q, r = (F.col("m")[3 * i] * x + F.col("m")[3 * i + 1] * y + F.col("m")[3 * i + 2] * z for i in range(3))
-    made = {key: (F.shiftleft(F.col("target"), 32) + F.col("rank")), lon: S.lon_of(p, q), lat: S.lat_of(p, q, r)}
+    p, q, r = (F.col("_m")[3 * i] * x + F.col("_m")[3 * i + 1] * y + F.col("_m")[3 * i + 2] * z for i in range(3))
+    made = {key: F.shiftleft(F.col("_target"), 32) + F.col("_rank"), lon: S.lon_of(p, q), lat: S.lat_of(p, q, r)}
+    if fraction < 1:
+        joined = joined.where(sampled(fraction, seed, made[key]))
+    if own is not None:
+        joined = joined.join(own_ranks.select(F.col("key").alias("_own"), F.col("rank").alias("_own_rank")), F.col(own) == F.col("_own"))
+        made[own] = F.shiftleft(F.col("_target"), 32) + F.col("_own_rank")
     return joined.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in df.columns])
 
 

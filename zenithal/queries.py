@@ -8,7 +8,8 @@ degree. Every query has its DuckDB counterpart, which derives the same catalog.
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import math
 import uuid
 from collections.abc import Callable
 
@@ -17,12 +18,15 @@ from pyspark.sql import functions as F
 
 from .catalog import CHILD, DIRECTOR, MATCH, Striping, TableSpec
 from .engine import Engine
+from .errors import EngineError
 from .functions import spherical as S
+from .functions.box import SphericalBox
 from .operators import duplication as D
 from .operators import partitioning as P
 from .operators.chunker import Chunker
 from .operators.near_neighbour import near_join
 from .sources import readers
+from .sources.store import Store
 from .streaming.ingest import stream_into
 
 STRIPING = Striping(18, 3, 2.0, 1)
@@ -37,7 +41,7 @@ def sky(lon_key: str, lon_mul: int, lat_mul: int) -> tuple[str, str]:
 _O, _S, _R = sky("c_custkey", 7919, 104729), sky("o_custkey", 7919, 104729), sky("s_suppkey", 6101, 130363)
 TABLES = {
     "Object": ("customer", f"c_custkey AS objectId, {_O[0]} AS ra, {_O[1]} AS decl, c_name AS name, c_nationkey AS fieldId, c_acctbal AS balance, c_mktsegment AS segment, c_acctbal * 1e-30 AS flux"),
-    "Source": ("orders", f"o_orderkey AS sourceId, o_custkey AS objectId, {_S[0]} AS sra, {_S[1]} AS sdecl, o_totalprice AS price, o_orderstatus AS status, o_orderpriority AS priority"),
+    "Source": ("orders", f"o_orderkey AS sourceId, o_custkey AS objectId, {_S[0]} AS sra, {_S[1]} AS sdecl, o_totalprice AS price, o_orderstatus AS status, o_orderpriority AS priority, o_orderdate AS taken"),
     "Ref": ("supplier", f"s_suppkey AS refId, {_R[0]} AS ra, {_R[1]} AS decl, s_nationkey AS fieldId, s_acctbal AS balance"),
     "Field": ("nation", "n_nationkey AS fieldId, n_name AS fieldName, n_regionkey AS zone"),
 }
@@ -75,10 +79,23 @@ def matches(spark: SparkSession, sf_dir: str, chunker: Chunker | None = None) ->
     return located.select("objectId", "refId", "flags", "chunkId", "subChunkId")
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A folder of its own in the warehouse, which goes when the driver ends."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        try:
+            Store(spark).delete(path)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass
+
+    atexit.register(drop)
+    return path
+
+
 def catalog(spark: SparkSession, sf_dir: str, **options) -> Engine:
     """An engine over the derived tables; nothing is read or written until a query runs."""
-    conf = spark.conf.get("spark.sql.warehouse.dir", tempfile.gettempdir()).rstrip("/")
-    engine = Engine(spark, f"{conf}/sky", "sky", **options)
+    engine = Engine(spark, scratch(spark, "sky"), "sky", **options)
     engine.catalog.create_database("sky", STRIPING)
     for spec in _SPECS:
         load = (lambda: matches(spark, sf_dir)) if spec.name == "RefMatch" else (lambda name=spec.name: derived(spark, sf_dir, name))
@@ -121,7 +138,7 @@ RefMatch AS (
 
 def duck(select: str, *extra: str) -> str:
     tables = ", ".join(f"{n} AS (SELECT {c} FROM {t})" for n, (t, c) in TABLES.items())
-    return f"WITH {', '.join([tables, *extra])} {select}"
+    return f"WITH RECURSIVE {', '.join([tables, *extra])} {select}"
 
 
 # ---------------------------------------------------------------- statements of the dialect
@@ -164,6 +181,37 @@ STATEMENTS: dict[str, tuple] = {
     "bitwise": ("SELECT objectId, objectId & 6 AS a, objectId | 9 AS b, objectId ^ 5 AS c, objectId << 2 AS d, objectId >> 1 AS e FROM Object WHERE objectId & 1 = 1", "SELECT objectId, objectId & 6 AS a, objectId | 9 AS b, xor(objectId, 5) AS c, objectId << 2 AS d, objectId >> 1 AS e FROM Object WHERE (objectId & 1) = 1"),
     "precedence": ("SELECT objectId, 2 ^ 1 + 1 AS a, 1 | 2 + 4 AS b, 6 - 2 * -1 AS c FROM Object WHERE objectId < 3", "SELECT objectId, 4::BIGINT AS a, 7::BIGINT AS b, 8 AS c FROM Object WHERE objectId < 3"),
     "scalar_functions": ("SELECT objectId, UPPER(segment) AS u, LENGTH(name) AS n, CONCAT(name, '-', segment) AS j, LEFT(name, 4) AS l, ABS(balance) AS a, FLOOR(balance) AS f, GREATEST(fieldId, 7) AS g, MD5(name) AS h FROM Object WHERE objectId < 100", "SELECT objectId, UPPER(segment) AS u, strlen(name)::INT AS n, name || '-' || segment AS j, LEFT(name, 4) AS l, ABS(balance) AS a, FLOOR(balance)::BIGINT AS f, GREATEST(fieldId, 7) AS g, MD5(name) AS h FROM Object WHERE objectId < 100"),
+    "functions_math": (
+        "SELECT objectId, CEIL(balance) AS c, FLOOR(balance) AS f, ROUND(SQRT(ABS(balance)), 6) AS r, SQRT(-1 - ABS(balance)) AS none, SIGN(balance) AS s, GREATEST(fieldId, 7) AS g, LEAST(fieldId, 7, NULL) AS l, ROUND(LN(ABS(balance) + 1), 9) AS ln, ROUND(LOG10(objectId), 9) AS lt, ROUND(POWER(objectId, 0.5), 6) AS p, ROUND(DEGREES(RADIANS(ra)), 6) AS d, ROUND(ATAN2(ra, 10), 9) AS a, CONV(objectId, 10, 16) AS x, BIT_COUNT(objectId) AS b FROM Object",
+        "SELECT objectId, ceil(balance)::BIGINT AS c, floor(balance)::BIGINT AS f, round(sqrt(abs(balance)), 6) AS r, CAST(NULL AS DOUBLE) AS none, sign(balance)::DOUBLE AS s, greatest(fieldId, 7) AS g, CAST(NULL AS INT) AS l, round(ln(abs(balance) + 1), 9) AS ln, CASE WHEN objectId > 0 THEN round(log10(objectId), 9) END AS lt, round(pow(objectId, 0.5), 6) AS p, round(degrees(radians(ra)), 6) AS d, round(atan2(ra, 10), 9) AS a, printf('%X', objectId) AS x, bit_count(objectId)::INT AS b FROM Object",
+    ),
+    "functions_string": (
+        "SELECT objectId, LOWER(segment) AS lo, RIGHT(name, 3) AS r, LPAD(segment, 12, '*') AS lp, RPAD(segment, 12, '-') AS rp, REVERSE(name) AS re, LOCATE('#', name) AS lc, INSTR(name, '#') AS i, CONCAT_WS('/', segment, NULL, name) AS cw, SUBSTRING_INDEX(name, '#', 1) AS si, FIELD(segment, 'BUILDING', 'MACHINERY') AS fi, ELT(2, name, segment) AS e, STRCMP(segment, 'FURNITURE') AS sc, HEX(segment) AS h, QUOTE(segment) AS q, FIND_IN_SET(segment, 'AUTOMOBILE,BUILDING') AS fs, EXPORT_SET(5, 'Y', 'N', ',', 4) AS es, MAKE_SET(5, segment, 'b', 'c') AS ms, CHAR_LENGTH(name) AS cl FROM Object",
+        "SELECT objectId, lower(segment) AS lo, right(name, 3) AS r, lpad(segment, 12, '*') AS lp, rpad(segment, 12, '-') AS rp, reverse(name) AS re, instr(name, '#')::INT AS lc, instr(name, '#')::INT AS i, concat_ws('/', segment, NULL, name) AS cw, split_part(name, '#', 1) AS si, CASE segment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS fi, segment AS e, CASE WHEN segment < 'FURNITURE' THEN -1 WHEN segment > 'FURNITURE' THEN 1 ELSE 0 END AS sc, hex(segment) AS h, chr(39) || segment || chr(39) AS q, CASE segment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 0 END AS fs, 'Y,N,Y,N' AS es, segment || ',c' AS ms, length(name)::INT AS cl FROM Object",
+    ),
+    "functions_date": (
+        "SELECT sourceId, YEAR(taken) AS y, MONTH(taken) AS m, DAYOFMONTH(taken) AS d, DAYOFWEEK(taken) AS dw, WEEKDAY(taken) AS wd, DAYOFYEAR(taken) AS dy, QUARTER(taken) AS q, TO_DAYS(taken) AS td, WEEK(taken) AS w0, WEEK(taken, 3) AS w3, WEEK(taken, 5) AS w5, WEEKOFYEAR(taken) AS wy, YEARWEEK(taken, 3) AS yw, DATEDIFF(taken, '1995-01-01') AS dd, MONTHNAME(taken) AS mn, DAYNAME(taken) AS dn, UNIX_TIMESTAMP(taken) AS u, TO_SECONDS(taken) AS ts FROM Source",
+        "SELECT sourceId, year(taken)::INT AS y, month(taken)::INT AS m, day(taken)::INT AS d, dayofweek(taken)::INT + 1 AS dw, isodow(taken)::INT - 1 AS wd, dayofyear(taken)::INT AS dy, quarter(taken)::INT AS q, datediff('day', DATE '1970-01-01', taken::DATE)::INT + 719528 AS td, strftime(taken, '%U')::INT AS w0, weekofyear(taken)::INT AS w3, strftime(taken, '%W')::INT AS w5, weekofyear(taken)::INT AS wy, (isoyear(taken) * 100 + weekofyear(taken))::INT AS yw, datediff('day', DATE '1995-01-01', taken::DATE)::INT AS dd, monthname(taken) AS mn, dayname(taken) AS dn, epoch(taken)::BIGINT AS u, (datediff('day', DATE '1970-01-01', taken::DATE) + 719528) * 86400 + hour(taken) * 3600 + minute(taken) * 60 + second(taken) AS ts FROM Source",
+    ),
+    "functions_date_format": (
+        "SELECT sourceId, DATE_FORMAT(taken, '%Y-%m-%d %H:%i:%s %j %U %w %W %b %a %y %e') AS f, DATE_FORMAT(taken, '%x week %v, 100%%') AS g, STR_TO_DATE(DATE_FORMAT(taken, '%d.%m.%Y'), '%d.%m.%Y') AS day FROM Source",
+        "SELECT sourceId, strftime(taken, '%Y-%m-%d %H:%M:%S %j %U %w %A %b %a %y %-d') AS f, strftime(taken, '%G week %V, 100%%') AS g, date_trunc('day', taken)::TIMESTAMP AS day FROM Source",
+    ),
+    "functions_hash": (
+        "SELECT objectId, MD5(name) AS m, SHA1(name) AS s, SHA2(name, 256) AS t, TO_BASE64(name) AS b FROM Object WHERE FROM_BASE64(TO_BASE64(name)) = name AND MD5(name) < 'c'",
+        "SELECT objectId, md5(name) AS m, sha1(name) AS s, sha256(name) AS t, to_base64(name::BLOB) AS b FROM Object WHERE md5(name) < 'c'",
+    ),
+    "functions_network": (
+        "SELECT objectId, INET_ATON(CONCAT('10.0.', fieldId, '.7')) AS n, INET_NTOA(167772160 + objectId) AS a, IS_IPV4(CONCAT('10.0.', objectId, '.7')) AS v FROM Object",
+        "SELECT objectId, (10 * 16777216 + fieldId * 256 + 7)::BIGINT AS n, '10.' || (objectId // 65536) || '.' || (objectId // 256) % 256 || '.' || objectId % 256 AS a, (objectId < 256)::INT AS v FROM Object",
+    ),
+    "functions_null": (
+        "SELECT objectId, IFNULL(SIGN(fluxToAbMag(flux)), -1) AS bright, NULLIF(fieldId, 3) AS n, ISNULL(fluxToAbMag(flux)) AS i, COALESCE(NULLIF(fieldId, 3), -3) AS c FROM Object",
+        "SELECT objectId, CASE WHEN flux > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS bright, nullif(fieldId, 3) AS n, (NOT flux > 0)::INT AS i, CASE fieldId WHEN 3 THEN -3 ELSE fieldId END AS c FROM Object",
+    ),
+    "separation_test": ("SELECT objectId FROM Object WHERE spDist(ra, decl, 200, -30, 25.0051)", f"SELECT objectId FROM Object WHERE {sep('ra', 'decl', '200', '-30')} < 25.0051"),
+    "polygon_value": ("SELECT objectId FROM Object WHERE s2PtInCPoly(ra, decl, s2CPolyToBin(0.005, 0.003, 90.005, 0.003, 45.005, 85.003)) = 1", None),
+    "join_order": ("SELECT o.objectId, r.refId, f.fieldName FROM Object o, Ref r, Field f WHERE o.fieldId = f.fieldId AND r.fieldId = f.fieldId AND o.balance > 9000.005 AND r.balance > 5000.005", "SELECT o.objectId, r.refId, f.fieldName FROM Object o, Ref r, Field f WHERE o.fieldId = f.fieldId AND r.fieldId = f.fieldId AND o.balance > 9000.005 AND r.balance > 5000.005"),
     "alias": ("SELECT objectId AS id, ra * 2 AS twice, segment seg FROM Object WHERE objectId < 20 ORDER BY id DESC", "SELECT objectId AS id, ra * 2 AS twice, segment AS seg FROM Object WHERE objectId < 20"),
     "count_star": ("SELECT COUNT(*) AS n FROM Source", "SELECT COUNT(*) AS n FROM Source"),
     "sum_min_max_avg": ("SELECT COUNT(price) AS n, ROUND(SUM(price), 2) AS total, MIN(price) AS low, MAX(price) AS high, ROUND(AVG(price), 4) AS mean FROM Source", "SELECT COUNT(price) AS n, ROUND(SUM(price), 2) AS total, MIN(price) AS low, MAX(price) AS high, ROUND(AVG(price), 4) AS mean FROM Source"),
@@ -244,10 +292,47 @@ def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.layout(spark, _CHUNKER)
 
 
+_BOX = (0.0, -10.0, 90.0, 10.0)
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def sub_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the sub-chunks: number, extremes, mean, deviation, quartiles."""
+    out = P.chunk_summary(P.chunk_stats(chunk_with_keys(spark, sf_dir), by_sub_chunk=True))
+    return out.withColumns({c: F.round(c, 9) for c in ("mean", "deviation", "quartile1", "median", "quartile3")})
+
+
+def chunk_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area of each chunk, and its bounds with the overlap around it."""
+    rows = []
+    for c in _CHUNKER.all_chunks:
+        box = SphericalBox(*_CHUNKER.chunk_bounds(c))
+        rows.append((c, round(box.area, 9), *(round(x, 9) for x in box.expand(_CHUNKER.overlap).bounds)))
+    return spark.createDataFrame(rows, "chunkId int, area double, lon_min double, lat_min double, lon_max double, lat_max double")
+
+
 def duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = derived(spark, sf_dir, "Object").select("objectId", "ra", "decl", "segment")
     ranks = D.key_ranks(o, "objectId", "ra", "decl", 3)
-    return D.duplicate(o, "objectId", "ra", "decl", ranks, 3, (0.0, -10.0, 90.0, 10.0))
+    return _rounded(D.duplicate(o, "objectId", "ra", "decl", ranks, 3, _BOX), "ra", "decl")
+
+
+def duplicate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the copies, chosen by a seeded hash of their keys."""
+    o = derived(spark, sf_dir, "Object").select("objectId", "ra", "decl", "segment")
+    ranks = D.key_ranks(o, "objectId", "ra", "decl", 3)
+    return _rounded(D.duplicate(o, "objectId", "ra", "decl", ranks, 3, _BOX, fraction=1 / 3, seed=17), "ra", "decl")
+
+
+def duplicate_child(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children copied with their directors: both keys are made anew."""
+    o, s = derived(spark, sf_dir, "Object"), derived(spark, sf_dir, "Source").select("sourceId", "objectId", "sra", "sdecl", "price")
+    ranks = D.key_ranks(o, "objectId", "ra", "decl", 3)
+    own = D.child_ranks(s, "sourceId", "objectId", ranks)
+    return _rounded(D.duplicate(s, "objectId", "sra", "sdecl", ranks, 3, _BOX, "sourceId", own), "sra", "sdecl")
 
 
 def duplicate_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +342,7 @@ def duplicate_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = derived(spark, sf_dir, "Object")
-    return D.estimate(D.key_ranks(o, "objectId", "ra", "decl", 3), _CHUNKER, 3, (0.0, -10.0, 90.0, 10.0))
+    return D.estimate(D.key_ranks(o, "objectId", "ra", "decl", 3), _CHUNKER, 3, _BOX)
 
 
 def async_result(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,8 +370,7 @@ def show_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine with the director and its child stored by chunk, in a folder of its own."""
-    base = spark.conf.get("spark.sql.warehouse.dir", tempfile.gettempdir()).rstrip("/")
-    engine = Engine(spark, f"{base}/stored-{uuid.uuid4().hex}", "sky")
+    engine = Engine(spark, scratch(spark, "stored"), "sky")
     engine.catalog.create_database("sky", STRIPING)
     for spec in _SPECS[:2]:
         engine.ingest.load("sky", spec, derived(spark, sf_dir, spec.name))
@@ -321,9 +405,46 @@ def transaction_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql("SELECT objectId FROM Object WHERE objectId >= 10000000")
 
 
+def transaction_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second session over the same warehouse aborts a transaction of its own, and leaves one open: the rows that the first committed are there, and no others."""
+    first = stored(spark, sf_dir)
+    meta = f"{first.ingest.warehouse}/_meta"
+    first.catalog.save(meta)
+    second = Engine(spark, first.ingest.warehouse, "sky")
+    second.catalog.open(meta)
+    rows = derived(spark, sf_dir, "Object").where("objectId < 10").withColumn("objectId", F.col("objectId") + 10_000_000)
+    aborted, open_ = second.ingest.begin("sky"), second.ingest.begin("sky")
+    for t in (aborted, open_):
+        second.ingest.append("sky", "Object", rows, t)
+    second.ingest.abort(aborted)
+    return second.sql("SELECT objectId, segment FROM Object")
+
+
+def child_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children far from their directors: the index of directors finds them, and so does a region by their own positions."""
+    engine = stored(spark, sf_dir)
+    far = derived(spark, sf_dir, "Source").withColumn("sra", (F.col("sra") + 50) % 360).withColumn("sdecl", -F.col("sdecl"))
+    engine.ingest.load("sky", TableSpec("Far", CHILD, "objectId", "sra", "sdecl", director="Object"), far)
+    by_key = engine.sql("SELECT 'key' AS by_what, sourceId FROM Far WHERE objectId IN (1, 17, 42, 100)")
+    return by_key.union(engine.sql("SELECT 'region' AS by_what, sourceId FROM Far WHERE areaspec_circle(80, 10, 20.0051)"))
+
+
+def queries_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that ran on the caller's thread are registered with how they ended."""
+    engine = catalog(spark, sf_dir)
+    engine.execute("SELECT segment, COUNT(*) AS n FROM Object GROUP BY segment")
+    engine.limit_bytes = engine.manager.limit_bytes = 100
+    for bad in ("SELECT nope FROM Object", "SELECT objectId, name FROM Object"):
+        try:
+            engine.execute(bad)
+        except EngineError:
+            pass
+    return engine.sql("SELECT ID, TYPE, STATE, ROWS FROM information_schema.queries")
+
+
 def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table by way of tab-separated files."""
-    path = f"{spark.conf.get('spark.sql.warehouse.dir', tempfile.gettempdir()).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = scratch(spark, "csv")
     readers.write_csv(derived(spark, sf_dir, "Field"), path, readers.CsvDialect())
     schema = readers.schema([{"name": "fieldId", "type": "int(11)"}, {"name": "fieldName", "type": "varchar(25)"}, {"name": "zone", "type": "int"}])
     return readers.read_csv(spark, path, schema)
@@ -331,8 +452,7 @@ def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of rows, appended batch by batch."""
-    base = spark.conf.get("spark.sql.warehouse.dir", tempfile.gettempdir()).rstrip("/")
-    engine = Engine(spark, f"{base}/stream-{uuid.uuid4().hex}", "sky")
+    engine = Engine(spark, scratch(spark, "stream"), "sky")
     engine.catalog.create_database("sky", STRIPING)
     engine.ingest.create("sky", _SPECS[0])
     source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/customer.parquet").schema).option("pathGlobFilter", "customer.parquet").parquet(sf_dir)
@@ -340,7 +460,7 @@ def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql("SELECT segment, COUNT(*) AS n FROM Object GROUP BY segment")
 
 
-OPERATORS = {f.__name__: f for f in (ingest_chunked, director_index_lookup, row_counters, transaction_abort, csv_source, streaming_ingest, chunk_locate, overlap_explode, partition_matches, chunk_stats, partition_by_index, htm_id, htm_index, layout, duplicate, duplicate_shift, duplicate_estimate, async_result, processlist, query_history, show_columns)}
+OPERATORS = {f.__name__: f for f in (ingest_chunked, director_index_lookup, row_counters, transaction_abort, csv_source, streaming_ingest, chunk_locate, overlap_explode, partition_matches, chunk_stats, partition_by_index, htm_id, htm_index, layout, duplicate, duplicate_sample, duplicate_child, duplicate_shift, duplicate_estimate, sub_chunk_stats, chunk_boxes, transaction_reopen, child_placement, queries_at_once, async_result, processlist, query_history, show_columns)}
 
 _LOC = _located("Object", "ra", "decl")
 
@@ -367,8 +487,85 @@ def _overlap() -> str:
         ON ss BETWEEN home - 1 AND home + 1 AND decl >= -90 + ss * {c.sub_height!r}::DOUBLE - {c.overlap!r} AND decl <= -90 + (ss + 1) * {c.sub_height!r}::DOUBLE + {c.overlap!r})"""
 
 
+def _mid(a: str, b: str) -> str:
+    """DuckDB SQL of the unit vector halfway between two."""
+    s = [f"({a}[{k}] + {b}[{k}])" for k in (1, 2, 3)]
+    size = f"sqrt({' + '.join(f'{x} * {x}' for x in s)})"
+    return f"[{', '.join(f'{x} / {size}' for x in s)}]"
+
+
+def _above(p: str, a: str, b: str) -> str:
+    return f"{p}[1] * ({a}[2] * {b}[3] - {a}[3] * {b}[2]) + {p}[2] * ({a}[3] * {b}[1] - {a}[1] * {b}[3]) + {p}[3] * ({a}[1] * {b}[2] - {a}[2] * {b}[1])"
+
+
+_ROOTS = "roots(root, a, b, c) AS (VALUES " + ", ".join(f"({k}, {', '.join(str([float(x) for x in v]) + '::DOUBLE[]' for v in t)})" for k, t in S.HTM_ROOTS.items()) + ")"
+_MIDS = f"{_mid('b', 'c')} AS u, {_mid('c', 'a')} AS v, {_mid('a', 'b')} AS w"
+_CORNERS = [("a", "w", "v"), ("b", "u", "w"), ("c", "v", "u"), ("u", "v", "w")]
+
+
+def _htm(level: int) -> tuple[str, str]:
+    """DuckDB SQL: htm(objectId, id), the triangles of the objects."""
+    point = "[cos(radians(decl)) * cos(radians(ra)), cos(radians(decl)) * sin(radians(ra)), sin(radians(decl))]"
+    root = "CASE WHEN p[3] < 0 THEN 8 + CASE WHEN p[2] >= 0 THEN CASE WHEN p[1] >= 0 THEN 0 ELSE 1 END ELSE CASE WHEN p[1] >= 0 THEN 3 ELSE 2 END END ELSE CASE WHEN p[2] >= 0 THEN CASE WHEN p[1] >= 0 THEN 15 ELSE 14 END ELSE CASE WHEN p[1] >= 0 THEN 12 ELSE 13 END END END"
+    pick = f"CASE WHEN {_above('p', 'w', 'v')} >= 0 THEN 0 WHEN {_above('p', 'u', 'w')} >= 0 THEN 1 WHEN {_above('p', 'v', 'u')} >= 0 THEN 2 ELSE 3 END"
+    corner = lambda i: "CASE k " + " ".join(f"WHEN {k} THEN {t[i]}" for k, t in enumerate(_CORNERS)) + " END"
+    down = f"""descent(objectId, p, level, id, a, b, c) AS (
+        SELECT objectId, p, 0, CAST(root AS BIGINT), a, b, c FROM (SELECT objectId, {point} AS p FROM Object) JOIN roots ON root = {root}
+        UNION ALL SELECT objectId, p, level + 1, id * 4 + k, {corner(0)}, {corner(1)}, {corner(2)}
+        FROM (SELECT *, {pick} AS k FROM (SELECT *, {_MIDS} FROM descent WHERE level < {level})))"""
+    return _ROOTS, f"{down}, htm AS (SELECT objectId, id FROM descent WHERE level = {level})"
+
+
+def _copies() -> tuple[str, ...]:
+    """DuckDB SQL: ranks of keys in their triangles, and moves(s, t) with the corners of both."""
+    targets = ", ".join(f"({t}, {(t * D._MIX) & (1 << 64) - 1}::UHUGEINT)" for t in D.triangles(3, _BOX))
+    mesh = f"""mesh(level, id, a, b, c) AS (SELECT 0, CAST(root AS BIGINT), a, b, c FROM roots
+        UNION ALL SELECT level + 1, id * 4 + k, CASE k {' '.join(f'WHEN {k} THEN {t[0]}' for k, t in enumerate(_CORNERS))} END, CASE k {' '.join(f'WHEN {k} THEN {t[1]}' for k, t in enumerate(_CORNERS))} END, CASE k {' '.join(f'WHEN {k} THEN {t[2]}' for k, t in enumerate(_CORNERS))} END
+        FROM (SELECT *, {_MIDS}, unnest([0, 1, 2, 3]) AS k FROM mesh WHERE level < 3))"""
+    return (
+        *_htm(3), mesh, "ranks AS (SELECT objectId, id AS source, row_number() OVER (PARTITION BY id ORDER BY objectId) - 1 AS rank FROM htm)", "filled AS (SELECT list_sort(list(DISTINCT source)) AS f FROM ranks)",
+        f"targets(t, pick) AS (VALUES {targets})", "chosen AS (SELECT t, CASE WHEN list_contains(f, t) THEN t ELSE f[CAST(pick % CAST(len(f) AS UHUGEINT) AS BIGINT) + 1] END AS s FROM targets, filled)",
+        "moves AS (SELECT s, t, x.a AS a, x.b AS b, x.c AS c, y.a AS d, y.b AS e, y.c AS g FROM chosen JOIN mesh x ON x.id = s AND x.level = 3 JOIN mesh y ON y.id = t AND y.level = 3)",
+    )
+
+
+def _copied(lon: str, lat: str, columns: str, source: str) -> str:
+    """DuckDB SQL: the rows of a source (with rank and triangle s) in their new places."""
+    point = f"[cos(radians({lat})) * cos(radians({lon})), cos(radians({lat})) * sin(radians({lon})), sin(radians({lat}))]"
+    det = _above("a", "b", "c")
+    share = [f"({_above('p', x, y)}) / ({det})" for x, y in (("b", "c"), ("c", "a"), ("a", "b"))]
+    q = [f"i * d[{k}] + j * e[{k}] + l * g[{k}]" for k in (1, 2, 3)]
+    around = "degrees(atan2(y, x))"
+    return f"""SELECT {columns}, round(CASE WHEN {around} < 0 THEN {around} + 360 ELSE {around} END, 6) AS {lon}, round(degrees(atan2(z, sqrt(x * x + y * y))), 6) AS {lat} FROM (
+        SELECT * EXCLUDE ({lon}, {lat}), {q[0]} AS x, {q[1]} AS y, {q[2]} AS z FROM (SELECT *, {share[0]} AS i, {share[1]} AS j, {share[2]} AS l FROM (SELECT *, {point} AS p FROM {source} JOIN moves ON s = source)))"""
+
+
+def _spot(t: int) -> int:
+    """Chunk of the centre of a triangle."""
+    x, y, z = D.corners(t).sum(0)
+    lon, lat = math.degrees(math.atan2(y, x)) % 360, math.degrees(math.atan2(z, math.hypot(x, y)))
+    return _CHUNKER.locate(lon, lat)[0]
+
+
+_KEY = "t * 4294967296 + rank"
+_DUPLICATED = _copied("ra", "decl", f"{_KEY} AS objectId, segment", "(SELECT Object.*, source, rank FROM Object JOIN ranks USING (objectId))")
 ORACLE = {name: duck(s[1] if name != "areaspec_ellipse" else s[1].replace("FROM Object", "FROM Object, foc"), *s[2:]) for name, s in STATEMENTS.items() if s[1]}
 ORACLE |= {
+    "polygon_value": duck(_poly()),
+    "htm_index": duck("SELECT id AS htm_id, COUNT(*) AS n_rows FROM htm GROUP BY id", *_htm(8)),
+    "duplicate": duck(_DUPLICATED, *_copies()),
+    "duplicate_sample": duck(f"SELECT * FROM ({_DUPLICATED}) WHERE CAST('0x' || substr(md5('17:' || objectId), 1, 8) AS BIGINT) < {int((1 << 32) / 3)}", *_copies()),
+    "duplicate_child": duck(_copied("sra", "sdecl", f"{_KEY} AS objectId, t * 4294967296 + own AS sourceId, price", "(SELECT Source.*, source, rank, row_number() OVER (PARTITION BY source ORDER BY sourceId) - 1 AS own FROM Source JOIN ranks USING (objectId))"), *_copies()),
+    "duplicate_estimate": duck("SELECT chunkId, COUNT(*) AS n_rows FROM ranks JOIN chosen ON s = source JOIN spots ON spots.t = chosen.t GROUP BY chunkId", *_copies(), "spots(t, chunkId) AS (VALUES " + ", ".join(f"({t}, {_spot(t)})" for t in D.triangles(3, _BOX)) + ")"),
+    "sub_chunk_stats": duck(f"SELECT COUNT(*) AS n, MIN(r) AS smallest, MAX(r) AS largest, round(avg(r), 9) AS mean, round(stddev_pop(r), 9) AS deviation, round(quantile_cont(r, 0.25), 9) AS quartile1, round(quantile_cont(r, 0.5), 9) AS median, round(quantile_cont(r, 0.75), 9) AS quartile3 FROM (SELECT chunkId, subChunkId, COUNT(*) AS r FROM {_LOC} GROUP BY chunkId, subChunkId)", _strips()),
+    "chunk_boxes": f"""
+        SELECT chunkId, round(CASE WHEN b - a >= 360 THEN 360 ELSE b - a END * degrees(sin(radians(d)) - sin(radians(c))), 9) AS area, round(CASE WHEN whole THEN 0 ELSE (a - half + 360) % 360 END, 9) AS lon_min, round(greatest(c - o, -90), 9) AS lat_min,
+            round(CASE WHEN whole THEN 360 ELSE (a + (b - a) + half) % 360 END, 9) AS lon_max, round(least(d + o, 90), 9) AS lat_max
+        FROM (SELECT *, b - a + 2 * half >= 360 - 1.0 / 3600 AS whole FROM (SELECT *, CASE WHEN far + o > 90 - 1.0 / 3600 THEN 180 ELSE degrees(abs(atan(sin(radians(o)) / sqrt(abs(cos(radians(far) - radians(o)) * cos(radians(far) + radians(o))))))) END AS half
+            FROM (SELECT *, greatest(abs(c), abs(d)) AS far, {STRIPING.overlap!r}::DOUBLE AS o FROM (VALUES {", ".join(f"({c}, {', '.join(f'{x!r}::DOUBLE' for x in _CHUNKER.chunk_bounds(c))})" for c in _CHUNKER.all_chunks)}) AS t(chunkId, a, c, b, d))))""",
+    "transaction_reopen": duck("SELECT objectId, segment FROM Object"),
+    "child_placement": duck(f"SELECT 'key' AS by_what, sourceId FROM Source WHERE objectId IN (1, 17, 42, 100) UNION ALL SELECT 'region', sourceId FROM Source WHERE {sep('(sra + 50)', '(-sdecl)', '80', '10')} <= 20.0051"),
+    "queries_at_once": "SELECT * FROM (VALUES (1::BIGINT, 'SYNC', 'COMPLETED', 5::BIGINT), (2, 'SYNC', 'FAILED', NULL), (3, 'SYNC', 'FAILED_LR', NULL)) AS t(ID, TYPE, STATE, ROWS)",
     "areaspec_poly": duck(_poly()),
     "chunk_locate": duck(f"SELECT objectId, chunkId, subChunkId FROM {_LOC}", _strips()),
     "overlap_explode": duck(_overlap(), _strips()),
