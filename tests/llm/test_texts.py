@@ -392,13 +392,47 @@ def test_pipeline_stages(spark):
             _, cut, words = brute_repeats(list(zip(before.doc_id, before.text)), 50)
             for r in after.itertuples():
                 assert WORD.findall(r.text) == [w for k, w in enumerate(words[r.doc_id]) if k not in cut.get(r.doc_id, ())]
+        if name == "language":
+            model = langid.fit(docs)
+            lang, likeness = model.predict(before.text.tolist())
+            gone = {i for i, t, n, s in zip(before.doc_id, before.text, lang, likeness) if n == "und" or (s < 3 / 32 and len(t) >= 64)}
+            assert set(before.doc_id) - set(after.doc_id) == gone and {i for i, t in zip(before.doc_id, before.text) if not re.search(r"[^\W\d_]", t or "")} <= gone
         if name == "personal_data":
-            assert {r.doc_id: r.text for r in after.itertuples()} == {r.doc_id: pii.redact(r.text) for r in before.itertuples()}
+            texts = {r.doc_id: r.text for r in after.itertuples()}
+            for r in before.itertuples():
+                found = sorted((a, b, k) for k, spans in plain(r.text).items() for a, b in spans)
+                assert not any(t in texts[r.doc_id] for t in (r.text[a:b] for a, b, k in found if k in ("email", "card")))
+                want, at = [], 0  # plain data alone, where nothing is disguised and nothing overlaps
+                for a, b, k in found:
+                    want += [r.text[at:a], f"[{k.upper()}]"]
+                    at = b
+                if not any(pii.find(r.text)[1].values()) and all(x[1] <= y[0] for x, y in zip(found, found[1:])):
+                    assert texts[r.doc_id] == "".join([*want, r.text[at:]])
         if name == "packing":
             assert set(after.doc_id) == set(before.doc_id)
         docs, before = out, after
 
 
+def test_pipeline_edges(spark):
+    """Rows that repeat, share an id or have none, clashing columns, random letters: what each stage keeps."""
+    rng = random.Random(2)
+    words = ["the", "cat", "and", "dog", "sat", "with", "hat", "under", "house", "long", "night", "green"]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    a, b, c = prose(80), prose(80), prose(80)
+    noise = "".join(rng.choice("qxzjkvw") for _ in range(400))
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, c), (None, b), (None, b), (4, ""), (5, None), (6, "12 !?"), (7, "ok"), (8, noise)]
+    names = "doc_id long, text string, lang string, id string, likeness string, a string, _from string"
+    docs = spark.createDataFrame([(i, t, "en" if i != 8 else None, "x", "y", "z", "f") for i, t in rows], names)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = common.Kept(stages["language"](spark, docs, SF), "test").df
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 1, 2, 3, 3, 7]
+    once = common.Kept(stages["near_duplicates"](spark, kept, SF), "test").df
+    assert sorted((r.doc_id or 0, r.text) for r in once.collect()) == sorted([(0, b), (1, a), (3, b), (3, c), (7, "ok")])
+    cut = stages["repeated_passages"](spark, once, SF)
+    assert cut.columns == docs.columns and {r.doc_id for r in cut.collect()} == {None, 1, 3, 7}
+    assert stages["packing"](spark, stages["personal_data"](spark, cut, SF), SF).count() >= 4
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.createDataFrame(pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "text": pd.Series([], dtype="str"), "lang": pd.Series([], dtype="str"), "source": pd.Series([], dtype="str"), "n_chars": pd.Series([], dtype="int64")}), "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
