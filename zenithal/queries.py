@@ -243,6 +243,14 @@ STATEMENTS: dict[str, tuple] = {
     "match_scan_dedup": ("SELECT objectId, refId FROM RefMatch", "SELECT objectId, refId FROM RefMatch WHERE flags <> 2", _strips(), _MATCHES),
     "match_join": ("SELECT o.objectId, r.refId, m.flags FROM Object o, RefMatch m, Ref r WHERE o.objectId = m.objectId AND m.refId = r.refId AND o.balance > 0.005", "SELECT o.objectId, r.refId, m.flags FROM Object o JOIN RefMatch m ON o.objectId = m.objectId JOIN Ref r ON m.refId = r.refId WHERE o.balance > 0.005", _strips(), _MATCHES),
     "chunk_group_count": ("SELECT chunkId, COUNT(*) AS n FROM Object GROUP BY chunkId", f"SELECT chunkId, COUNT(*) AS n FROM {_located('Object', 'ra', 'decl')} GROUP BY chunkId", _strips()),
+    "default_names": ("SELECT objectId, ra * 2, fieldId + 1 FROM Object WHERE objectId < 50", "SELECT objectId, ra * 2 AS \"ra * 2\", fieldId + 1 AS \"fieldId + 1\" FROM Object WHERE objectId < 50"),
+    "self_join": ("SELECT a.objectId AS id, b.segment AS segment FROM Object a, Object b WHERE a.objectId = b.objectId AND a.balance > 5000.005", "SELECT a.objectId AS id, b.segment AS segment FROM Object a, Object b WHERE a.objectId = b.objectId AND a.balance > 5000.005"),
+    "left_join_partitioned": ("SELECT f.fieldName, o.objectId FROM Field f LEFT JOIN Object o ON f.fieldId = o.fieldId AND o.balance > 9500.005", "SELECT f.fieldName, o.objectId FROM Field f LEFT JOIN Object o ON f.fieldId = o.fieldId AND o.balance > 9500.005"),
+    "right_join_replicated": ("SELECT o.objectId, f.fieldName FROM Object o RIGHT JOIN Field f ON f.fieldId = o.fieldId AND o.balance > 9500.005", "SELECT o.objectId, f.fieldName FROM Object o RIGHT JOIN Field f ON f.fieldId = o.fieldId AND o.balance > 9500.005"),
+    "aggregate_plus": ("SELECT SUM(sourceId) + 1 AS s, COUNT(*) * 2 AS n, MAX(price) DIV 1000 AS k FROM Source", "SELECT (SUM(sourceId) + 1)::BIGINT AS s, COUNT(*) * 2 AS n, floor(MAX(price) / 1000)::BIGINT AS k FROM Source"),
+    "key_range": ("SELECT objectId FROM Object WHERE objectId > 20 AND objectId <= 40 AND objectId <> 30", "SELECT objectId FROM Object WHERE objectId > 20 AND objectId <= 40 AND objectId <> 30"),
+    "two_regions": ("SELECT objectId FROM Object WHERE s2PtInBox(ra, decl, 10.005, -20.005, 60.005, 30.005) = 1 AND s2PtInCircle(ra, decl, 30, 10, 20.0051) = 1", f"SELECT objectId FROM Object WHERE {_BAND['box']} AND {sep('ra', 'decl', '30', '10')} <= 20.0051"),
+    "magnitudes": ("SELECT objectId, ROUND(abMagToFlux(fluxToAbMag(flux)) / flux, 9) AS one, ROUND(nanojanskyToAbMag(balance), 6) AS m, ROUND(fluxToAbMagSigma(flux, flux / 10), 9) AS s FROM Object WHERE flux > 0", "SELECT objectId, 1.0::DOUBLE AS one, round(31.4 - 2.5 * log10(balance), 6) AS m, round(0.1 * 2.5 / ln(10), 9) AS s FROM Object WHERE flux > 0"),
     "constant_select": ("SELECT 1 + 1 AS two, 'x' AS x", "SELECT 2 AS two, 'x' AS x"),
 }
 
@@ -442,6 +450,73 @@ def queries_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql("SELECT ID, TYPE, STATE, ROWS FROM information_schema.queries")
 
 
+def region_and_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region and keys together: the chunks of both lists."""
+    return stored(spark, sf_dir).sql("SELECT objectId, ra FROM Object WHERE areaspec_box(10.005, -60.005, 200.005, 60.005) AND objectId IN (1, 5, 17, 42, 77, 100)")
+
+
+def generated_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is dropped and filled again, with a column made at ingest."""
+    engine = Engine(spark, scratch(spark, "generated"), "sky")
+    engine.catalog.create_database("sky", STRIPING)
+    engine.ingest.load("sky", TableSpec("Plain"), derived(spark, sf_dir, "Field"))
+    engine.ingest.drop("sky", "Plain")
+    engine.ingest.load("sky", TableSpec("Plain"), derived(spark, sf_dir, "Field"), {"label": "concat(fieldName, '/', zone)"})
+    return engine.sql("SELECT fieldId, label FROM Plain")
+
+
+def contribution_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contribution that fails and is run again, and one that ends at once."""
+    engine = Engine(spark, scratch(spark, "contributions"), "sky")
+    engine.catalog.create_database("sky", STRIPING)
+    engine.ingest.create("sky", TableSpec("Plain"))
+    t, sources = engine.ingest.begin("sky"), [f"{sf_dir}/nothing.parquet", f"{sf_dir}/region.parquet"]
+    late = engine.ingest.contribute("sky", "Plain", lambda: spark.read.parquet(sources[0]), t)
+    engine.ingest.contribute("sky", "Plain", lambda: spark.read.parquet(sources[1]), t)
+    before = engine.ingest.status().select("state")
+    sources[0] = f"{sf_dir}/region.parquet"
+    engine.ingest.retry(late.id)
+    engine.ingest.commit(t)
+    return before.groupBy("state").count().union(engine.sql("SELECT 'rows' AS state, COUNT(*) AS count FROM Plain"))
+
+
+def cancelled_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A background query that ended, its result deleted, and one that was stopped."""
+    engine = catalog(spark, sf_dir)
+    ended = engine.submit("SELECT COUNT(*) AS n FROM Field")
+    engine.manager.wait(ended)
+    engine.sql(f"CALL result_delete({ended})")
+    stopped = engine.submit("SELECT COUNT(*) AS n FROM Source a, Source b, Source c WHERE a.price + b.price + c.price > 3")
+    engine.sql(f"KILL QUERY {stopped}")
+    engine.manager.wait(stopped, 120)
+    return engine.sql("SELECT ID, STATE FROM information_schema.queries")
+
+
+def parquet_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen columns in an order of their own, one of them missing in the files."""
+    return readers.read_parquet(spark, f"{sf_dir}/nation.parquet", ["n_name", "motto", "n_nationkey"], {"motto": "varchar(9)"})
+
+
+def rows_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of values with a declared schema."""
+    schema = readers.schema([{"name": "id", "type": "bigint not null"}, {"name": "x", "type": "double"}, {"name": "s", "type": "varchar(9)"}, {"name": "day", "type": "date"}])
+    return readers.from_rows(spark, [[1, "2.5", "a", "2024-03-05"], ["2", None, None, None]], schema)
+
+
+def parquet_to_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parquet files by way of CSV files."""
+    path = scratch(spark, "csv")
+    readers.parquet_to_csv(spark, f"{sf_dir}/nation.parquet", path, ["n_nationkey", "n_name"])
+    schema = readers.schema([{"name": "n_nationkey", "type": "int"}, {"name": "n_name", "type": "varchar(25)"}])
+    return readers.read_csv(spark, path, schema, readers.CsvDialect(",", '"'))
+
+
+def sub_chunk_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sub-chunks of each stripe of chunks, and the sphere's area that they cover."""
+    area = (F.col("lon_max") - F.col("lon_min")) * F.degrees(F.sin(F.radians("lat_max")) - F.sin(F.radians("lat_min")))
+    return P.layout(spark, _CHUNKER, by_sub_chunk=True).groupBy(F.floor(F.col("chunkId") / (2 * STRIPING.stripes)).alias("stripe")).agg(F.count("*").alias("n"), F.round(F.sum(area), 6).alias("area"))
+
+
 def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table by way of tab-separated files."""
     path = scratch(spark, "csv")
@@ -460,7 +535,7 @@ def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql("SELECT segment, COUNT(*) AS n FROM Object GROUP BY segment")
 
 
-OPERATORS = {f.__name__: f for f in (ingest_chunked, director_index_lookup, row_counters, transaction_abort, csv_source, streaming_ingest, chunk_locate, overlap_explode, partition_matches, chunk_stats, partition_by_index, htm_id, htm_index, layout, duplicate, duplicate_sample, duplicate_child, duplicate_shift, duplicate_estimate, sub_chunk_stats, chunk_boxes, transaction_reopen, child_placement, queries_at_once, async_result, processlist, query_history, show_columns)}
+OPERATORS = {f.__name__: f for f in (ingest_chunked, director_index_lookup, row_counters, transaction_abort, csv_source, streaming_ingest, chunk_locate, overlap_explode, partition_matches, chunk_stats, partition_by_index, htm_id, htm_index, layout, duplicate, duplicate_sample, duplicate_child, duplicate_shift, duplicate_estimate, sub_chunk_stats, chunk_boxes, transaction_reopen, child_placement, queries_at_once, region_and_index, generated_columns, contribution_states, cancelled_query, parquet_source, rows_source, parquet_to_csv, sub_chunk_layout, async_result, processlist, query_history, show_columns)}
 
 _LOC = _located("Object", "ra", "decl")
 
@@ -563,6 +638,14 @@ ORACLE |= {
             round(CASE WHEN whole THEN 360 ELSE (a + (b - a) + half) % 360 END, 9) AS lon_max, round(least(d + o, 90), 9) AS lat_max
         FROM (SELECT *, b - a + 2 * half >= 360 - 1.0 / 3600 AS whole FROM (SELECT *, CASE WHEN far + o > 90 - 1.0 / 3600 THEN 180 ELSE degrees(abs(atan(sin(radians(o)) / sqrt(abs(cos(radians(far) - radians(o)) * cos(radians(far) + radians(o))))))) END AS half
             FROM (SELECT *, greatest(abs(c), abs(d)) AS far, {STRIPING.overlap!r}::DOUBLE AS o FROM (VALUES {", ".join(f"({c}, {', '.join(f'{x!r}::DOUBLE' for x in _CHUNKER.chunk_bounds(c))})" for c in _CHUNKER.all_chunks)}) AS t(chunkId, a, c, b, d))))""",
+    "region_and_index": duck("SELECT objectId, ra FROM Object WHERE ra BETWEEN 10.005 AND 200.005 AND decl BETWEEN -60.005 AND 60.005 AND objectId IN (1, 5, 17, 42, 77, 100)"),
+    "generated_columns": duck("SELECT fieldId, fieldName || '/' || zone AS label FROM Field"),
+    "contribution_states": "SELECT * FROM (VALUES ('FAILED', 1::BIGINT), ('FINISHED', 1), ('rows', (SELECT 2 * COUNT(*) FROM region))) AS t(state, count)",
+    "cancelled_query": "SELECT * FROM (VALUES (1::BIGINT, 'COMPLETED'), (2, 'ABORTED')) AS t(ID, STATE)",
+    "parquet_source": "SELECT n_name, CAST(NULL AS VARCHAR) AS motto, n_nationkey FROM nation",
+    "rows_source": "SELECT * FROM (VALUES (1::BIGINT, 2.5::DOUBLE, 'a', DATE '2024-03-05'), (2, NULL, NULL, NULL)) AS t(id, x, s, day)",
+    "parquet_to_csv": "SELECT n_nationkey, n_name FROM nation",
+    "sub_chunk_layout": f"SELECT ss // {_CHUNKER.sub_stripes} AS stripe, CAST(sum(total) AS BIGINT) AS n, round(360 * degrees(sin(radians(least(90, -90 + (ss // {_CHUNKER.sub_stripes} + 1) * {_CHUNKER.height!r}::DOUBLE))) - sin(radians(-90 + (ss // {_CHUNKER.sub_stripes}) * {_CHUNKER.height!r}::DOUBLE))), 6) AS area FROM (WITH {_strips()} SELECT * FROM strips) GROUP BY ss // {_CHUNKER.sub_stripes}",
     "transaction_reopen": duck("SELECT objectId, segment FROM Object"),
     "child_placement": duck(f"SELECT 'key' AS by_what, sourceId FROM Source WHERE objectId IN (1, 17, 42, 100) UNION ALL SELECT 'region', sourceId FROM Source WHERE {sep('(sra + 50)', '(-sdecl)', '80', '10')} <= 20.0051"),
     "queries_at_once": "SELECT * FROM (VALUES (1::BIGINT, 'SYNC', 'COMPLETED', 5::BIGINT), (2, 'SYNC', 'FAILED', NULL), (3, 'SYNC', 'FAILED_LR', NULL)) AS t(ID, TYPE, STATE, ROWS)",
