@@ -134,8 +134,8 @@ def brute_repeats(rows, length):
     return rep, cut, words
 
 
-@pytest.mark.parametrize("longest", [suffix_dedup.RUN, 5])
-def test_suffix_dedup_is_brute_force(spark, longest):
+@pytest.mark.parametrize(("longest", "around"), [(suffix_dedup.RUN, suffix_dedup.AROUND), (5, suffix_dedup.AROUND), (5, 3)])
+def test_suffix_dedup_is_brute_force(spark, longest, around):
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(400)]
     passages = [[words[i] for i in rng.integers(0, 400, rng.integers(15, 60))] for _ in range(20)]
@@ -148,7 +148,7 @@ def test_suffix_dedup_is_brute_force(spark, longest):
         rows.append((i, " ".join(w + ["x"] * (int(rng.integers(10, 100)) if i % 40 == 0 else 0))))
     rows += [(250, None), (251, ""), (252, "a b"), (253, rows[3][1])]
     df = documents(spark, padded(rows)).select("*", F.lit(1).alias("_from"), F.lit(2).alias("a"), F.lit(3).alias("row"))
-    spans = suffix_dedup.repeats(df, 20, 8, longest=longest)
+    spans = suffix_dedup.repeats(df, 20, 8, longest=longest, most_around=around)
     rep, cut, words_of = brute_repeats(rows, 20)
     got, got_cut = {}, {}
     for r in spans.collect():

@@ -15,8 +15,9 @@ of `length` words that another document has too; runs that touch join to spans.
 Suffixes whose first K words are frequent within some task (a bounded list), and sorted
 runs of more than RUN suffixes, are not compared in one place. Of those with all their words
 in common the first and the last document are taken within each task first; the runs of
-words around what is left meet by hash, and the leaders come back by joins whose skewed keys
-Spark splits. So no key is one task's work however many documents share it.
+words around what is left meet by hash, and the leaders come back to the suffixes: by a broadcast
+where there are at most AROUND of them, else by a join whose skewed keys Spark splits. So no key
+is one task's work however many documents share it.
 
 Nulls and edges: null and empty texts, and texts of fewer words than `length`, have no
 repeats; repeats inside one document alone don't count; the first document is the one
@@ -40,6 +41,8 @@ HEAVY = 1 << 16
 RUN = 1 << 15
 #: Suffixes that are compared at once.
 TOGETHER = 1 << 12
+#: Different surroundings of frequent suffixes, of some 300 bytes each, up to which they are broadcast.
+AROUND = 1 << 16
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
     """Place of the leftmost smallest value of each window of w values."""
@@ -263,7 +266,7 @@ def _compared(suffixes: DataFrame, window: int, parts: int, longest: int) -> Kep
     return Kept(rows.mapInArrow(run, _SUFFIX + ", leader long"), "compared")
 
 
-def _hashed(suffixes: DataFrame, window: int) -> tuple[DataFrame, list[Kept]]:
+def _hashed(suffixes: DataFrame, window: int, most_around: int) -> tuple[DataFrame, list[Kept]]:
     """(doc_id, start, stop, leader) of the runs that different documents have, for suffixes of any number with one key; and the tables behind them."""
     most = window - 1
     around = ["key", "after", "before"]
@@ -298,13 +301,33 @@ def _hashed(suffixes: DataFrame, window: int) -> tuple[DataFrame, list[Kept]]:
             found = batch.column(2)
             row = np.repeat(np.arange(len(batch)), found.value_lengths().to_numpy())
             place, leader = (found.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
-            at = batch.column(1).to_numpy()[row] - place
-            order = np.lexsort((at, row))
-            yield pa.RecordBatch.from_arrays(_intervals(batch.column(0).to_numpy(), row[order], at[order], leader[order]), ["doc_id", "start", "stop", "leader"])
+            yield rows_of(batch.column(0).to_numpy(), batch.column(1).to_numpy(), row, place, leader)
+
+    def rows_of(doc, suffix, row, place, leader):
+        at = suffix[row] - place
+        order = np.lexsort((at, row))
+        return pa.RecordBatch.from_arrays(_intervals(doc, row[order], at[order], leader[order]), ["doc_id", "start", "stop", "leader"])
 
     suffix = F.col("stop") + most - (F.length("after") / 8).cast("int")
-    joined = rows.select("around", "doc_id", suffix.alias("suffix")).join(led.df, "around").select("doc_id", "suffix", "found")
-    return joined.mapInArrow(back, _RUNS), [runs, leaders, led]
+    asked = rows.select("doc_id", suffix.alias("suffix"), "around")
+    if led.df.count() > most_around:
+        return asked.join(led.df, "around").select("doc_id", "suffix", "found").mapInArrow(back, _RUNS), [runs, leaders, led]
+    table = led.df.toArrow().combine_chunks().sort_by("around")
+    found = table["found"].combine_chunks()
+    cuts = np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))]) if len(table) else np.zeros(1, np.int64)
+    shared = suffixes.sparkSession.sparkContext.broadcast((table["around"].to_numpy(), cuts, *(found.flatten().field(k).to_numpy() for k in (0, 1))))
+
+    def looked_up(batches):
+        around, cuts, places, leaders = shared.value
+        for batch in batches:
+            wanted = batch.column(2).to_numpy()
+            at = np.minimum(np.searchsorted(around, wanted), max(len(around) - 1, 0))
+            hit = np.flatnonzero(around[at] == wanted) if len(around) else np.zeros(0, np.int64)
+            begin, size = cuts[at[hit]], cuts[at[hit] + 1] - cuts[at[hit]]
+            e = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+            yield rows_of(batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.repeat(hit, size), places[e].astype(np.int64), leaders[e])
+
+    return asked.mapInArrow(looked_up, _RUNS), [runs, leaders, led]
 
 
 def _join(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -362,12 +385,13 @@ def _spans(rows: DataFrame, length: int, parts: int) -> DataFrame:
     return rows.select("doc_id", "start", "stop", "leader").repartition(parts, "doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(run, "doc_id long, start long, end long, first_doc long, cut_starts array<long>, cut_ends array<long>")
 
 
-def repeats(docs: DataFrame, length: int = 50, window: int = 25, id_col: str = "doc_id", text_col: str = "text", longest: int = RUN) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 50, window: int = 25, id_col: str = "doc_id", text_col: str = "text", longest: int = RUN, most_around: int = AROUND) -> DataFrame:
     """Spans of words that repeat across documents: doc_id, start, end (words), first_doc, cut_starts, cut_ends.
 
     first_doc is the smallest id among the documents that share some run of the span;
     the cuts are the parts of the span that a document of a smaller id has too.
-    window: from 2 to length words; longest: suffixes of a sorted run that are compared in one place.
+    window: from 2 to length words; longest: suffixes of a sorted run that are compared in one
+    place; most_around: different surroundings that are broadcast.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -384,7 +408,7 @@ def repeats(docs: DataFrame, length: int = 50, window: int = 25, id_col: str = "
     heads.drop()
     columns = [c.split()[0] for c in _SUFFIX.split(", ")]
     compared = _compared(matches.df.where(~F.col("hot")).select(columns), window, parts, longest)
-    hashed, kept = _hashed(matches.df.where("hot").select(columns).union(compared.df.where("leader is null").select(columns)), window)
+    hashed, kept = _hashed(matches.df.where("hot").select(columns).union(compared.df.where("leader is null").select(columns)), window, most_around)
     out = Kept(_spans(compared.df.where("leader is not null").select("doc_id", "start", "stop", "leader").union(hashed), length, parts), "repeats")
     for x in (matches, compared, *kept):
         x.drop()
