@@ -265,6 +265,18 @@ def test_near_neighbours_need_no_cross_join(engine):
     assert "Cartesian" not in p and "NestedLoop" not in p
 
 
+def test_tables_in_any_order_need_no_cross_join(engine):
+    df = engine.sql("SELECT a.id FROM Obj a, Obj b, Src c WHERE a.id = c.id AND b.id = c.id")
+    assert "Cartesian" not in plan(df) and "NestedLoop" not in plan(df) and df.count() == 600
+
+
+def test_polygons_of_rows(engine):
+    sql = "SELECT COUNT(*) AS n FROM Obj WHERE s2PtInCPoly(ra, decl, s2CPolyToBin(0, 0, {0}, 0, 45, 80)) = 1"
+    constant = engine.sql("SELECT COUNT(*) AS n FROM Obj WHERE s2PtInCPoly(ra, decl, 0, 0, 90, 0, 45, 80) = 1").first().n
+    assert constant == engine.sql(sql.format("90")).first().n == engine.sql(sql.format("id * 0 + 90")).first().n > 0
+    assert engine.sql(sql.format("NULL")).first().n == 0
+
+
 def test_names(engine):
     long = " + ".join(["f"] * 30)
     assert engine.sql(f"SELECT f * 2, o.s, {long} FROM Obj o LIMIT 1").columns == ["f * 2", "s", "valueExprAlias_3"]
@@ -327,7 +339,8 @@ def test_catalog_round_trip(spark, engine, tmp_path):
     ("FIELD('b', 'a', 'b')", 2), ("STRCMP('a', 'b')", -1), ("INET_ATON('10.0.5.9')", 167773449), ("INET_NTOA(167773449)", "10.0.5.9"), ("PERIOD_ADD(202301, 14)", 202403), ("PERIOD_DIFF(202403, 202301)", 14), ("SEC_TO_TIME(3725)", "01:02:05"),
     ("TIME_TO_SEC('01:02:05')", 3725), ("TO_DAYS('2007-10-07')", 733321), ("DATE_FORMAT('2024-03-05', '%Y/%m/%d')", "2024/03/05"), ("MAKE_SET(5, 'a', 'b', 'c')", "a,c"), ("OCT(12)", "14"), ("QUOTE('a')", "'a'"), ("IS_IPV4('1.2.3.4')", 1), ("IFNULL(NULL, 3)", 3),
     ("SQRT(-1)", None), ("LN(0)", None), ("ADDTIME('01:00:00', '00:30:00')", "01:30:00"), ("WEEK('2008-02-20')", 7), ("LENGTH('é')", 2), ("CHAR_LENGTH('é')", 1), ("ROUND(2.5)", 3), ("HEX(255)", "FF"), ("LOCATE('b', 'abc')", 2),
-    ("SUBSTRING_INDEX('a.b.c', '.', 2)", "a.b"), ("YEARWEEK('2008-02-20')", 200807), ("MAKETIME(1, 2, 3)", "01:02:03"), ("WEEKDAY('2024-03-05')", 1), ("DAYOFWEEK('2024-03-05')", 3),
+    ("SUBSTRING_INDEX('a.b.c', '.', 2)", "a.b"), ("YEARWEEK('2008-02-20')", 200807), ("MAKETIME(1, 2, 3)", "01:02:03"), ("WEEKDAY('2024-03-05')", 1), ("WEEK('2001-01-05', 3)", 1), ("WEEK('2008-02-20', 1)", 8), ("WEEK('2008-12-31', 1)", 53), ("YEARWEEK('1987-01-01')", 198652), ("YEARWEEK('2001-01-01')", 200053), ("WEEK('2000-01-01', 2)", 52), ("GREATEST(1, NULL)", None), ("DAYNAME('2007-02-03')", "Saturday"),
+    ("DATE_FORMAT('1999-01-01', '%X %V')", "1998 52"), ("DATE_FORMAT('2006-06-03', '%U %w %D')", "22 6 3rd"), ("DATE_FORMAT('2024-03-05', '100%% %q')", "100% q"), ("EXPORT_SET(5, 'Y', 'N', ',', 4)", "Y,N,Y,N"), ("EXPORT_SET(6, '1', '0', ',', 10)", "0,1,1,0,0,0,0,0,0,0"), ("DAYOFWEEK('2024-03-05')", 3),
 ])
 def test_scalar_functions(engine, call, want):
     assert engine.sql(f"SELECT {call} AS x").first().x == want

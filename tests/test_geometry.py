@@ -143,3 +143,18 @@ def test_bad_regions():
     for kind, args in [("box", (1.0, 2.0, 3.0)), ("circle", (1.0, 2.0)), ("ellipse", (1.0,) * 4), ("poly", (1.0,) * 5), ("poly", (1.0,) * 4), ("box", (0.0, 3.0, 1.0, 2.0)), ("circle", (0.0, 0.0, -1.0))]:
         with pytest.raises(AnalysisError):
             regions.check(kind, args)
+
+
+def test_boxes():
+    from zenithal.functions.box import SphericalBox as Box
+
+    assert abs(Box(0, -90, 360, 90).area - 41252.96125) < 1e-4 and abs(Box(350, 0, 10, 90).area - 20 * 57.29577951308232) < 1e-9
+    wrap = Box(350, -10, 10, 10)
+    assert wrap.extent == 20 and wrap.contains(0, 0) and wrap.contains(355, 10) and not wrap.contains(180, 0)
+    assert wrap.intersects(Box(5, 5, 20, 20)) and Box(5, 5, 20, 20).intersects(wrap) and not wrap.intersects(Box(20, 0, 30, 5)) and not wrap.intersects(Box(0, 11, 5, 12))
+    big = wrap.expand(5)
+    assert big.lat_min == -15 and 344.8 < big.lon_min < 345 and 15 < big.lon_max < 15.2
+    assert Box(0, 80, 10, 86).expand(5).bounds == (0.0, 75, 360.0, 90.0) and wrap.expand(0) is wrap
+    for bad in (lambda: wrap.expand(-1), lambda: Box(0, 5, 1, 4)):
+        with pytest.raises(ValueError):
+            bad()
