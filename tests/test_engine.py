@@ -36,7 +36,17 @@ def test_against_duckdb(spark, duck, name):
 
 @pytest.fixture
 def engine(spark, tmp_path):
-    e = Engine(spark, str(tmp_path), "d")
+    return filled(spark, str(tmp_path))
+
+
+@pytest.fixture(scope="module")
+def loaded(spark, tmp_path_factory):
+    """The same for tests that change nothing."""
+    return filled(spark, str(tmp_path_factory.mktemp("loaded")))
+
+
+def filled(spark, path):
+    e = Engine(spark, path, "d")
     e.catalog.create_database("d", Striping(6, 9, 2.0))
     rows = [[i, (i * 37.5) % 360, (i * 11.3) % 170 - 85, 10.0 + i, "abc"[i % 3]] for i in range(200)]
     schema = readers.schema([{"name": "id", "type": "bigint(20) not null"}, {"name": "ra", "type": "double"}, {"name": "decl", "type": "double"}, {"name": "f", "type": "float"}, {"name": "s", "type": "char(3)"}])
@@ -50,23 +60,23 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_chunk_pruning_reaches_the_scan(engine):
-    df = engine.sql("SELECT id FROM Obj WHERE areaspec_circle(10, 10, 5)")
+def test_chunk_pruning_reaches_the_scan(loaded):
+    df = loaded.sql("SELECT id FROM Obj WHERE areaspec_circle(10, 10, 5)")
     assert "PartitionFilters" in plan(df) and "chunkId" in plan(df).split("PartitionFilters")[1].split("]")[0]
-    df = engine.sql("SELECT id FROM Obj WHERE s2PtInBox(ra, decl, 0, 0, 10, 10) = 1")
+    df = loaded.sql("SELECT id FROM Obj WHERE s2PtInBox(ra, decl, 0, 0, 10, 10) = 1")
     assert "chunkId" in plan(df).split("PartitionFilters")[1].split("]")[0]
-    two = engine.sql("SELECT id FROM Obj WHERE s2PtInBox(ra, decl, 0, 0, 10, 10) = 1 AND s2PtInCircle(ra, decl, 5, 5, 3) = 1")
+    two = loaded.sql("SELECT id FROM Obj WHERE s2PtInBox(ra, decl, 0, 0, 10, 10) = 1 AND s2PtInCircle(ra, decl, 5, 5, 3) = 1")
     assert "chunkId" not in plan(two).split("PartitionFilters")[1].split("]")[0]
 
 
-def test_director_index(engine):
-    df = engine.sql("SELECT v FROM Src WHERE id = 17")
+def test_director_index(loaded):
+    df = loaded.sql("SELECT v FROM Src WHERE id = 17")
     assert "chunkId" in plan(df).split("PartitionFilters")[1].split("]")[0] and df.count() == 3
-    assert engine.sql("SELECT v FROM Src WHERE id IN (17, 18, 100000)").count() == 6 and engine.sql("SELECT v FROM Src WHERE id = 100000").count() == 0
+    assert loaded.sql("SELECT v FROM Src WHERE id IN (17, 18, 100000)").count() == 6 and loaded.sql("SELECT v FROM Src WHERE id = 100000").count() == 0
 
 
-def test_children_lie_with_their_directors(engine):
-    n = engine.sql("SELECT COUNT(*) AS n FROM Obj o, Src s WHERE o.id = s.id AND o.chunkId = s.chunkId AND o.subChunkId = s.subChunkId").first().n
+def test_children_lie_with_their_directors(loaded):
+    n = loaded.sql("SELECT COUNT(*) AS n FROM Obj o, Src s WHERE o.id = s.id AND o.chunkId = s.chunkId AND o.subChunkId = s.subChunkId").first().n
     assert n == 600
 
 
@@ -173,8 +183,8 @@ def test_contributions(spark, engine, tmp_path):
     assert engine.sql("SELECT s FROM Obj WHERE id = 2000").first().s == "z"
 
 
-def test_pools(engine):
-    assert engine.pool("SELECT id FROM Obj WHERE areaspec_circle(10, 10, 0.1)") == "interactive" and engine.pool("SELECT id FROM Obj") == "scan"
+def test_pools(loaded):
+    assert loaded.pool("SELECT id FROM Obj WHERE areaspec_circle(10, 10, 0.1)") == "interactive" and loaded.pool("SELECT id FROM Obj") == "scan"
 
 
 def test_row_counters(engine):
@@ -238,9 +248,9 @@ def test_cancel_and_limits(spark, engine):
         ("SELECT id FROM Obj WHERE areaspec_box(1, 2, 3)", "Wrong number"), ("SELECT id FROM Obj WHERE s2PtInBox(ra, decl, 1, 2, 3) = 1", "Wrong number"), ("SELECT id FROM Obj ORDER BY f", "ORDER BY"), ("SELECT 1 FROM nodb.Obj", "Unknown database"),
     ],
 )
-def test_errors(engine, sql, text):
+def test_errors(loaded, sql, text):
     with pytest.raises(EngineError, match=text):
-        engine.sql(sql)
+        loaded.sql(sql)
 
 
 def test_restrictor_needs_a_partitioned_table(spark, engine):
@@ -260,31 +270,31 @@ def test_strict_mode(engine):
         engine.sql("SELECT o.id FROM Obj o LEFT JOIN Src s ON o.id = s.id")
 
 
-def test_near_neighbours_need_no_cross_join(engine):
-    p = plan(engine.sql("SELECT a.id FROM Obj a, Obj b WHERE angSep(a.ra, a.decl, b.ra, b.decl) < 1.5"))
+def test_near_neighbours_need_no_cross_join(loaded):
+    p = plan(loaded.sql("SELECT a.id FROM Obj a, Obj b WHERE angSep(a.ra, a.decl, b.ra, b.decl) < 1.5"))
     assert "Cartesian" not in p and "NestedLoop" not in p
 
 
-def test_tables_in_any_order_need_no_cross_join(engine):
-    df = engine.sql("SELECT a.id FROM Obj a, Obj b, Src c WHERE a.id = c.id AND b.id = c.id")
+def test_tables_in_any_order_need_no_cross_join(loaded):
+    df = loaded.sql("SELECT a.id FROM Obj a, Obj b, Src c WHERE a.id = c.id AND b.id = c.id")
     assert "Cartesian" not in plan(df) and "NestedLoop" not in plan(df) and df.count() == 600
 
 
-def test_polygons_of_rows(engine):
+def test_polygons_of_rows(loaded):
     sql = "SELECT COUNT(*) AS n FROM Obj WHERE s2PtInCPoly(ra, decl, s2CPolyToBin(0, 0, {0}, 0, 45, 80)) = 1"
-    constant = engine.sql("SELECT COUNT(*) AS n FROM Obj WHERE s2PtInCPoly(ra, decl, 0, 0, 90, 0, 45, 80) = 1").first().n
-    assert constant == engine.sql(sql.format("90")).first().n == engine.sql(sql.format("id * 0 + 90")).first().n > 0
-    assert engine.sql(sql.format("NULL")).first().n == 0
+    constant = loaded.sql("SELECT COUNT(*) AS n FROM Obj WHERE s2PtInCPoly(ra, decl, 0, 0, 90, 0, 45, 80) = 1").first().n
+    assert constant == loaded.sql(sql.format("90")).first().n == loaded.sql(sql.format("id * 0 + 90")).first().n > 0
+    assert loaded.sql(sql.format("NULL")).first().n == 0
 
 
-def test_names(engine):
+def test_names(loaded):
     long = " + ".join(["f"] * 30)
-    assert engine.sql(f"SELECT f * 2, o.s, {long} FROM Obj o LIMIT 1").columns == ["f * 2", "s", "valueExprAlias_3"]
-    assert engine.sql("SELECT a.id, b.id FROM Obj a, Obj b WHERE a.id = b.id LIMIT 1").columns == ["id", "id"]
+    assert loaded.sql(f"SELECT f * 2, o.s, {long} FROM Obj o LIMIT 1").columns == ["f * 2", "s", "valueExprAlias_3"]
+    assert loaded.sql("SELECT a.id, b.id FROM Obj a, Obj b WHERE a.id = b.id LIMIT 1").columns == ["id", "id"]
 
 
-def test_mixed_aggregates(engine):
-    assert engine.sql("SELECT s, AVG(f) FROM Obj").count() == 1
+def test_mixed_aggregates(loaded):
+    assert loaded.sql("SELECT s, AVG(f) FROM Obj").count() == 1
 
 
 def test_json(engine):
@@ -342,8 +352,8 @@ def test_catalog_round_trip(spark, engine, tmp_path):
     ("SUBSTRING_INDEX('a.b.c', '.', 2)", "a.b"), ("YEARWEEK('2008-02-20')", 200807), ("MAKETIME(1, 2, 3)", "01:02:03"), ("WEEKDAY('2024-03-05')", 1), ("WEEK('2001-01-05', 3)", 1), ("WEEK('2008-02-20', 1)", 8), ("WEEK('2008-12-31', 1)", 53), ("YEARWEEK('1987-01-01')", 198652), ("YEARWEEK('2001-01-01')", 200053), ("WEEK('2000-01-01', 2)", 52), ("GREATEST(1, NULL)", None), ("DAYNAME('2007-02-03')", "Saturday"),
     ("DATE_FORMAT('1999-01-01', '%X %V')", "1998 52"), ("DATE_FORMAT('2006-06-03', '%U %w %D')", "22 6 3rd"), ("DATE_FORMAT('2024-03-05', '100%% %q')", "100% q"), ("EXPORT_SET(5, 'Y', 'N', ',', 4)", "Y,N,Y,N"), ("EXPORT_SET(6, '1', '0', ',', 10)", "0,1,1,0,0,0,0,0,0,0"), ("DAYOFWEEK('2024-03-05')", 3),
 ])
-def test_scalar_functions(engine, call, want):
-    assert engine.sql(f"SELECT {call} AS x").first().x == want
+def test_scalar_functions(loaded, call, want):
+    assert loaded.sql(f"SELECT {call} AS x").first().x == want
 
 
 def test_every_keyword_function_resolves(spark, engine):
