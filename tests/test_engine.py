@@ -179,6 +179,8 @@ def test_contributions(spark, engine, tmp_path):
     assert c.state == "FAILED" and "PATH_NOT_FOUND" in c.error
     spark.createDataFrame([(2000, 5.0, 5.0, 1.0, "z")], "id long, ra double, decl double, f float, s string").write.parquet(path)
     assert engine.ingest.retry(c.id).state == "FINISHED" and engine.ingest.status().first().state == "FINISHED"
+    other = reopened(spark, engine, tmp_path).ingest.status("d").collect()
+    assert [(r.id, r.state, r.table) for r in other] == [(c.id, "FINISHED", "Obj")] == [(r.id, r.state, r.table) for r in engine.ingest.status("d").collect()]
     engine.ingest.commit(t)
     assert engine.sql("SELECT s FROM Obj WHERE id = 2000").first().s == "z"
 

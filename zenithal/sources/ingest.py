@@ -58,6 +58,7 @@ class Contribution:
     state: str = "IN_PROGRESS"
     error: str = ""
     again: object = None  # what a retry runs
+    attempt: int = 0
 
 
 class Ingest:
@@ -261,6 +262,9 @@ class Ingest:
             c.state, c.error = ("CANCELLED" if c.state == "CANCELLED" else "FAILED"), str(e).split("\n")[0]
         finally:
             sc.removeJobTag(tag)
+            c.attempt += 1
+            record = {"id": c.id, "attempt": c.attempt, "trans_id": c.trans_id, "db": c.db, "table": c.table, "state": c.state, "error": c.error}
+            self.store.create(f"{self.warehouse}/{c.db}/_parts/{c.id}.{c.attempt}.json", json.dumps(record))
 
     def retry(self, contribution: int) -> Contribution:
         """Run a failed contribution again: it writes its own folder anew, so no row comes twice."""
@@ -276,9 +280,17 @@ class Ingest:
             c.state = "CANCELLED"
             self.spark.sparkContext.cancelJobsWithTag(f"contribution-{id(self)}-{c.id}")
 
-    def status(self) -> DataFrame:
-        """All contributions."""
-        return self.spark.createDataFrame([(c.id, c.trans_id, c.db, c.table, c.state, c.error) for c in self.contributions.values()], "id long, trans_id long, db string, table string, state string, error string")
+    def status(self, db: str | None = None) -> DataFrame:
+        """All contributions of this session, and, of a database, those that other sessions have ended."""
+        kind = "id long, trans_id long, db string, table string, state string, error string"
+        own = self.spark.createDataFrame([(c.id, c.trans_id, c.db, c.table, c.state, c.error) for c in self.contributions.values()], kind)
+        folder = f"{self.warehouse}/{db}/_parts"
+        if db is None or not any(n.endswith(".json") for n in self.store.names(folder)):
+            return own
+        ended = self.spark.read.schema(f"{kind}, attempt int").option("pathGlobFilter", "*.json").json(folder)
+        last = ended.groupBy("id").agg(*[F.max_by(c, "attempt").alias(c) for c in own.columns[1:]])
+        mine = [c.id for c in self.contributions.values() if c.db == db]
+        return own.where(F.col("db") == db).union(last.where(~F.col("id").isin(mine)) if mine else last)
 
     # ---- convenience
 
