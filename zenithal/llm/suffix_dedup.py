@@ -304,9 +304,11 @@ def _hashed(suffixes: DataFrame, window: int, most_around: int) -> tuple[DataFra
             yield rows_of(batch.column(0).to_numpy(), batch.column(1).to_numpy(), row, place, leader)
 
     def rows_of(doc, suffix, row, place, leader):
-        at = suffix[row] - place
-        order = np.lexsort((at, row))
-        return pa.RecordBatch.from_arrays(_intervals(doc, row[order], at[order], leader[order]), ["doc_id", "start", "stop", "leader"])
+        # the runs of a document's suffixes follow each other: a copied text is one row
+        docs, of = np.unique(doc, return_inverse=True)
+        at, of = suffix[row] - place, of[row]
+        order = np.lexsort((at, of))
+        return pa.RecordBatch.from_arrays(_intervals(docs, of[order], at[order], leader[order]), ["doc_id", "start", "stop", "leader"])
 
     suffix = F.col("stop") + most - (F.length("after") / 8).cast("int")
     asked = rows.select("doc_id", suffix.alias("suffix"), "around")
