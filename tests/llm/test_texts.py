@@ -1,5 +1,8 @@
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -25,6 +28,43 @@ def padded(rows):
 # ---------------------------------------------------------------- kernels
 
 
+MEMORY = """
+import re, sys
+import numpy as np, pyarrow as pa
+from zenithal.llm.common import lean
+
+def held():  # MB without mapped files
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def run(batches):
+    small = []
+    for batch in batches:
+        small.append([bytes(100 + i % 400) for i in range(100_000)])  # from the heap, not as mappings of their own
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 << 20))], ["x"])
+
+batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(1 << 18))], ["x"])]
+before = held()
+n = sum(len(b) for b in lean(run)(iter(batches * 4)))
+print(n, held() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory can't be read here")
+def test_workers_give_memory_back():
+    said = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.path.abspath(f"{common.__file__}/../../..")})
+    rows, more = said.stdout.split()
+    assert int(rows) == 4 << 20 and float(more) < 24
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 500])
+def test_frequent_values(n):
+    parts = [np.random.default_rng(n + k).integers(0, max(2, n // 5), n).astype(np.uint64) for k in range(2)]
+    h, c = np.unique(np.concatenate(parts), return_counts=True)
+    got = common.frequent_values(parts, 4)
+    assert [x.tolist() for x in got] == [h[c >= 4].tolist(), c[c >= 4].tolist()] and not parts
+    assert common.frequent_values([], 2)[0].dtype == np.uint64
+
+
 def test_word_kernels():
     import pyarrow as pa
 

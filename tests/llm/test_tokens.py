@@ -36,6 +36,14 @@ def test_sentencepiece_is_the_library(spark, docs):
     assert bytes(full[0].decoded) == b"hello world"
 
 
+def test_library_tokenizer_is_read_when_a_text_needs_it():
+    bpe = packing.ByteBpe(queries.tokenizer_path(queries.BPE))
+    plain = bpe.encode("hello world").tolist()
+    assert "slow" not in vars(bpe)
+    special = bpe.encode(f"hello world{packing.SPECIAL}").tolist()
+    assert special == [*plain, bpe.slow.token_to_id(packing.SPECIAL)]
+
+
 def test_sentencepiece_forgets(monkeypatch):
     m = sentencepiece_bpe.MergeModel(queries.tokenizer_path(queries.PIECES))
     texts = [f"word{i} other{i % 7}" for i in range(300)]

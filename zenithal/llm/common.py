@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 #: Rows that go to Python at once. Texts are a few KB each, so a batch is a few MB.
 BATCH_ROWS = 512
 #: Bytes of text that a numpy kernel expands to 8-byte words at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
+#: Bytes of batches after which a Python worker gives free memory back.
+RELEASE_BYTES = 1 << 20
 
 _U64 = np.uint64
 
@@ -43,6 +47,42 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def release() -> None:
+    """Give this process's free memory back to the system: Arrow's pool and, with glibc, the heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches, which gives free memory back as batches pass and at its end: its worker stays for other tasks."""
+
+    def passing(batches):
+        passed = 0
+        for batch in batches:
+            if (passed := passed + batch.nbytes) >= RELEASE_BYTES:
+                release()
+                passed = 0
+            yield batch
+
+    def each(batches):
+        try:
+            yield from run(passing(batches))
+        finally:
+            release()
+
+    return each
+
+
+def frequent_values(held: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values that some arrays have `least` times in all (two at least), in order, and how often. Empties the list, so that one copy is sorted in place."""
+    x = np.concatenate(held) if held else np.zeros(0, _U64)
+    held.clear()
+    x.sort()
+    values = np.unique(x[: max(len(x) - least + 1, 0)][x[least - 1 :] == x[: max(len(x) - least + 1, 0)]])
+    return values, np.searchsorted(x, values, "right") - np.searchsorted(x, values)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; an own one only where none is named and all runs on this machine."""
     sc = spark.sparkContext
@@ -259,7 +299,7 @@ def shared_keys(rows: DataFrame, parts: int) -> DataFrame:
                 pending = None if several[-1] else [batch.slice(int(start[-1]))]
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return sorted_rows.mapInArrow(run, kinds + ", leader long")
+    return sorted_rows.mapInArrow(lean(run), kinds + ", leader long")
 
 
 # ---------------------------------------------------------------- components

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 
 UNDETERMINED = "und"
 #: Slots for letters; letters beyond the common ones share slots by their code points.
@@ -171,7 +171,7 @@ def fit(examples: DataFrame, lang_col: str = "lang", text_col: str = "text", per
     # rounded to binary fractions, so that the order of the partitions cannot change a sum
     exact = F.sum(F.round(F.col("x") * (1 << 40)).cast("decimal(38,0)")).alias("x")
     total: dict[str, np.ndarray] = {}
-    for row in chosen.mapInArrow(run, "lang string, place long, x double").groupBy("lang", "place").agg(exact).collect():
+    for row in chosen.mapInArrow(lean(run), "lang string, place long, x double").groupBy("lang", "place").agg(exact).collect():
         total.setdefault(row.lang, np.zeros(size))[row.place] = float(row.x)
     languages = sorted(total)
     return LanguageModel(languages, unit(np.array([total[x] for x in languages])).astype(np.float32), size, n)
@@ -189,4 +189,4 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
             lang, score = model.predict(batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
-    return picked.mapInArrow(run, (schema + ", " if schema else "") + f"`{names[0]}` string, `{names[1]}` double")
+    return picked.mapInArrow(lean(run), (schema + ", " if schema else "") + f"`{names[0]}` string, `{names[1]}` double")

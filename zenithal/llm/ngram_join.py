@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Kept, connected_components, flat, mix, shared_keys, shingle_hashes, small_batches, word_bounds, word_hashes
+from .common import LOWER, RELEASE_BYTES, Kept, connected_components, flat, frequent_values, lean, mix, release, shared_keys, shingle_hashes, small_batches, word_bounds, word_hashes
 
 #: Frequent shingles that go last in the order; a bound on what is broadcast.
 HEAVY = 1 << 16
@@ -81,11 +81,9 @@ def _survey(texts: DataFrame, n: int) -> Kept:
         held, docs = [], 0
 
         def frequent():
-            h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            some = c >= max(4, docs // 500)
-            h, c = h[some].view(np.int64), c[some].astype(np.int64)
+            h, c = frequent_values(held, max(4, docs // 500))
             none = pa.nulls(len(h), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(h), pa.array(c), pa.nulls(len(h), pa.binary())], ["doc_id", "n", "a", "b", "bits"])
+            return pa.RecordBatch.from_arrays([none, none, pa.array(h.view(np.int64)), pa.array(c), pa.nulls(len(h), pa.binary())], ["doc_id", "n", "a", "b", "bits"])
 
         size = 0
         for batch in batches:
@@ -95,10 +93,10 @@ def _survey(texts: DataFrame, n: int) -> Kept:
             size, docs = size + len(h), docs + len(batch)
             if size >= _CHUNK * 2:
                 yield frequent()
-                held, size, docs = [], 0, 0
+                size, docs = 0, 0
         yield frequent()
 
-    return Kept(texts.mapInArrow(run, "doc_id long, n long, a long, b long, bits binary"), "sets")
+    return Kept(texts.mapInArrow(lean(run), "doc_id long, n long, a long, b long, bits binary"), "sets")
 
 
 def _prefixes(texts: DataFrame, n: int, num: int, den: int, heavy: np.ndarray) -> DataFrame:
@@ -122,7 +120,7 @@ def _prefixes(texts: DataFrame, n: int, num: int, den: int, heavy: np.ndarray) -
             cuts = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys))], ["doc_id", "n", "keys"])
 
-    return texts.mapInArrow(run, "doc_id long, n long, keys array<long>")
+    return texts.mapInArrow(lean(run), "doc_id long, n long, keys array<long>")
 
 
 def bitmap(h: np.ndarray) -> bytes:
@@ -142,7 +140,7 @@ def _arrays(texts: DataFrame, n: int) -> DataFrame:
             h, offsets = sets(batch.column(1), n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[x:y].tobytes() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], ["id", "arr"])
 
-    return texts.mapInArrow(run, "id long, arr binary")
+    return texts.mapInArrow(lean(run), "id long, arr binary")
 
 
 def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -167,7 +165,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
 
     left = pairs.join(arrays.df.select(F.col("id").alias("a"), F.col("arr").alias("x")), "a")
     both = left.join(arrays.df.select(F.col("id").alias("b"), F.col("arr").alias("y")), "b").select("a", "b", "x", "y")
-    out = Kept(both.mapInArrow(run, "a long, b long"), "links")
+    out = Kept(both.mapInArrow(lean(run), "a long, b long"), "links")
     arrays.drop()
     return out
 
@@ -192,7 +190,7 @@ def _admitted(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFram
 
     left = pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("x"), F.col("n").alias("nx")), "a")
     both = left.join(bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("y"), F.col("n").alias("ny")), "b")
-    return both.select("a", "b", "x", "y", "nx", "ny").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y", "nx", "ny").mapInArrow(lean(run), "a long, b long")
 
 
 def tile_pairs(doc: np.ndarray, side: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,6 +238,8 @@ def _tiles(groups: DataFrame, comps: DataFrame, bits: DataFrame, num: int, den:
 
     def run(t: pa.Table) -> pa.Table:
         a, b = tile_pairs(*(t.column(c).to_numpy() for c in ("doc_id", "side", "n", "comp")), t.column("bits").to_pylist(), num, den)
+        if t.nbytes >= RELEASE_BYTES:
+            release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()

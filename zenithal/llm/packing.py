@@ -13,6 +13,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, small_batches
+from .common import Kept, lean, small_batches
 
 SPECIAL = "<|endoftext|>"
 _TOKENIZERS: dict[str, object] = {}
@@ -30,21 +31,16 @@ class ByteBpe:
     """The ids that the tokenizers library gives for a byte-level BPE file, without special tokens added.
 
     Where the same vocabulary also lies beside it as ranks, tiktoken encodes (the
-    same ids, four times as fast). The special token's own string in a text is
-    its id, as the library has it, unless `ordinary` says that it is plain text.
+    same ids, four times as fast), and the library's tokenizer is read when a text
+    needs it. The special token's own string in a text is its id, as the library has
+    it, unless `ordinary` says that it is plain text.
     """
 
     def __init__(self, path: str, ordinary: bool = False):
         import base64
         import os
 
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = ordinary
-        self.special = None if ordinary else self.slow.token_to_id(SPECIAL)
-        self.fast = None
+        self.path, self.ordinary, self.fast = path, ordinary, None
         ranks = os.path.splitext(path)[0] + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
@@ -54,8 +50,19 @@ class ByteBpe:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @functools.cached_property
+    def slow(self):
+        import os
+
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = self.ordinary
+        return out
+
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or (self.special is not None and SPECIAL in text):
+        if self.fast is None or (not self.ordinary and SPECIAL in text):
             return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.asarray(self.fast.encode_to_numpy(text), np.uint32)
 
@@ -85,7 +92,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int64()), pa.array(begins, pa.int64()), batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], ["part", "begin", "doc_id", "ids"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "part long, begin long, doc_id long, ids binary")
+    return picked.mapInArrow(lean(run), "part long, begin long, doc_id long, ids binary")
 
 
 def concatenate_and_cut(tokens: DataFrame, length: int = 1024) -> DataFrame:
@@ -113,7 +120,7 @@ def concatenate_and_cut(tokens: DataFrame, length: int = 1024) -> DataFrame:
                     place += take
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()], list(out))
 
-    return tokens.select("part", "begin", "doc_id", "ids").mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return tokens.select("part", "begin", "doc_id", "ids").mapInArrow(lean(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, **columns: str) -> DataFrame:
@@ -131,4 +138,4 @@ def digest(pieces: DataFrame) -> DataFrame:
             crc = pa.array([zlib.crc32(x) for x in batch.column("ids").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "start", "length")), crc, *(batch.column(k) for k in ("doc_tokens", "sequence_id", "offset"))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return pieces.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return pieces.mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

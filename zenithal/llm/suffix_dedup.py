@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, flat, mix, shared_keys, small_batches, window_hashes, word_bounds, word_hashes
+from .common import Kept, flat, frequent_values, lean, mix, shared_keys, small_batches, window_hashes, word_bounds, word_hashes
 
 #: First words that are known to be repeated without a sort; a bound on what is broadcast.
 HEAVY = 1 << 16
@@ -110,9 +110,8 @@ def _heads(texts: DataFrame, length: int, window: int) -> Kept:
         held, docs, size = [], 0, 0
 
         def frequent():
-            h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            some = c >= max(8, docs // 200)
-            return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.nulls(int(some.sum()), pa.int64()), pa.array(c[some].astype(np.int64))], ["key", "doc_id", "docs"])
+            h, c = frequent_values(held, max(8, docs // 200))
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.nulls(len(h), pa.int64()), pa.array(c)], ["key", "doc_id", "docs"])
 
         for batch in batches:
             doc, head = Runs(batch.column(1), length, window).heads()
@@ -121,10 +120,10 @@ def _heads(texts: DataFrame, length: int, window: int) -> Kept:
             docs, size = docs + len(batch), size + len(head)
             if size >= 1 << 21:
                 yield frequent()
-                held, docs, size = [], 0, 0
+                docs, size = 0, 0
         yield frequent()
 
-    return Kept(texts.mapInArrow(run, "key long, doc_id long, docs long"), "heads")
+    return Kept(texts.mapInArrow(lean(run), "key long, doc_id long, docs long"), "heads")
 
 
 _SUFFIX = "key long, after binary, before binary, doc_id long, start int, stop int"
@@ -150,7 +149,7 @@ def _matches(texts: DataFrame, length: int, window: int, known: np.ndarray) -> K
             after, before = runs.sides(at, lo, hi)
             yield pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), after, before, batch.column(0).take(pa.array(doc)), *(pa.array((base - x).astype(np.int32)) for x in (hi, lo)), pa.array(hot)], ["key", "after", "before", "doc_id", "start", "stop", "hot"])
 
-    return Kept(texts.mapInArrow(run, _SUFFIX + ", hot boolean"), "matches")
+    return Kept(texts.mapInArrow(lean(run), _SUFFIX + ", hot boolean"), "matches")
 
 
 def _among(x: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -263,7 +262,7 @@ def _compared(suffixes: DataFrame, window: int, parts: int, longest: int) -> Kep
             yield resolve(pa.Table.from_batches(held).combine_chunks())
 
     rows = suffixes.repartition(parts, "key").sortWithinPartitions("key", "after")
-    return Kept(rows.mapInArrow(run, _SUFFIX + ", leader long"), "compared")
+    return Kept(rows.mapInArrow(lean(run), _SUFFIX + ", leader long"), "compared")
 
 
 def _hashed(suffixes: DataFrame, window: int, most_around: int) -> tuple[DataFrame, list[Kept]]:
@@ -291,7 +290,7 @@ def _hashed(suffixes: DataFrame, window: int, most_around: int) -> tuple[DataFra
             taken = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(taken), pa.array(o.astype(np.int32)), *(batch.column(k).take(taken) for k in (4, 5))], ["hash", "around", "place", "low", "high"])
 
-    runs = Kept(alike.mapInArrow(each_run, "hash long, around long, place int, low long, high long"), "runs")
+    runs = Kept(alike.mapInArrow(lean(each_run), "hash long, around long, place int, low long, high long"), "runs")
     leaders = Kept(runs.df.groupBy("hash").agg(F.min("low").alias("leader"), F.max("high").alias("last")).where("leader < last").select("hash", "leader"), "leaders")
     led = runs.df.join(leaders.df, "hash").groupBy("around").agg(F.collect_list(F.struct("place", "leader")).alias("found"))  # a window's places at most
     led = Kept(led, "led")
@@ -313,7 +312,7 @@ def _hashed(suffixes: DataFrame, window: int, most_around: int) -> tuple[DataFra
     suffix = F.col("stop") + most - (F.length("after") / 8).cast("int")
     asked = rows.select("doc_id", suffix.alias("suffix"), "around")
     if led.df.count() > most_around:
-        return asked.join(led.df, "around").select("doc_id", "suffix", "found").mapInArrow(back, _RUNS), [runs, leaders, led]
+        return asked.join(led.df, "around").select("doc_id", "suffix", "found").mapInArrow(lean(back), _RUNS), [runs, leaders, led]
     table = led.df.toArrow().combine_chunks().sort_by("around")
     found = table["found"].combine_chunks()
     cuts = np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))]) if len(table) else np.zeros(1, np.int64)
@@ -329,7 +328,7 @@ def _hashed(suffixes: DataFrame, window: int, most_around: int) -> tuple[DataFra
             e = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
             yield rows_of(batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.repeat(hit, size), places[e].astype(np.int64), leaders[e])
 
-    return asked.mapInArrow(looked_up, _RUNS), [runs, leaders, led]
+    return asked.mapInArrow(lean(looked_up), _RUNS), [runs, leaders, led]
 
 
 def _join(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -384,7 +383,7 @@ def _spans(rows: DataFrame, length: int, parts: int) -> DataFrame:
         ints = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, ints if k > 3 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "start", "end", "first_doc", "cut_starts", "cut_ends"])
 
-    return rows.select("doc_id", "start", "stop", "leader").repartition(parts, "doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(run, "doc_id long, start long, end long, first_doc long, cut_starts array<long>, cut_ends array<long>")
+    return rows.select("doc_id", "start", "stop", "leader").repartition(parts, "doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(lean(run), "doc_id long, start long, end long, first_doc long, cut_starts array<long>, cut_ends array<long>")
 
 
 def repeats(docs: DataFrame, length: int = 50, window: int = 25, id_col: str = "doc_id", text_col: str = "text", longest: int = RUN, most_around: int = AROUND) -> DataFrame:
@@ -437,7 +436,7 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(docs_columns))], docs_columns).filter(pa.array(left))
 
     docs_columns = docs.columns
-    out = joined.mapInArrow(run, docs.schema)
+    out = joined.mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
