@@ -154,6 +154,41 @@ def test_components(spark):
     assert got == {i: 10 for i in range(10, 41)} | {3: 3, 7: 3, 100: 3}
 
 
+def test_components_of_random_links(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)]
+    least = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in least:
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = {r.id: r.component for r in common.connected_components(spark.createDataFrame(pairs, "a long, b long")).df.collect()}
+    assert got == least
+
+
+def test_components_of_stars_write_few_files(spark, monkeypatch):
+    written = []
+
+    class Counted(common.Kept):
+        def __init__(self, *args):
+            super().__init__(*args)
+            written.append(len(self.df.inputFiles()))
+
+    monkeypatch.setattr(common, "Kept", Counted)
+    edges = spark.createDataFrame([(i % 7, i) for i in range(7, 700)], "a long, b long")
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.id: r.component for r in common.connected_components(edges).df.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i % 7 for i in range(700)}
+    assert len(written) == 2 and max(written) <= common.FILES
+
+
 # ---------------------------------------------------------------- suffix dedup
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 #: Bytes of text that a numpy kernel expands to 8-byte words at once.
 SLICE_BYTES = 1 << 18
+#: Links that one file of a table of links holds, and the files that it may have however few they are.
+LINKS_A_FILE, FILES = 1 << 16, 8
 #: Bytes of batches after which a Python worker gives free memory back.
 RELEASE_BYTES = 1 << 20
 
@@ -305,33 +307,37 @@ def shared_keys(rows: DataFrame, parts: int) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
+def files_of(links: int) -> int:
+    """Files for a table of so many links: on local disks each one's permissions take helper processes of the executor."""
+    return max(FILES, -(-links // LINKS_A_FILE))
+
+
 def connected_components(edges: DataFrame, what: str = "components") -> Kept:
     """Smallest id that links reach from each id, as (id, component), for ids that have links.
 
     edges: long columns a and b, any order, repeats allowed. Alternates the
     large-star and small-star steps; each round is written to the shared folder,
-    and joins are by key, so that no task gathers a component.
+    and joins are by key, so that no task gathers a component. It ends when the links
+    are stars: each u (the larger id) has one v, and no v has a smaller one.
     """
-    now = Kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), what)
-    seen = None
-    while True:  # each round but the last changes the links; their number of rounds is logarithmic
-        state = now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen or not state[0]:
+    now = Kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().coalesce(files_of(edges.count())), what)
+    while True:  # the number of rounds is logarithmic
+        links, larger = now.df.agg(F.count("*"), F.count_distinct("u")).first()
+        files = files_of(links)
+        if links == larger and now.df.join(now.df.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             break
-        seen = tuple(state)
         both = now.df.union(now.df.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        step = Kept(large, what)
+        step = Kept(large.coalesce(files), what)
         least = step.df.groupBy("u").agg(F.min("v").alias("m"))
         small = step.df.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).where("u <> v").distinct()
-        after = Kept(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), what)
+        after = Kept(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).coalesce(files), what)
         step.drop()
         now.drop()
         now = after
-    # stars now: each u has one v, its component
-    out = now.df.groupBy("u").agg(F.min("v").alias("v"))
-    out = Kept(out.select(F.col("u").alias("id"), F.col("v").alias("component")).union(out.select("v", "v").distinct()), what)
+    out = now.df.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.df.select("v", "v").distinct())
+    out = Kept(out.coalesce(files), what)
     now.drop()
     return out

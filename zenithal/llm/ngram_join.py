@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, RELEASE_BYTES, Kept, connected_components, flat, frequent_values, lean, mix, release, shared_keys, shingle_hashes, small_batches, word_bounds, word_hashes
+from .common import LOWER, RELEASE_BYTES, Kept, connected_components, files_of, flat, frequent_values, lean, mix, release, shared_keys, shingle_hashes, small_batches, word_bounds, word_hashes
 
 #: Frequent shingles that go last in the order; a bound on what is broadcast.
 HEAVY = 1 << 16
@@ -165,7 +165,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
 
     left = pairs.join(arrays.df.select(F.col("id").alias("a"), F.col("arr").alias("x")), "a")
     both = left.join(arrays.df.select(F.col("id").alias("b"), F.col("arr").alias("y")), "b").select("a", "b", "x", "y")
-    out = Kept(both.mapInArrow(lean(run), "a long, b long"), "links")
+    out = Kept(both.coalesce(files_of(pairs.count())).mapInArrow(lean(run), "a long, b long"), "links")
     arrays.drop()
     return out
 
