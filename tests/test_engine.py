@@ -34,6 +34,14 @@ def test_against_duckdb(spark, duck, name):
         assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), (name, c)
 
 
+def test_octants_on_their_edges(spark, tmp_path):
+    duckdb.execute(f"COPY (SELECT c.* REPLACE (k AS c_custkey) FROM (SELECT * FROM '{SF}/customer.parquet' LIMIT 1) c, range(0, 1000000, 9000) t(k)) TO '{tmp_path}/customer.parquet' (FORMAT PARQUET)")
+    got = [tuple(r) for r in Q.QUERIES["htm_id"](spark, str(tmp_path)).collect()]
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+        assert sorted(got) == sorted(c.execute(Q.ORACLE["htm_id"]).fetchall()) and len({h for _, h in got}) == 8
+
+
 @pytest.fixture
 def engine(spark, tmp_path):
     return filled(spark, str(tmp_path))

@@ -119,6 +119,13 @@ def test_htm(spark):
             assert sum(x * y for x, y in zip(n, p, strict=True)) > -1e-9
 
 
+def test_htm_roots_on_their_edges(spark):
+    at = lambda lon, lat: one(spark, spherical.htm_id(*lits(lon, lat), 0))
+    assert [at(x, 1) for x in (0, 90, 180, 270, 360, -90, -1e-20)] == [15, 14, 13, 12, 15, 12, 15]
+    assert [at(x, -1) for x in (0, 90, 180, 270)] == [8, 9, 10, 11] and at(90, 0) == 14
+    assert one(spark, spherical.htm_id(F.lit(None).cast("double"), *lits(0), 0)) is None
+
+
 def test_duplicate_fills_a_region(spark):
     rng = random.Random(8)
     df = spark.createDataFrame([(i, rng.uniform(0, 20), rng.uniform(-10, 10)) for i in range(300)], "id long, lon double, lat double")
