@@ -1,4 +1,5 @@
 import os
+import random
 import time
 
 import duckdb
@@ -9,6 +10,7 @@ from zenithal.catalog import CHILD, DIRECTOR, Striping, TableSpec
 from zenithal.engine import Engine
 from zenithal.errors import AnalysisError, EngineError, ResultTooLargeError, UnsupportedQueryError
 from zenithal.functions.registry import BUILT, RENAMED, SAME, date_pattern
+from zenithal.operators import near_neighbour
 from zenithal.sources import readers
 from zenithal.streaming.ingest import stream_into
 
@@ -285,6 +287,35 @@ def test_near_neighbours_need_no_cross_join(loaded):
     assert "Cartesian" not in p and "NestedLoop" not in p
 
 
+def test_chain_of_neighbours(spark, tmp_path):
+    rng = random.Random(9)
+    spot = lambda: (rng.uniform(0, 360), rng.choice([rng.uniform(-89, 89), rng.uniform(88.6, 90), rng.uniform(88.6, 90)]))
+    odd = [(725.0, 89.5), (-3.0, 89.5), (12.0, 90.0), (None, 89.5), (12.0, None), (float("nan"), 89.5), (0.0, float("nan"))]
+    objects = [(i, *p) for i, p in enumerate([*odd, *odd, *(spot() for _ in range(900))])] + [(3, 10.0, 89.9)] * 3
+    refs = [(i, *p, rng.randrange(9)) for i, p in enumerate([*odd, *(spot() for _ in range(130))])]
+    e = Engine(spark, str(tmp_path), "n")
+    e.catalog.create_database("n", Striping(18, 3, 2.0))
+    e.catalog.register("n", TableSpec("Obj", DIRECTOR, "id", "ra", "decl"), spark.createDataFrame(objects, "id long, ra double, decl double").repartition(3))
+    e.catalog.register("n", TableSpec("Ref", DIRECTOR, "rid", "ra", "decl"), spark.createDataFrame(refs, "rid long, ra double, decl double, w long"))
+    with duckdb.connect() as c:
+        c.execute("CREATE TABLE Obj(id BIGINT, ra DOUBLE, decl DOUBLE)")
+        c.execute("CREATE TABLE Ref(rid BIGINT, ra DOUBLE, decl DOUBLE, w BIGINT)")
+        c.executemany("INSERT INTO Obj VALUES (?, ?, ?)", objects)
+        c.executemany("INSERT INTO Ref VALUES (?, ?, ?, ?)", refs)
+        c.execute(f"CREATE TABLE ab AS SELECT a.id AS i, b.id AS j, b.rowid AS k FROM Obj a, Obj b WHERE {Q.sep('a.ra', 'a.decl', 'b.ra', 'b.decl')} < 1.3 AND a.id <> b.id")
+        c.execute(f"CREATE TABLE br AS SELECT b.rowid AS k, rid, w FROM Obj b, Ref r WHERE {Q.sep('b.ra', 'b.decl', 'r.ra', 'r.decl')} <= 1.9")
+        want = c.execute("SELECT count(*), sum(i)::BIGINT, sum(i * j)::BIGINT, sum(j * rid)::BIGINT, sum(rid * w)::BIGINT FROM ab JOIN br USING (k)").fetchone()
+        most = c.execute("SELECT max(n) FROM (SELECT count(*) AS n FROM br GROUP BY k)").fetchone()[0]
+    where = "WHERE angSep(a.ra, a.decl, b.ra, b.decl) < 1.3 AND angSep(b.ra, b.decl, r.ra, r.decl) <= 1.9 AND a.id <> b.id"
+    assert most > near_neighbour.LISTED and want[0] > 10_000_000
+    for tables in ("Obj a, Obj b, Ref r", "Ref r, Obj b, Obj a", "Obj b, Ref r, Obj a"):
+        df = e.sql(f"SELECT COUNT(*) AS n, SUM(a.id) AS s1, SUM(a.id * b.id) AS s2, SUM(b.id * r.rid) AS s3, SUM(r.rid * r.w) AS s4 FROM {tables} {where}")
+        assert "explode(_near" in plan(df) and "REPARTITION_BY_NUM" in plan(df) and tuple(df.first()) == want
+    assert e.sql(f"SELECT COUNT(*) AS n FROM Obj a, Obj b, Ref r {where}").first().n == want[0]
+    few = e.sql(f"SELECT a.id, b.id AS id2, r.* FROM Obj a, Obj b, Ref r {where} AND b.id = 20")  # a filter: table by table
+    assert "explode(_near" not in plan(few) and few.columns[:6] == ["id", "id2", "rid", "ra", "decl", "w"]
+
+
 def test_tables_in_any_order_need_no_cross_join(loaded):
     df = loaded.sql("SELECT a.id FROM Obj a, Obj b, Src c WHERE a.id = c.id AND b.id = c.id")
     assert "Cartesian" not in plan(df) and "NestedLoop" not in plan(df) and df.count() == 600

@@ -9,6 +9,7 @@ guard against doubled pairs.
 
 from __future__ import annotations
 
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..catalog import CHILD, CHUNK, MATCH, SUB_CHUNK, Catalog, Table
 from ..errors import AnalysisError, UnsupportedQueryError
 from ..functions.registry import FunctionRegistry, domain_name
-from ..operators.near_neighbour import near_join
+from ..operators.near_neighbour import LARGEST, near_join, near_listed, near_lists
 from . import ast as A
 from . import regions
 from .parser import AGGREGATES
@@ -63,7 +64,11 @@ class Builder:
             self._add(t)
         where = A.conjuncts(s.where)
         where = self._restrict(s, where)
-        df = self._joined(s, where)
+        df = self._neighbours(s, where)
+        if df is None:
+            df = self._joined(s, where)
+        else:
+            where = [t for t in where if self._edge(t) is None]
         if where:
             df = df.where(_all([self.condition(c) for c in where]))
         items = self._expand(s.items)
@@ -286,6 +291,55 @@ class Builder:
             a, b = b, a
         return (a, float(bound.value), term.op in ("<=", ">=")) if a in here and b is new else None
 
+    def _edge(self, term) -> tuple[int, int, float, bool] | None:
+        """(references, radius, inclusive) of a term that bounds the separation of two tables."""
+        for b in self.refs:
+            if x := self._near(term, [r for r in self.refs if r is not b], b):
+                return x[0].index, b.index, x[1], x[2]
+        return None
+
+    def _neighbours(self, s: A.Select, where: list) -> DataFrame | None:
+        """Two tables near a third: the pairs of one edge as lists beside the third's rows, which then meet the other table.
+
+        None for other statements, and where a filter on one table or a key may leave few pairs to which the last table is added.
+        """
+        if len(self.refs) != 3 or any(j.kind not in ("comma", "cross") or j.on is not None for j in s.joins):
+            return None
+        edges = [e for e in map(self._edge, where) if e]
+        rest = [t for t in where if self._edge(t) is None]
+        if len(edges) != 2 or any(e[2] > LARGEST for e in edges):
+            return None
+        shared = set(edges[0][:2]) & set(edges[1][:2])
+        if len(shared) != 1 or any(len(self._used(t)) < 2 or (isinstance(t, A.Compare) and t.op in ("=", "<=>")) for t in rest):
+            return None
+        if self.strict:
+            self._check_local(s, where, [])
+        middle = self.refs[shared.pop()]
+        needed = self._needed(s, rest)
+        place = lambda r: (r.col(r.table.spec.lon), r.col(r.table.spec.lat))
+        slim = lambda r: r.df.select(*[c for c in r.df.columns if c in needed or c in (r.columns[r.table.spec.lon.lower()], r.columns[r.table.spec.lat.lower()])])
+        base = slim(middle)
+        if any(kind.startswith(("array", "map", "struct", "variant")) for _, kind in base.dtypes):
+            return None  # rows with such values are not grouped
+        (last, *at_last), (listed, *at_listed) = sorted(((self.refs[e[0] if e[1] == middle.index else e[1]], *e[2:]) for e in edges), key=lambda e: e[0].index)
+        kept = [c for c in listed.df.columns if c in needed]
+        df = near_lists(base, slim(listed), kept, place(middle), place(listed), *at_listed)
+        df = near_listed(df, slim(last), place(middle), place(last), *at_last, dense=base)
+        return df.withColumn("_near", F.explode("_near")).select(*[c for c in df.columns if c != "_near"], *[F.col("_near" if len(kept) == 1 else f"_near.{c}").alias(c) for c in kept])
+
+    def _used(self, e) -> set[int]:
+        return {self._owner(n)[0].index for n in A.walk(e) if isinstance(n, A.ColumnRef)}
+
+    def _needed(self, s: A.Select, where: list) -> set[str]:
+        """Names in the plan of the columns that a statement reads, besides those of other conditions."""
+        out = set()
+        for e in [*(i.expr for i in self._expand(s.items)), *where, *s.group_by, *([] if s.having is None else [s.having]), *(o.expr for o in s.order_by)]:
+            for n in A.walk(e):
+                if isinstance(n, A.ColumnRef):
+                    with suppress(AnalysisError):  # an alias, or a name that is refused where it is read
+                        out.add(self._owner(n)[1])
+        return out
+
     def _equal(self, term, here: list[Ref], new: Ref) -> bool:
         if not (isinstance(term, A.Compare) and term.op in ("=", "<=>")):
             return False
